@@ -1,0 +1,79 @@
+"""Whole-batch text kernels on numpy: tokens and shingles of many texts at once.
+
+A batch of texts becomes one byte buffer; token borders come from a class table and token hashes from prefix sums
+of a polynomial over the buffer, so no Python loop runs over tokens. All hashes are 64-bit and the same in every
+process. Empty and null texts have no tokens."""
+
+from __future__ import annotations
+
+import numpy as np
+
+U = np.uint64
+_BASE = U(0x9E3779B97F4A7C15)
+_BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (bijective)."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+        return h ^ (h >> U(31))
+
+
+def tokens(texts: list[bytes], classes: np.ndarray = _ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document number, start and end byte of each maximal run of bytes in ``classes``; start and end count
+    in the texts joined by one line feed."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    inside = classes[buf].view(np.int8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside, [0]))))
+    s, e = edge[::2], edge[1::2]
+    h = np.empty(len(s), U)
+    step = 1 << 22  # the powers of the base are bounded by blocks of tokens
+    with np.errstate(over="ignore"):
+        i = 0
+        while i < len(s):
+            j = max(i + 1, int(np.searchsorted(e, s[i] + step, side="right")))
+            lo, hi = s[i], e[j - 1]
+            n = int(hi - lo)
+            p = np.full(n, _BASE)
+            p[0] = U(1)
+            np.cumprod(p, out=p)
+            q = np.full(n, _BASE_INV)
+            q[0] = U(1)
+            np.cumprod(q, out=q)
+            total = np.concatenate((np.zeros(1, U), np.cumsum((buf[lo:hi].astype(U) + U(1)) * p)))
+            a, b = s[i:j] - lo, e[i:j] - lo
+            h[i:j] = (total[b] - total[a]) * q[a] + (b - a).astype(U)
+            i = j
+    return mix(h), np.searchsorted(ends, s, side="right"), s, e
+
+
+def grams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and first token number of each run of k consecutive tokens of one document."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = np.zeros(n, U)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            x = (x * _BASE) ^ mix(h[i : n + i] + U(i))
+    at = np.flatnonzero(doc[:n] == doc[k - 1 :])
+    return mix(x[at]), doc[at], at
+
+
+def distinct(x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (doc, x), sorted by doc and then by x."""
+    o = np.lexsort((x, doc))
+    x, doc = x[o], doc[o]
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
+    return x[keep], doc[keep]
+
+
+def lowered(texts: list[str | None]) -> list[bytes]:
+    """Lower-cased UTF-8 of each text; null is empty; unpaired surrogates become question marks."""
+    return [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
