@@ -95,21 +95,35 @@ def ring_pass(a: np.ndarray, b: np.ndarray, budget: float, m: int = SEGMENTS) ->
     return bool((highest[:m] - before <= 1e-9).any())
 
 
-def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int = 5, least: int = 1, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int = 5, least: int = 1, sketch_bits: int = SKETCH_BITS, version: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, sets) of the texts of ``docs``.
 
     pairs(class_a, class_b, overlap, n_a, n_b): each pair of different shingle sets with Jaccard >= t, class_a < class_b.
     sets: docs without the text, with class_id and n_shingles; null, empty and short texts (fewer than ``least`` or k
-    tokens) have class_id null. Extra columns of docs are kept; a column called class_id or n_shingles is replaced."""
+    tokens) have class_id null. version names a key and an order where the rows of a key replace one another: of the
+    rows of a key in one batch only the newest are compared (class_id of the others is null), which keeps a key with
+    many rows from being compared with itself; the caller still picks the newest of the whole table. Extra columns of docs are kept; a column called class_id or n_shingles is replaced."""
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (text, "class_id", "n_shingles")]
-    only = docs.select(text).where(F.col(text).isNotNull())
+    only = docs.select(text, *(version or ())).where(F.col(text).isNotNull())
+
+    def texts_of(b: pa.RecordBatch) -> list[str | None]:
+        texts = b.column(0).to_pylist()
+        if version:
+            at = {n: i for i, n in enumerate(b.schema.names)}
+            keys, order = b.column(at[version[0]]).to_pylist(), b.column(at[version[1]]).to_pylist()
+            newest: dict = {}
+            for u, o in zip(keys, order):
+                if u is not None and (u not in newest or (o is not None and (newest[u] is None or o > newest[u]))):
+                    newest[u] = o
+            texts = [t if newest.get(u, o) == o else None for t, u, o in zip(texts, keys, order)]
+        return texts
 
     def cells(b: pa.RecordBatch) -> np.ndarray:
-        return _cells(shingle_sets(b.column(0).to_pylist(), k, least)[0], sketch_bits)
+        return _cells(shingle_sets(texts_of(b), k, least)[0], sketch_bits)
 
     def one_each(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        texts = b.column(0).to_pylist()
+        texts = texts_of(b)
         x, d = shingle_sets(texts, k, least)
         cls, size, start = _classes(x, d, len(texts))
         first = np.zeros(len(texts), bool)
