@@ -5,7 +5,7 @@ Every task adds its rows to a sparse part, parts are merged by chunk on the exec
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +30,31 @@ def _packed(cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]
             yield first, z.compress(step.tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes())
 
 
-def _parts(batches: Iterator[pa.RecordBatch], cells_of: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+class Parts:
+    """Collects the cells of a task and gives them out as (chunk, part) rows when they are many or at the end."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        cells = np.concatenate([c for c, _ in held])
-        counts = np.concatenate([n for _, n in held])
-        o = np.argsort(cells, kind="stable")
-        cells, counts = cells[o], counts[o]
-        start = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        rows = list(_packed(cells[start], np.add.reduceat(counts, start)))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in rows], pa.int64()), "part": pa.array([p for _, p in rows], pa.binary())})
+    def __init__(self, most: int = 1 << 22):
+        self.most, self.held, self.size = most, [], 0
 
-    for b in batches:
-        cells, counts = np.unique(cells_of(b), return_counts=True)
-        if len(cells):
-            held.append((cells, counts))
-            size += len(cells)
-        if size > 1 << 23:
-            yield from flush()
-            held, size = [], 0
-    if held:
-        yield from flush()
+    def add(self, cells: np.ndarray) -> list[tuple[int, bytes]]:
+        self.held.append(np.sort(cells.astype(np.int32 if not len(cells) or cells.max() < 1 << 31 else np.int64)))
+        self.size += len(cells)
+        return self.flush() if self.size > self.most else []
 
+    def flush(self) -> list[tuple[int, bytes]]:
+        if not self.size:
+            return []
+        cells = np.sort(np.concatenate(self.held)).astype(np.int64)
+        self.held, self.size = [], 0
+        start = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        return list(_packed(cells[start], np.diff(np.concatenate((start, [len(cells)])))))
 
-def level_sketch(df: DataFrame, cells_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Broadcast:
-    """Broadcast of 2**bits four-bit levels (packed, two a byte): how often each cell occurs over all rows of df.
 
-    cells_of maps a batch to cell numbers below 2**bits (int64, one for each occurrence). A level never stands for
-    fewer than the true occurrences; colliding items only raise it."""
+def merged_sketch(parts: DataFrame, bits: int) -> Broadcast:
+    """Broadcast of 2**bits four-bit levels (packed, two a byte) of (chunk, part) rows: how often each cell occurs.
 
-    def parts(batches):
-        yield from _parts(batches, cells_of)
+    A level never stands for fewer than the true occurrences; colliding items only raise it. Parts of a chunk are
+    added up on the executors; 2 ** (bits - 1) bytes reach the driver."""
 
     def merged(t: pa.Table) -> pa.Table:
         total = np.zeros(1 << min(bits, CHUNK_BITS), np.int64)
@@ -75,12 +67,11 @@ def level_sketch(df: DataFrame, cells_of: Callable[[pa.RecordBatch], np.ndarray]
         level = (np.searchsorted(LEVELS, total, side="right") - 1).astype(np.uint8)
         return pa.table({"chunk": t.column("chunk").slice(0, 1), "levels": pa.array([(level[::2] | (level[1::2] << 4)).tobytes()], pa.binary())})
 
-    rows = df.mapInArrow(parts, "chunk long, part binary").groupBy("chunk").applyInArrow(merged, "chunk long, levels binary").collect()
     out = np.zeros(1 << (bits - 1), np.uint8)
     width = (1 << min(bits, CHUNK_BITS)) // 2
-    for r in rows:  # at most 2 ** (bits - CHUNK_BITS) rows
+    for r in parts.groupBy("chunk").applyInArrow(merged, "chunk long, levels binary").toLocalIterator():  # at most 2 ** (bits - CHUNK_BITS) rows
         out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.levels, np.uint8)
-    return df.sparkSession.sparkContext.broadcast(out)
+    return parts.sparkSession.sparkContext.broadcast(out)
 
 
 def levels(packed: np.ndarray, cells: np.ndarray) -> np.ndarray:

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from sievelight.functions.vector import U, distinct, grams, lowered, mix, tokens
-from sievelight.llm.bounded import LEVELS, in_bitmap, level_sketch, levels, member_bitmap
+from sievelight.functions.vector import KEPT, U, distinct, grams, lowered, mix, tokens
+from sievelight.llm.bounded import LEVELS, Parts, in_bitmap, levels, member_bitmap, merged_sketch
 from sievelight.session import materialize
 
 SKETCH_BITS = 26
@@ -35,10 +36,19 @@ BITMAP_BITS = 23
 SEGMENTS = 16
 #: From this count on a shingle's postings are split in blocks of about this many.
 HOT = 1024
+#: A pair must agree in one more place for every MARGIN shingles of its smaller set.
+MARGIN = 12
+#: Bytes of a hash in the sets that are compared in full (an accidental agreement once in ten million pairs).
+FULL = 5
+#: Texts taken together.
+DOCS = 4096
 
 
 def shingle_sets(texts: list[str | None], k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct k-token shingles of each text with at least ``least`` tokens, sorted by text and hash."""
+    if len(texts) > DOCS:
+        parts = [shingle_sets(texts[i : i + DOCS], k, least) for i in range(0, len(texts), DOCS)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([d + i * DOCS for i, (_, d) in enumerate(parts)])
     h, doc, _, _ = tokens(lowered(texts))
     many = np.bincount(doc, minlength=len(texts)) >= least
     keep = many[doc]
@@ -57,7 +67,7 @@ def _classes(x: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def _cells(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x >> U(64 - bits)).astype(np.int64)
+    return (x >> U(KEPT - bits)).astype(np.int64)
 
 
 def suffix_size(n: np.ndarray, t: float) -> np.ndarray:
@@ -65,10 +75,14 @@ def suffix_size(n: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64) - 1
 
 
-def needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
-    """How many sent shingles a pair with similarity t or more has in common at least."""
-    overlap = np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
-    return np.maximum(1, overlap - np.maximum(suffix_size(na, t), suffix_size(nb, t)))
+def overlap_needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    """How many shingles a pair of these sizes with similarity t or more has in common at least."""
+    return np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
+
+
+def margin(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How far beyond the first place that a pair must agree in the order is read: so many agreements more it needs."""
+    return np.minimum(na, nb) // MARGIN
 
 
 def signature(x: np.ndarray, n: int) -> np.ndarray:
@@ -95,6 +109,17 @@ def ring_pass(a: np.ndarray, b: np.ndarray, budget: float, m: int = SEGMENTS) ->
     return bool((highest[:m] - before <= 1e-9).any())
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """The upper FULL bytes of each hash, in order."""
+    return (x >> U(KEPT - 8 * FULL)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FULL].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // FULL, 8), np.uint8)
+    out[:, :FULL] = np.frombuffer(raw, np.uint8).reshape(-1, FULL)
+    return out.view("<u8").ravel()
+
+
 def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int = 5, least: int = 1, sketch_bits: int = SKETCH_BITS, version: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, sets) of the texts of ``docs``.
 
@@ -110,8 +135,7 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
     def texts_of(b: pa.RecordBatch) -> list[str | None]:
         texts = b.column(0).to_pylist()
         if version:
-            at = {n: i for i, n in enumerate(b.schema.names)}
-            keys, order = b.column(at[version[0]]).to_pylist(), b.column(at[version[1]]).to_pylist()
+            keys, order = b.column(1).to_pylist(), b.column(2).to_pylist()
             newest: dict = {}
             for u, o in zip(keys, order):
                 if u is not None and (u not in newest or (o is not None and (newest[u] is None or o > newest[u]))):
@@ -119,9 +143,6 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
             texts = [t if newest.get(u, o) == o else None for t, u, o in zip(texts, keys, order)]
         return texts
 
-    def cells(b: pa.RecordBatch) -> np.ndarray:
-        return _cells(shingle_sets(texts_of(b), k, least)[0], sketch_bits)
-
     def one_each(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         texts = texts_of(b)
         x, d = shingle_sets(texts, k, least)
@@ -130,18 +151,40 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
         first[np.unique(cls, return_index=True)[1]] = True
         return x, d, cls, size, start, first & (size > 0)
 
-    sketch = level_sketch(only, cells, sketch_bits)
+    kinds = docs.select(*rest).schema.add("class_id", LongType()).add("n_shingles", IntegerType())
+    schema = StructType([*kinds.fields, StructField("chunk", LongType()), StructField("part", BinaryType())])
+
+    def read_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The classes of the rows, and at the end of the task (or when they are many) its part of the sketch."""
+        held = Parts()
+        blank = None
+        for b in batches:
+            x, d, cls, size, _, _ = one_each(b)
+            columns = b.columns[1 + len(version or ()) :]
+            blank = [c.type for c in columns]
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cls.view(np.int64), mask=size == 0), pa.array(size.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=schema.names)
+            if parts := held.add(_cells(x, sketch_bits)):
+                yield _part_rows(parts, blank, schema.names)
+        if parts := held.flush():
+            yield _part_rows(parts, blank, schema.names)
+
+    seen = materialize(docs.select(F.col(text), *[F.col(v).alias(f"_v{i}") for i, v in enumerate(version or ())], *rest).mapInArrow(read_once, schema))
+    sketch = merged_sketch(seen.where("chunk IS NOT NULL").select("chunk", "part"), sketch_bits)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
         for b in batches:
             x, d, cls, size, start, first = one_each(b)
             level = levels(table, _cells(x, sketch_bits))
-            o = np.lexsort((x, level, d))
-            x, level = x[o], level[o]
-            rank = np.arange(len(x)) - start[d]
+            rank = np.empty(len(x), np.int64)
+            for lo in range(0, len(size), DOCS):  # sorted by document, level and hash, packed in one number
+                i, j = start[lo], (start[lo + DOCS] if lo + DOCS < len(size) else len(x))
+                o = np.argsort(((d[i:j] - lo).astype(U) << U(52)) | (level[i:j].astype(U) << U(48)) | (x[i:j] >> U(2)))
+                rank[i + o] = np.arange(i, j)
+            rank -= start[d]
             send = (rank < (size - suffix_size(size, t))[d]) & (level > 1) & first[d]
-            x, level, d = x[send], level[send].astype(np.int64), d[send]
+            x, level, d, rank = x[send], level[send].astype(np.int64), d[send], rank[send]
             blocks = np.maximum(1, LEVELS[level] * 2 // HOT)
             block = (cls[d] >> U(8)) % blocks.astype(U)
             copies = blocks.copy()
@@ -152,28 +195,27 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
             with np.errstate(over="ignore"):
                 key = np.where(blocks[at] > 1, mix(x[at] + U(0x9E3779B97F4A7C15) * (lo * 65536 + hi + 1).astype(U)), x[at])
             same = np.where(blocks[at] > 1, np.where(lo == hi, 2, mine == lo), 2).astype(np.int8)
-            yield pa.RecordBatch.from_pydict({"s": pa.array(key.view(np.int64)), "c": pa.array(cls[d][at].view(np.int64)), "n": pa.array(size[d][at].astype(np.int32)), "side": pa.array(same)})
+            yield pa.RecordBatch.from_pydict({"s": pa.array(key.view(np.int64)), "c": pa.array(cls[d][at].view(np.int64)), "n": pa.array(size[d][at].astype(np.int32)), "r": pa.array((rank[at] * 4 + same).astype(np.int32))})
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None
         for b in batches:
-            s, c, n, side = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            rows = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if keep is not None:
-                s, c, n, side = (np.concatenate(p) for p in zip(keep, (s, c, n, side)))
-            if not len(s):
+                rows = tuple(np.concatenate(p) for p in zip(keep, rows))
+            if len(rows[0]) < 1 << 18:  # runs and repeats are better seen in many rows
+                keep = rows
                 continue
-            last = int(np.searchsorted(s, s[-1]))  # the last run may go on in the next batch
-            keep = (s[last:], c[last:], n[last:], side[last:])
-            yield from _pair_runs(s[:last], c[:last], n[:last], side[:last], t)
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on in the next batch
+            keep = tuple(x[last:] for x in rows)
+            yield from _pair_runs(*(x[:last] for x in rows), t)
         if keep is not None:
             yield from _pair_runs(*keep, t)
 
-    posted = only.mapInArrow(postings, "s long, c long, n int, side byte")
-    sorted_ = posted.repartition("s").sortWithinPartitions("s", "c", "side")
+    posted = only.mapInArrow(postings, "s long, c long, n int, r int")
+    sorted_ = posted.repartition("s").sortWithinPartitions("s", "c", "r")
     counted = sorted_.mapInArrow(pairs, "class_a long, class_b long, n_a int, n_b int, shared int").groupBy("class_a", "class_b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    na, nb = F.col("n_a"), F.col("n_b")
-    suffix = F.greatest(F.ceil(t * na - 1e-9), F.ceil(t * nb - 1e-9)) - 1
-    candidates = materialize(counted.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(t / (1 + t) * (na + nb) - 1e-9) - suffix)).drop("shared"))
+    candidates = materialize(counted.where(F.col("shared") >= _agreements(F.col("n_a"), F.col("n_b"), t)).drop("shared"))
     wanted = member_bitmap(candidates.select(F.col("class_a").alias("c")).union(candidates.select("class_b")), "c", BITMAP_BITS)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +223,7 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
             x, _, cls, size, start, first = one_each(b)
             at = np.flatnonzero(first)
             at = at[in_bitmap(wanted.value, cls[at])]
-            yield pa.RecordBatch.from_pydict({"c": pa.array(cls[at].view(np.int64)), "x": pa.array([x[start[i] : start[i] + size[i]].tobytes() for i in at], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"c": pa.array(cls[at].view(np.int64)), "x": pa.array([_pack(x[start[i] : start[i] + size[i]]) for i in at], pa.binary())})
 
     whole = only.mapInArrow(full, "c long, x binary").dropDuplicates(["c"])
     both = candidates.join(whole.select(F.col("c").alias("class_a"), F.col("x").alias("x_a")), "class_a").join(whole.select(F.col("c").alias("class_b"), F.col("x").alias("x_b")), "class_b").select("class_a", "class_b", "n_a", "n_b", "x_a", "x_b")
@@ -191,7 +233,7 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
             a, c, n_a, n_b = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             out = []
             for i in range(b.num_rows):
-                xa, xb = np.frombuffer(b.column(4)[i].as_py(), U), np.frombuffer(b.column(5)[i].as_py(), U)
+                xa, xb = _unpack(b.column(4)[i].as_py()), _unpack(b.column(5)[i].as_py())
                 both_n = len(xa) + len(xb)
                 if not ring_pass(signature(xa, len(xa)), signature(xb, len(xb)), (1 - t) / (1 + t) * both_n):
                     continue
@@ -205,24 +247,34 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
 
     found = both.mapInArrow(verify, "class_a long, class_b long, overlap int, n_a int, n_b int")
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, _, cls, size, _, _ = one_each(b)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(cls.view(np.int64), mask=size == 0), pa.array(size.astype(np.int32))], names=[*rest, "class_id", "n_shingles"])
+    return found, seen.where("chunk IS NULL").select(*kinds.names)
+
+
+def _part_rows(parts: list[tuple[int, bytes]], blank: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in blank], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([c for c, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], names=names)
+
 
-    schema = docs.select(*rest).schema.add("class_id", "long").add("n_shingles", "integer")
-    return found, docs.select(text, *rest).mapInArrow(classed, schema)
+def _agreements(na: Column, nb: Column, t: float) -> Column:
+    """Agreements that a pair has at least in the ranks that _pair_runs reads: one, and the margin as far as both sets
+    were sent that far."""
+    o = F.ceil(t / (1 + t) * (na + nb) - 1e-9)
+    sent = F.greatest(F.ceil(t * na - 1e-9), F.ceil(t * nb - 1e-9)) - 1
+    return F.greatest(F.lit(1), F.least(1 + F.floor(F.least(na, nb) / MARGIN), o - sent))
 
 
-def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, side: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of different classes within each run of one key (sorted by key, class, side), counted for this batch.
+def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, r: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of different classes within each run of one key (sorted by key, class, rank and side), counted.
 
+    A pair of sizes na and nb with overlap o has all but o - 1 of either set in its first n - o + 1 ranks, so it agrees
+    there once; read ``margin`` ranks further it agrees that much more often.
     side 2: pairs with every other; 0 and 1: only with the other side. Repeats of a class in a run count once."""
     if not len(s):
         return
     keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (side[1:] != side[:-1])
-    s, c, n, side = s[keep], c[keep], n[keep], side[keep]
+    keep[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])
+    s, c, n, r = s[keep], c[keep], n[keep].astype(np.int64), r[keep]
+    side, rank = r & 3, r >> 2
     start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     run = np.diff(np.concatenate((start, [len(s)])))
     left = np.repeat(start + run, run) - np.arange(len(s)) - 1  # members of the run after this one
@@ -234,7 +286,8 @@ def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, side: np.ndarray, t:
         i = np.repeat(np.arange(lo, hi), reps)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (small >= t * large - 1e-9) & (c[i] != c[j]) & ((side[i] == 2) | (side[i] != side[j]))
+        reach = margin(small, large) - overlap_needed(small, large, t) + 1
+        ok = (small >= t * large - 1e-9) & (rank[i] < n[i] + reach) & (rank[j] < n[j] + reach) & (c[i] != c[j]) & ((side[i] == 2) | (side[i] != side[j]))
         i, j = i[ok], j[ok]
         if len(i):
             held.append((c[i], c[j], n[i], n[j]))
@@ -246,7 +299,7 @@ def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, side: np.ndarray, t:
                 o = np.lexsort((b, a))
                 a, b, na, nb = a[o], b[o], na[o], nb[o]
                 f = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                yield pa.RecordBatch.from_pydict({"class_a": pa.array(a[f]), "class_b": pa.array(b[f]), "n_a": pa.array(na[f]), "n_b": pa.array(nb[f]), "shared": pa.array(np.diff(np.concatenate((f, [len(a)]))).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"class_a": pa.array(a[f]), "class_b": pa.array(b[f]), "n_a": pa.array(na[f].astype(np.int32)), "n_b": pa.array(nb[f].astype(np.int32)), "shared": pa.array(np.diff(np.concatenate((f, [len(a)]))).astype(np.int32))})
             held, size = [], 0
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import boilerplate, leakage, mojibake, neardup, quality, residue, splitting, stuffing, tokenize
+from sievelight.llm.bounded import member_bitmap
 from sievelight.llm.pagelines import host_of
 from sievelight.operators.graph import connected_components
 from sievelight.session import materialize, table
@@ -37,18 +38,21 @@ def _host(url: str):
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of urls; copies are paired through their classes (pairs of classes are found once)."""
+    """Pairs of urls; copies are paired through their classes (pairs of classes are found once). Error and placeholder
+    pages are looked for only among the urls that would be in a pair."""
     pages = table(spark, d, "page_cache").select("url", "created_at", "content").where(F.col("url").isNotNull())
-    flagged = residue.score_pages(table(spark, d, "page_cache")).where("residue").select("url")
-    return _url_pairs(pages, flagged)
-
-
-def _url_pairs(pages: DataFrame, flagged: DataFrame) -> DataFrame:
     pairs, sets = neardup.near_pairs(pages, "content", PAGE_SIMILARITY, 5, LEAST_TOKENS, version=("url", "created_at"))
-    members = materialize(residue.latest(sets).where(F.col("class_id").isNotNull()).join(flagged, "url", "left_anti").select("url", "class_id", _host("url").alias("host")))
-    a = members.select(F.col("url").alias("ua"), F.col("class_id").alias("class_a"), F.col("host").alias("ha"))
-    b = members.select(F.col("url").alias("ub"), F.col("class_id").alias("class_b"), F.col("host").alias("hb"))
-    between = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").where("ha != hb")
+    pairs = materialize(pairs.select("class_a", "class_b"))
+    every = materialize(residue.latest(sets).where(F.col("class_id").isNotNull()).select("url", "class_id", _host("url").alias("host")))
+    copies = every.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    wanted = pairs.select(F.col("class_a").alias("class_id")).union(pairs.select("class_b")).union(copies).distinct()
+    members = materialize(every.join(wanted, "class_id"))
+    among = member_bitmap(members.select(F.xxhash64("url").alias("h")), "h", neardup.BITMAP_BITS)
+    flagged = residue.score_pages(table(spark, d, "page_cache"), among=among).where("residue").select("url")
+    kept = materialize(members.join(flagged, "url", "left_anti"))
+    a = kept.select(F.col("url").alias("ua"), F.col("class_id").alias("class_a"), F.col("host").alias("ha"))
+    b = kept.select(F.col("url").alias("ub"), F.col("class_id").alias("class_b"), F.col("host").alias("hb"))
+    between = pairs.join(a, "class_a").join(b, "class_b").where("ha != hb")
     within = a.join(b, (F.col("class_a") == F.col("class_b")) & (F.col("ua") < F.col("ub")) & (F.col("ha") != F.col("hb")))
     return between.select("ua", "ub").union(within.select("ua", "ub")).select(F.least("ua", "ub").alias("url_a"), F.greatest("ua", "ub").alias("url_b"))
 

@@ -19,9 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.bounded import in_bitmap
 from sievelight.llm.pagelines import read
 
 SAMPLE_ROWS = 2500
@@ -221,22 +223,26 @@ def own_lines(content: str, url: str | None) -> list[str]:
     return [t for _, t, v, _, _ in read(content, url) if not v]
 
 
-def score_pages(pages: DataFrame, model: LineModel | None = None) -> DataFrame:
+def score_pages(pages: DataFrame, model: LineModel | None = None, among: Broadcast | None = None) -> DataFrame:
     """One row per url, judged on its latest row: url, residue, positive_words, own_words, best_odds.
 
+    among: a bitmap of xxhash64(url) (bounded.member_bitmap); only urls in it are judged and returned.
+
     NULL and blank contents have residue false and no words; a null url is dropped."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
+            if among is not None:
+                b = b.filter(pa.array(in_bitmap(among.value, b.column(3).to_numpy(zero_copy_only=False).view(np.uint64))))
             out = []
             for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 out.append(judge(own_lines(c, u) if c else [], m))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], names=["url", "created_at", "residue", "positive_words", "own_words", "best_odds"])
 
-    rows = pages.select("url", "content", "created_at").where(F.col("url").isNotNull()).mapInArrow(run, "url string, created_at long, residue boolean, positive_words int, own_words int, best_odds double")
+    rows = pages.select("url", "content", "created_at", *([F.xxhash64("url").alias("h")] if among is not None else [])).where(F.col("url").isNotNull()).mapInArrow(run, "url string, created_at long, residue boolean, positive_words int, own_words int, best_odds double")
     return latest(rows)
 
 
