@@ -15,11 +15,11 @@ from sievelight.operators import cache, pacing
 class _Latest(StatefulProcessor):
     """Keeps the newest content of a url for the time to live; emits each change."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "content string, created_at long", self.ttl_ms)
+        self.state = handle.getValueState("latest", "content string, created_at long", *([self.ttl_ms] if self.ttl_ms else []))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         best = self.state.get() if self.state.exists() else None
@@ -36,9 +36,12 @@ class _Latest(StatefulProcessor):
         pass
 
 
-def latest_pages(stream: DataFrame, ttl_ms: int = cache.PAGE_TTL) -> DataFrame:
-    """Changes of the cache: a row for each capture (url, content, created_at) newer than what is kept."""
-    return stream.groupBy("url").transformWithStateInPandas(_Latest(ttl_ms), "url string, content string, created_at long", "Update", "ProcessingTime")
+def latest_pages(stream: DataFrame, ttl_ms: int | None = cache.PAGE_TTL) -> DataFrame:
+    """Changes of the cache: a row for each capture (url, content, created_at) newer than what is kept.
+
+    A time to live is kept by the clock, so such a stream goes on making batches: run it with a processing-time
+    trigger. Without one (None) it ends with its input under availableNow."""
+    return stream.groupBy("url").transformWithStateInPandas(_Latest(ttl_ms), "url string, content string, created_at long", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 class _Queue(StatefulProcessor):
