@@ -317,7 +317,9 @@ class Reader:
             states_of = {w: self.word(w)[0] for w in set(_WIDE.findall(t))}
             kinds = Counter(s for s in states_of.values() if s and s != "lost")
             if kinds:
-                main = max(kinds, key=lambda k: (kinds[k], k))
+                affected = [w for w, s in states_of.items() if s and s != "lost"]
+                left = lambda k: sum(not c.isascii() and clean_cost(c, "", "") < -7 for w in affected for c in self.word(w, k)[1])
+                main = min(kinds, key=lambda k: (left(k) if len(kinds) > 1 else 0, -kinds[k], k))
 
                 def sub(m):
                     w = m.group()
