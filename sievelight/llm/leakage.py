@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.vector import grams, tokens
+from sievelight.llm.mojibake import _reader
 
 K = 4
 BLOCK = 4000
@@ -35,22 +36,28 @@ COMMON = 0.8
 
 _NOISE = re.compile(r"^[\d\s:.,;<>\-–—]*\d[\d\s:.,;<>\-–—]*$|^WEBVTT.*$|<[^>\n]*>|\{[^}\n]*\}|\[[^\]\n]*\]|\([^)\n]*\)|\*[^*\n]{0,60}\*|^[A-Z][A-Z .'-]+:", re.M)
 _TIMES = re.compile(r"^.*\d\d:\d\d[^\n]*$", re.M)
+_LOST = re.compile(r"(?<=[^\W\d_])[?\ufffd]+(?=[^\W\d_])|\ufffd")
 _SOFT = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
 def normal(t: str | None) -> bytes:
-    """Lower-case words of a text without accents, cue marks, tags and sound descriptions."""
+    """Lower-case words of a text without accents, cue marks, tags and sound descriptions.
+
+    Text in a wrong encoding is restored first; a letter that is lost stays as one wrong character of its word."""
     if not t:
         return b""
     t = _NOISE.sub(" ", _TIMES.sub(" ", t.replace("\r", "\n")))
+    if "?" in t or not t.isascii():
+        t = _LOST.sub("_", t)
     if not t.isascii():
+        t = _reader().text(t)[1]
         t = _SOFT.sub("", t)
         t = "".join([c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f"])
     return t.lower().encode("utf-8", "replace")
 
 
 _WORDS = np.zeros(256, bool)
-_WORDS[48:58] = _WORDS[97:123] = _WORDS[128:] = True
+_WORDS[48:58] = _WORDS[97:123] = _WORDS[95] = _WORDS[128:] = True
 
 
 def _close(a: bytes, b: bytes) -> bool:

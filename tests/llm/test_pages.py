@@ -25,7 +25,7 @@ TAGS = " | ".join(f"word{n} | nameRiver | thing{n % 9}" for n in range(10, 40))
 def corpus():
     rows = []
     for i in range(60):
-        rows.append((f"https://h{i % 7}.example/p{i}", ARTICLE.replace("late", f"late {i}"), 1000 + i))
+        rows.append((f"https://h{i % 7}.example/p{i}", ARTICLE.replace("A late", "A late" + chr(97 + i % 26) * (1 + i // 26)).replace("A Writer", "A " + chr(65 + i % 26) * (2 + i // 26)), 1000 + i))
     for i, e in enumerate(ERRORS * 4):
         rows.append((f"https://h{i % 7}.example/e{i}", e, 1000 + i))
     named = {"list": LIST, "table": TABLE, "stuffed": STUFFED, "links": LINKS, "tags": TAGS, "blank": "  \n", "empty": "", "null": None}
