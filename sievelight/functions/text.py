@@ -72,34 +72,42 @@ def clamp01(c: Column) -> Column:
 
 def density_signals(c: Column) -> Column:
     """Struct of words, link_ratio, duplicate_ratio, boilerplate_ratio, mean_sentence_words; ratios of nothing are 0."""
-    links = F.regexp_count(c, F.lit(LINK))
-    text = F.regexp_replace(c, LINK, "$1")
-    words = word_count(text)
-    lines = F.filter(F.transform(F.split(text, "\n"), js_trim), lambda x: x != "")
-    furniture = F.size(F.filter(lines, lambda x: x.rlike(BOILERPLATE) | (word_count(x) <= 4)))
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), normalized_paragraph), lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != "")) > 4)
-    repeats = F.size(paragraphs) - F.size(F.array_distinct(paragraphs))
-    sentences = F.filter(F.transform(F.split(text, r"[.!?]+\s"), word_count), lambda n: n > 0)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    total = F.aggregate(sentences, F.lit(0), lambda s, n: s + n)
-    return F.when(
-        c.isNotNull(),
-        F.struct(
-            words.cast("double").alias("words"),
-            ratio(links * 100.0, words).alias("link_ratio"),
-            ratio(repeats, F.size(paragraphs)).alias("duplicate_ratio"),
-            ratio(furniture, F.size(lines)).alias("boilerplate_ratio"),
-            ratio(total, F.size(sentences)).alias("mean_sentence_words"),
+
+    def signals(text: Column) -> Column:
+        lines = F.filter(F.transform(F.split(text, "\n"), js_trim), lambda x: x != "")
+        furniture = lambda ls: ratio(F.size(F.filter(ls, lambda x: x.rlike(BOILERPLATE) | (word_count(x) <= 4))), F.size(ls))
+        paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), normalized_paragraph), lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != "")) > 4)
+        repeats = lambda ps: ratio(F.size(ps) - F.size(F.array_distinct(ps)), F.size(ps))
+        sentences = F.filter(F.transform(F.split(text, r"[.!?]+\s"), word_count), lambda n: n > 0)
+        mean = lambda ns: ratio(F.aggregate(ns, F.lit(0), lambda s, n: s + n), F.size(ns))
+        return F.struct(word_count(text).alias("words"), let(paragraphs, repeats).alias("dup"), let(lines, furniture).alias("boiler"), let(sentences, mean).alias("mean"))
+
+    links = F.regexp_count(c, F.lit(LINK))
+    s = let(F.regexp_replace(c, LINK, "$1"), signals)
+    made = let(
+        s,
+        lambda x: F.struct(
+            x["words"].cast("double").alias("words"),
+            ratio(links * 100.0, x["words"]).alias("link_ratio"),
+            x["dup"].alias("duplicate_ratio"),
+            x["boiler"].alias("boilerplate_ratio"),
+            x["mean"].alias("mean_sentence_words"),
         ),
     )
+    return F.when(c.isNotNull(), made)
 
 
 def information_density(s: Column) -> Column:
     """Score in [0, 1] of a struct of density_signals, four decimals; 0 without words."""
-    mean = s["mean_sentence_words"]
-    shape = F.when(mean == 0, F.lit(0.1)).otherwise(clamp01(F.abs(mean - 18) / 30) * 0.1)
-    score = 1 - clamp01(s["link_ratio"] / 12) * 0.35 - s["duplicate_ratio"] * 0.25 - clamp01(s["boilerplate_ratio"]) * 0.3 - shape
-    return F.when(s.isNotNull(), F.when(s["words"] == 0, F.lit(0.0)).otherwise(F.round(clamp01(score), 4)))
+
+    def score(x: Column) -> Column:
+        mean = x["mean_sentence_words"]
+        shape = F.when(mean == 0, F.lit(0.1)).otherwise(clamp01(F.abs(mean - 18) / 30) * 0.1)
+        total = 1 - clamp01(x["link_ratio"] / 12) * 0.35 - x["duplicate_ratio"] * 0.25 - clamp01(x["boilerplate_ratio"]) * 0.3 - shape
+        return F.when(x["words"] == 0, F.lit(0.0)).otherwise(F.round(clamp01(total) + 1e-9, 4))  # ties go up on every platform
+
+    return F.when(s.isNotNull(), let(s, score))
 
 
 def density_weight(density: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions import urls as U
 from sievelight.operators.graph import connected_components
+from sievelight.session import materialize
 
 SIMILARITY_NUMERATOR, SIMILARITY_DENOMINATOR = 4, 10
 LEAST_TOKENS = 20
@@ -36,7 +37,7 @@ def analyze(docs: DataFrame, by: str = "call_id") -> DataFrame:
     page other than it whose text matched another's is a content duplicate. Malformed urls share no host."""
     h = docs.select(by, "ord", U.host(F.col("url")).alias("host")).where("host <> ''")
     ha, hb = (h.select(by, F.col("ord").alias(x), F.col("host").alias("h" + x)) for x in ("a", "b"))
-    alike = text_pairs(docs, by).select(by, "a", "b").join(ha, [by, "a"], "left").join(hb, [by, "b"], "left").where("ha IS NULL OR hb IS NULL OR ha <> hb").select(by, "a", "b")
+    alike = materialize(text_pairs(docs, by).select(by, "a", "b").join(ha, [by, "a"], "left").join(hb, [by, "b"], "left").where("ha IS NULL OR hb IS NULL OR ha <> hb").select(by, "a", "b"))
     # pages of one host are chained to the host's first page: as many links as pages
     first = h.withColumn("a", F.min("ord").over(Window.partitionBy(by, "host"))).where("ord > a").select(by, "a", F.col("ord").alias("b"))
     node = lambda c: F.struct(F.col(by).alias("call"), F.col(c).alias("ord"))

@@ -240,12 +240,12 @@ def bm25_passages(spark, d):
 
 
 def _opened(spark, d):
-    p = V.call_pages(spark, d)
-    q = table(spark, d, "questions").select(F.col("id").alias("question_id"), F.col("text").alias("question"))
-    v = table(spark, d, "independence").dropDuplicates(["call_id", "ord"]).select("call_id", "ord", "cluster", "content_duplicate")
     score = T.information_density(T.density_signals(F.col("content")))
     title = F.regexp_extract("content", r"^\s*#*\s*([^\r\n]*)", 1)
-    return p.join(F.broadcast(q), "question_id").join(v, ["call_id", "ord"]).withColumn("density", score).withColumn("title", title)
+    pages = V.latest_pages(spark, d).select("url", "content", score.alias("density"), title.alias("title"))
+    calls = table(spark, d, "independence").dropDuplicates(["call_id", "ord"]).select("call_id", "question_id", "ord", "url", "cluster", "content_duplicate")
+    q = table(spark, d, "questions").select(F.col("id").alias("question_id"), F.col("text").alias("question"))
+    return calls.join(pages, "url", "left").join(F.broadcast(q), "question_id")  # 60 questions
 
 
 @query

@@ -115,7 +115,7 @@ c AS (SELECT url, words, CASE WHEN words > 0 THEN links * 100.0 / words ELSE 0 E
   CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '{NAV}') OR {WORDS.format('x')} <= 4))::DOUBLE / len(lines) ELSE 0 END AS boilerplate_ratio,
   CASE WHEN len(sents) > 0 THEN list_sum(sents)::DOUBLE / len(sents) ELSE 0 END AS mean_sentence_words FROM b)
 SELECT url, words, round(link_ratio, 6) AS link_ratio, round(duplicate_ratio, 6) AS duplicate_ratio, round(boilerplate_ratio, 6) AS boilerplate_ratio, round(mean_sentence_words, 6) AS mean_sentence_words,
-  CASE WHEN words = 0 THEN 0.0 ELSE round(least(1.0, greatest(0.0, 1 - least(1.0, link_ratio / 12) * 0.35 - duplicate_ratio * 0.25 - least(1.0, boilerplate_ratio) * 0.3 - CASE WHEN mean_sentence_words = 0 THEN 0.1 ELSE least(1.0, abs(mean_sentence_words - 18) / 30) * 0.1 END)), 4) END AS score FROM c"""
+  CASE WHEN words = 0 THEN 0.0 ELSE round(least(1.0, greatest(0.0, 1 - least(1.0, link_ratio / 12) * 0.35 - duplicate_ratio * 0.25 - least(1.0, boilerplate_ratio) * 0.3 - CASE WHEN mean_sentence_words = 0 THEN 0.1 ELSE least(1.0, abs(mean_sentence_words - 18) / 30) * 0.1 END)) + 1e-9, 4) END AS score FROM c"""
 
 
 def _html() -> str:
