@@ -5,9 +5,10 @@ lower-case form. Lines that are host furniture (pagelines) are marked and left a
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from sievelight.functions.vector import U, tokens
 from sievelight.llm.pagelines import read
@@ -38,6 +39,13 @@ for _c in "|\t/":
     _OTHER[ord(_c)] = SEPARATOR
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones: a page's bytes take some forty bytes of working memory each."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class Pages:
     """The words of a batch of pages.
 
