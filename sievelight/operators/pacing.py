@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -13,20 +13,25 @@ INTERVAL, COOLDOWN, RETRIES = 1_000, 60_000, 2
 RETRY_STATUS = (429, 503)
 
 
-def schedule(requests: DataFrame, interval: int = INTERVAL, provider: str = "provider") -> DataFrame:
+def schedule(requests: DataFrame, interval: int = INTERVAL, provider: str = "provider", block_ms: int = 3_600_000) -> DataFrame:
     """Adds start_ms and end_ms to requests(provider, ord, arrive_ms, duration_ms): first come first served, one at a
     time, the next ``interval`` after the one before ended. Ties are served by ord.
 
     start_i = max(arrive_i, end_(i-1) + interval) is a running maximum: with s_i the sum of durations and intervals
-    before i, start_i - s_i = max over j <= i of (arrive_j - s_j). Two window functions, no fold over a group in one
-    value; the window itself needs a provider's calls in order, spilled to disk where they are many."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(provider).orderBy("arrive_ms", "ord")
-    before = F.coalesce(F.sum(F.col("duration_ms") + interval).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = requests.withColumn("_s", before)
-    start = F.max(F.col("arrive_ms") - F.col("_s")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_s")
-    return rows.withColumn("start_ms", start.cast("long")).withColumn("end_ms", (F.col("start_ms") + F.col("duration_ms")).cast("long")).drop("_s")
+    before i, start_i - s_i = max over j <= i of (arrive_j - s_j). Sums and maxima are taken within blocks of time,
+    then over the blocks (one row each), and put together, so a provider with most of the calls is many tasks."""
+    rows = requests.withColumn("_b", F.floor(F.col("arrive_ms") / block_ms))
+    own = Window.partitionBy(provider, "_b").orderBy("arrive_ms", "ord")
+    work = F.col("duration_ms") + interval
+    rows = rows.withColumn("_s", F.coalesce(F.sum(work).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_m", F.max(F.col("arrive_ms") - F.col("_s")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = rows.groupBy(provider, "_b").agg(F.sum(work).alias("_work"), F.max("_m").alias("_most"))
+    earlier = Window.partitionBy(provider).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_sum", F.coalesce(F.sum("_work").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("_max", F.max(F.col("_most") - F.col("_sum")).over(earlier)).select(provider, "_b", "_sum", "_max")
+    out = rows.join(blocks, [provider, "_b"])
+    start = F.greatest("_max", F.col("_m") - F.col("_sum")) + F.col("_s") + F.col("_sum")  # greatest skips the null of the first block
+    return out.withColumn("start_ms", start.cast("long")).withColumn("end_ms", (F.col("start_ms") + F.col("duration_ms")).cast("long")).select(*requests.columns, "start_ms", "end_ms")
 
 
 def cooled(requests: DataFrame, cooldown: int = COOLDOWN, provider: str = "provider") -> DataFrame:

@@ -40,25 +40,36 @@ def deduplicate(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out.select(*by, "norm_url", "position", *[F.col(f"best.r.{c}").alias(c) for c in rest])
 
 
-def rerank(results: DataFrame, query: Column, as_of: Column, days: int = 30, by: tuple[str, ...] = (), order: str = "position") -> DataFrame:
+def scored(results: DataFrame, query: Column, as_of: Column, days: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds relevance = half the term overlap + fifth of the domain score + fifth of recency + tenth of the score's
-    share of the set's greatest, and rank (1-based, by relevance and then by the order given)."""
+    share of the set's greatest."""
     best = F.greatest(F.max(F.coalesce("score", F.lit(0.0))), F.lit(0.0)).alias("best_score")
     if by:
-        top = results.groupBy(*by).agg(best)
-        rows = results.join(top, list(by))
+        rows = results.join(results.groupBy(*by).agg(best), list(by))
     else:
-        rows = results.crossJoin(F.broadcast(results.agg(best)))  # one row
+        rows = results.join(F.broadcast(results.agg(best)), F.lit(True))  # one row
     share = F.when(F.col("best_score") > 0, F.coalesce("score", F.lit(0.0)) / F.col("best_score")).otherwise(F.lit(0.0))
     relevance = T.term_overlap(query, F.col("title"), F.col("snippet")) * 0.5 + U.domain_score(F.col("url")) * 0.2 + T.recency(F.col("published"), as_of, days) * 0.2 + share * 0.1
-    w = Window.partitionBy(*(by or (F.lit(0),))).orderBy(F.desc("relevance"), F.col(order))
-    return rows.withColumn("relevance", relevance).withColumn("rank", F.row_number().over(w)).drop("best_score")
+    return rows.withColumn("relevance", relevance).drop("best_score")
+
+
+def numbered(rows: DataFrame, by: tuple[str, ...] = (), order: str = "position") -> DataFrame:
+    """Adds rank, 1-based by relevance and then by the order given, in each set."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(F.desc("relevance"), F.col(order))))
+
+
+def rerank(results: DataFrame, query: Column, as_of: Column, days: int = 30, by: tuple[str, ...] = (), order: str = "position") -> DataFrame:
+    """scored and numbered: every row of each set with its relevance and rank."""
+    return numbered(scored(results, query, as_of, days, by), by, order)
 
 
 def search(results: DataFrame, query: Column, as_of: Column, limit: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """De-duplicated, ranked, the first ``limit`` of each set; no filter on dates."""
     _check("limit", limit, 1, 20)
-    return rerank(deduplicate(results, by), query, as_of, by=by).where(F.col("rank") <= limit)
+    rows = scored(deduplicate(results, by), query, as_of, by=by)
+    if not by:  # a top-k of the whole table, never a sort of it in one task
+        rows = rows.orderBy(F.desc("relevance"), "position").limit(limit)
+    return numbered(rows, by).where(F.col("rank") <= limit)
 
 
 def find_on_site(results: DataFrame, site: str, query: Column, as_of: Column, limit: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
