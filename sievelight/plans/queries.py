@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions import urls as U
 from sievelight.functions import web as W
-from sievelight.operators import cache, evaluate, expand, independence, pacing, passages, research, results, router, screen
+from sievelight.operators import cache, evaluate, expand, independence, pacing, passages, research, results, router, screen, tools
 from sievelight.plans import sql
 from sievelight.plans import views as V
 from sievelight.session import table
@@ -209,6 +209,19 @@ def extraction_stats(spark, d):
     return s.select(F.explode("method_counts").alias("method", "n"), F.round("avg_confidence", 6).alias("avg_confidence"))
 
 
+@query
+def extract_tool(spark, d):
+    p = V.html_pages(spark, d)
+    none = F.lit(None).cast("struct<content:string,extraction_method:string,confidence:double>")
+    rows = p.select("url", "status", "html", none.alias("cached"), F.lit(None).cast("string").alias("rendered_html"), F.array().cast("array<string>").alias("api_payloads"), F.lit(False).alias("skip_browser"))
+    return tools.web_extract(rows, "fast").select("url", "method", "confidence", "error", "injection_suspected", "budget_ms")
+
+
+@query
+def publishable_data(spark, d):
+    return tools.publishable(V.html_pages(spark, d)).select("url", F.size("json_ld").alias("n_json_ld"), F.array_join("present", " ").alias("present"), "readable_chars")
+
+
 # independence, passages, research
 
 
@@ -265,6 +278,14 @@ def research_answers(spark, d):
     return research.answers(opened, research.citations(opened))
 
 
+@query
+def research_tool(spark, d):
+    """Each question with the results of the pages its calls looked at, from ranking to citations."""
+    found = V.asked_results(spark, d).withColumn("query", F.col("question")).drop("question", "question_id")
+    r = tools.web_research(table(spark, d, "questions"), found, V.latest_pages(spark, d), V.as_of())
+    return r.citations.select("call_id", "citation", "url", "start_pos", "end_pos", "relevance")
+
+
 @query
 def question_coverage(spark, d):
     q = table(spark, d, "questions").select(F.col("id").alias("question_id"), F.col("text").alias("question"))

@@ -1,7 +1,7 @@
 """ANSI SQL (DuckDB) of the queries, written independently of the operators.
 
-Left out, as SQL cannot express them or only by repeating the operator: parsers of unknown depth (router_tiers),
-packing of passages (passages_split, citations, research_evidence, research_answers) and cool-downs
+Left out, as SQL cannot express them or only by repeating the operator: parsers of unknown depth (router_tiers, extract_tool),
+packing of passages (passages_split, citations, research_evidence, research_answers, research_tool) and cool-downs
 (provider_cooldowns); those are tested against brute force."""
 
 from __future__ import annotations
@@ -193,6 +193,9 @@ CASE WHEN length(visible) < 500 THEN 'browser_api_intercept' ELSE 'readability'
     "json_ld": f"""
 WITH {_html()}
 SELECT url, 0::BIGINT AS no, title AS headline, length(left(content, 600))::INTEGER AS n_body FROM html WHERE html <> '' AND n % 3 = 0 AND NOT contains(lower(left(content, 600)), '</script>')""",
+    "publishable_data": f"""
+WITH {_html()}
+SELECT url, (html <> '' AND n % 3 = 0 AND NOT contains(lower(left(content, 600)), '</script>'))::INTEGER AS n_json_ld, CASE WHEN html = '' THEN '' ELSE CASE n % 4 WHEN 0 THEN 'nextData' WHEN 2 THEN 'nuxt' ELSE '' END END AS present, 0 AS readable_chars FROM html""",
     "fusion": """
 WITH s AS (SELECT DISTINCT url, created_at AS ord, CASE extraction_method WHEN 'browser_api_intercept' THEN 'api' WHEN 'jsonld' THEN 'jsonld' WHEN 'rendered' THEN 'rendered' WHEN 'hydration_data' THEN 'metadata' ELSE 'readability' END AS method, coalesce(confidence, 0.0) AS confidence, content FROM page_cache),
 e AS (SELECT *, greatest(CASE method WHEN 'api' THEN 0.99 WHEN 'jsonld' THEN 0.95 WHEN 'rendered' THEN 0.9 WHEN 'readability' THEN 0.85 ELSE 0.6 END::DOUBLE, confidence) AS eff FROM s WHERE regexp_matches(coalesce(content, ''), '\\S')),
