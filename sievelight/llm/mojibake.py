@@ -92,7 +92,7 @@ def clean_cost(c: str, before: str, after: str) -> float:
     s = _kind_cost(c)
     if c == "\u00a0":
         return -4.0
-    if c == "°" and not before.isalpha():
+    if c == "°" and before.isdigit():
         return -5.0
     if c in SIGNS and c not in "’‘–—…“”♪":
         if (before.isalpha() and not (c in "»”…!™®" and not after.isalpha())) or (after.isalpha() and c not in "¿¡«„“‘©№"):
@@ -259,7 +259,7 @@ def asked(t: str) -> bool:
 
 def safe(word: str) -> bool:
     w = _TAGS.sub("", word)
-    if w.isascii() or _JAPAN.fullmatch(w):
+    if w.isascii() or w.strip(".,;:!?") in ("°", "°C", "°F") or _JAPAN.fullmatch(w):
         return True
     if _SAFE.fullmatch(w):
         # many accented letters and no plain vowel: another alphabet read as Latin

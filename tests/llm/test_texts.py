@@ -109,13 +109,14 @@ def test_single_bytes():
     r = mojibake.Reader()
     for t, true, wrong in [(GOOD[1], "cp1252", "cp437"), (GOOD[3], "cp1252", "mac_roman"), (GOOD[4], "cp1250", "cp1252"), (GOOD[5], "koi8-r", "cp1251"), (GOOD[5], "cp1251", "cp1252")]:
         assert r.text(t.encode(true).decode(wrong, "replace"))[0]
+    assert r.text("°Cuidado, señor!")[0]
     twice = "ÃƒÂ©tÃƒÂ©"
     assert r.text(twice) == (["utf-8>cp1252 twice"], "été")
 
 
 def test_clean_texts():
     r = mojibake.Reader()
-    for t in GOOD + ["It’s a naïve idea — à la carte… £15, ½ of 25°C", "♪ la la ♪ 😀", "x y", "What?! Why? Nein?Doch", "古い森を閉めた。", "Éc0ute-moi, Iittle page", "Où est-il ? Là.", "ＤＡＳ ÖLLAGER", ""]:
+    for t in GOOD + ["It’s a naïve idea — à la carte… £15, ½ of 25°C", "♪ la la ♪ 😀", "x y", "What?! Why? Nein?Doch", "古い森を閉めた。", "Éc0ute-moi, Iittle page", "Où est-il ? Là.", "It is 25 °C, or 77 °F.", "ＤＡＳ ÖLLAGER", ""]:
         assert r.text(t) == ([], t), t
 
 
