@@ -18,7 +18,6 @@ blocks, and each pair of blocks is a task of its own."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,8 +300,3 @@ def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, r: np.ndarray, t: fl
                 f = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
                 yield pa.RecordBatch.from_pydict({"class_a": pa.array(a[f]), "class_b": pa.array(b[f]), "n_a": pa.array(na[f].astype(np.int32)), "n_b": pa.array(nb[f].astype(np.int32)), "shared": pa.array(np.diff(np.concatenate((f, [len(a)]))).astype(np.int32))})
             held, size = [], 0
-
-
-def share(t: float) -> float:
-    """The part of |A| + |B| by which two sets of similarity t differ."""
-    return (1 - t) / (1 + t) if not math.isclose(t, 1) else 0.0

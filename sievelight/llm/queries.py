@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sievelight.llm import boilerplate, leakage, mojibake, neardup, quality, residue, splitting, stuffing, tokenize
 from sievelight.llm.bounded import member_bitmap
-from sievelight.llm.pagelines import host_of
 from sievelight.operators.graph import connected_components
 from sievelight.session import materialize, table
 
@@ -119,5 +118,3 @@ def p9_repairs(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_signals, p2_found, p2_bodies, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_found, p8_clean, p9_found, p9_repairs)}
 
-
-__all__ = ["queries", "host_of"]
