@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
-from sievelight.functions import urls as U
 from sievelight.functions import web as W
 
 # Confidence of each tier and baseline of each strategy.
@@ -107,5 +106,3 @@ def statistics(extracted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     counts = extracted.groupBy(*by, "method").agg(F.count("*").alias("n"), F.sum("confidence").alias("s"))
     return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n")))).alias("method_counts"), F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.0)).alias("avg_confidence"))
 
-
-__all__ = ["U", "route", "fallback", "fuse", "merge_payloads", "statistics", "published_objects", "structured_content", "is_product", "blocked"]
