@@ -3,9 +3,12 @@
 Each page's lines are read into containers with a local verdict (pagelines). The labels and masked lines of containers
 are generalised paths that vote for their host: how many of its pages hold the path, and how often the local verdict
 there was furniture. A path wins on its host if furniture is its usual verdict or if it stands on too large a part of
-the host's pages to belong to any one body; lines the local reading left open fall to the winning paths. Votes are
-counted with partial aggregation over (host, path), so a host with a third of all pages is no hot key; the join with
-the winners is salted. Null and blank contents have no lines; a url is judged on its latest row."""
+the host's pages to belong to any one body; lines the local reading left open fall to the winning paths. Every open
+line with a letter in it votes, whatever its length or ending; sentences, long lines, links and rows with separators
+vote as whole masked lines and need a larger part of the pages, for a body may repeat a sentence. Such lines stay where
+most of their pages would keep hardly any text of their own: these pages are copies of one body. Votes are counted with
+partial aggregation over (host, path), so a host with a third of all pages is no hot key; the join with the winners is
+salted. Null and blank contents have no lines; a url is judged on its latest row."""
 
 from __future__ import annotations
 
@@ -25,16 +28,30 @@ LEAST_PAGES = 4
 #: Part of a path's places with a local verdict of furniture, or part of all pages of the host, from which it wins.
 AGREED = 0.5
 SPREAD = 0.1
+#: The same part for whole lines: sentences, links, rows with separators and lines of more than SHORT characters.
+WHOLE_SPREAD = 0.25
+SHORT = 120
+#: A page is a copy if its open text that stays is less than this part of the whole lines that would fall.
+OWN = 0.5
 SALTS = 8
 
 
-def _key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
+def _key(path: str, whole: bool = False) -> int:
+    """Hash of a path; its last bit tells a whole line."""
+    return (xxhash.xxh64_intdigest(path) & ~1 | whole) - (1 << 63)
+
+
+def _whole(t: str, form: str) -> bool:
+    return len(t) > SHORT or t[-1] in ".!?" or form in ("l", "x") or (form != "" and any(x in t for x in "|;\t"))
+
+
+def _is_whole(path: str):
+    return F.col(path).bitwiseAND(F.lit(1)) == 1
 
 
 def containers(pages: DataFrame, model: residue.LineModel | None = None) -> DataFrame:
     """One row per url (latest): host, residue flag, sure (line numbers of furniture), open (undecided lines with
-    their paths), votes (distinct paths of sure menu lines)."""
+    their lengths and paths), votes (distinct paths of sure lines)."""
     shared = pages.sparkSession.sparkContext.broadcast(model or residue.train(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,25 +66,24 @@ def containers(pages: DataFrame, model: residue.LineModel | None = None) -> Data
                     if v:
                         sure.append(no)
                         if v == "M":
-                            vote.update(parts)
-                        elif len(t) <= 120:
-                            vote.add(masked(t))
-                    elif not flag and len(t) <= 120 and any(x.isalpha() for x in t) and t[-1] not in ".!?":
-                        if form in ("b", "s", "p") and not any(x in t for x in "|;\t"):
-                            undecided.append({"line": no, "paths": [_key(p) for p in parts]})
-                        elif not form:
-                            undecided.append({"line": no, "paths": [_key(masked(t))]})
+                            vote.update(_key(p) for p in parts)
+                        # menus vote as lines too: the same line is a menu on one page and open on another
+                        if v != "M" or _whole(t, form):
+                            vote.add(_key(masked(t), _whole(t, form)))
+                    elif not flag and any(x.isalpha() for x in t):
+                        whole = _whole(t, form)
+                        undecided.append({"line": no, "size": len(t), "paths": [_key(p) for p in parts] if form and not whole else [_key(masked(t), whole)]})
                 hosts.append(host_of(u))
                 flags.append(flag)
                 sures.append(sure)
                 opens.append(undecided)
-                votes.append([_key(p) for p in sorted(vote)])
+                votes.append(sorted(vote))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(hosts, pa.string()), pa.array(flags, pa.bool_()), pa.array(sures, pa.list_(pa.int32())), pa.array(opens, pa.list_(pa.struct([("line", pa.int32()), ("paths", pa.list_(pa.int64()))]))), pa.array(votes, pa.list_(pa.int64()))],
+                [b.column(0), b.column(2), pa.array(hosts, pa.string()), pa.array(flags, pa.bool_()), pa.array(sures, pa.list_(pa.int32())), pa.array(opens, pa.list_(pa.struct([("line", pa.int32()), ("size", pa.int32()), ("paths", pa.list_(pa.int64()))]))), pa.array(votes, pa.list_(pa.int64()))],
                 names=["url", "created_at", "host", "residue", "sure", "open", "votes"],
             )
 
-    schema = "url string, created_at long, host string, residue boolean, sure array<int>, open array<struct<line:int,paths:array<bigint>>>, votes array<bigint>"
+    schema = "url string, created_at long, host string, residue boolean, sure array<int>, open array<struct<line:int,size:int,paths:array<bigint>>>, votes array<bigint>"
     rows = pages.select("url", "content", "created_at").where(F.col("url").isNotNull() & F.col("content").isNotNull()).mapInArrow(run, schema)
     return residue.latest(rows)
 
@@ -78,17 +94,23 @@ def winners(read_pages: DataFrame) -> DataFrame:
     votes = read_pages.select("host", F.explode(F.concat(F.transform("votes", lambda p: F.struct(p.alias("path"), F.lit(1).alias("sure"))), F.transform(F.array_except(opened, "votes"), lambda p: F.struct(p.alias("path"), F.lit(0).alias("sure"))))).alias("v"))
     counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.count("*").alias("pages"), F.avg("v.sure").alias("agreed")).where(F.col("pages") >= LEAST_PAGES)
     hosts = read_pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    return counted.join(hosts, "host").where((F.col("agreed") >= AGREED) | (F.col("pages") >= SPREAD * F.col("host_pages"))).select("host", "path", "pages", "agreed")
+    spread = F.when(_is_whole("path"), WHOLE_SPREAD).otherwise(SPREAD)
+    return counted.join(hosts, "host").where((F.col("agreed") >= AGREED) | (F.col("pages") >= spread * F.col("host_pages"))).select("host", "path", "pages", "agreed")
 
 
 def furniture_lines(pages: DataFrame, model: residue.LineModel | None = None) -> DataFrame:
     """(url, line_no) of every line that is no part of its page's own body."""
     seen = materialize(containers(pages, model))
     sure = seen.select("url", F.explode("sure").alias("line_no"))
-    lines = seen.select("url", "host", F.explode("open").alias("o")).select("url", "host", F.col("o.line").alias("line_no"), F.size("o.paths").alias("n"), F.explode("o.paths").alias("path"))
+    total = F.aggregate("open", F.lit(0), lambda n, o: n + o["size"])
+    lines = seen.select("url", "host", total.alias("total"), F.explode("open").alias("o")).select("url", "host", "total", F.col("o.line").alias("line_no"), F.col("o.size").alias("size"), F.size("o.paths").alias("n"), F.explode("o.paths").alias("path"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
     won = winners(seen).select("host", "path").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    fell = salted.join(won, ["host", "path", "salt"]).groupBy("url", "line_no", "n").agg(F.count("*").alias("k")).where(F.col("k") >= F.col("n")).select("url", "line_no")
+    fell = salted.join(won, ["host", "path", "salt"]).groupBy("url", "line_no", "n", "host", "total", "size").agg(F.count("*").alias("k"), F.min("path").alias("path")).where(F.col("k") >= F.col("n"))
+    fell = materialize(fell.select("url", "host", "line_no", "path", "total", "size"))
+    copies = fell.groupBy("url").agg((F.max("total") - F.sum("size") < OWN * F.sum(F.when(_is_whole("path"), F.col("size")).otherwise(0))).alias("copy"))
+    copied = fell.where(_is_whole("path")).join(copies, "url").groupBy("host", "path").agg(F.avg(F.col("copy").cast("int")).alias("part")).where("part > 0.5")
+    fell = fell.join(copied, ["host", "path"], "left_anti").select("url", "line_no")
     return sure.union(fell).select("url", F.col("line_no").cast("long").alias("line_no"))
 
 

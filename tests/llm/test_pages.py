@@ -101,3 +101,18 @@ def test_votes(spark):
     rows = [(f"https://a.example/{i}", page("House rules of the place", f"Title {chr(97 + i)}", "", PROSE * 2), i) for i in range(8)]
     got = boilerplate.furniture_lines(spark.createDataFrame(rows, "url string, content string, created_at long")).collect()
     assert {(r.url, r.line_no) for r in got} == {(u, 0) for u, _, _ in rows}
+
+
+def test_votes_of_sentences(spark):
+    """Notices in sentence form, long lines and rows of unknown labels or links fall to the vote, sentences of few pages do not."""
+    notice = "Our partners may look at how you read this place."
+    long = "Readers of this place are asked to keep the peace of the valley and to write to the keeper about whatever they miss, " * 2 + "at any hour"
+    rows_ = ["Weirs | Sluices | Locks", "[Weirs and locks](https://elsewhere.example/weirs)"]
+    rows = []
+    for i in range(20):
+        own = PROSE.replace("valley", "valley of " + chr(97 + i) * 4)
+        rows.append((f"https://b.example/{i}", page(notice, f"Title {chr(97 + i)}", "", own, "The refrain of four pages is sung here." if i < 4 else own * 2, "", long, "", *rows_), i))
+    got = {}
+    for r in boilerplate.furniture_lines(spark.createDataFrame(rows, "url string, content string, created_at long")).collect():
+        got.setdefault(r.url, []).append(r.line_no)
+    assert {u: sorted(n) for u, n in got.items()} == {u: [0, 6, 8, 9] for u, _, _ in rows}
