@@ -3,8 +3,8 @@
 Each Arrow batch of documents is a shard. Its words (cue numbers, times, tags, sound descriptions, case, punctuation
 and accents removed) are hashed, and the suffixes that begin with K words which also occur in a test item are sorted
 in a suffix array; every test suffix is binary-searched in it, which gives all verbatim matches of K words and more
-with their places. Matches that follow one another in item and document with small gaps are chained, and chains long
-enough are aligned word by word, so that replaced or damaged words inside a passage do not end it.
+with their places. Matches that follow one another in item and document with small gaps are chained, each diagonal in
+a chain of its own, and chains long enough are aligned word by word, so that replaced or damaged words inside a passage do not end it.
 
 A document leaks an item if the aligned part spans half of the item's words. Nothing is shuffled; items (a fixed
 table) are broadcast in blocks of at most BLOCK. NULL and empty texts leak nothing; items of fewer than K words are
@@ -161,24 +161,29 @@ def find(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int
             x = max(int(bounds[d[a]]), lo_ - len(words) // 2 - 4)
             y = min(int(bounds[d[a] + 1]), hi_ + len(words) // 2 + 4)
             f, l, c = align(words, [buf[s[k] : e[k]] for k in range(x, y)])
-            if best is None or l - f > best[1] - best[0]:
+            if l - f >= PART * len(words) - 1 and c >= COMMON * (l - f) and (best is None or l - f > best[1] - best[0]):
                 best = (f, l, c)
-        if best and best[1] - best[0] >= PART * len(words) - 1 and best[2] >= COMMON * (best[1] - best[0]):
+        if best:
             out.append((int(d[a]), i, *best))
     return out
 
 
 def _chains(ip: np.ndarray, dp: np.ndarray, need: int) -> list[tuple[int, int]]:
-    """Ranges of document words of chains of matches that span ``need`` item words."""
+    """Ranges of document words of chains of matches that span ``need`` item words.
+
+    Chains on different diagonals stay open side by side; a match joins the nearest within GAP or begins its own."""
     o = np.lexsort((ip, dp))
-    out, chain = [], []
+    out, chains = [], []
     for i, p in zip(ip[o].tolist(), dp[o].tolist()):
-        if chain and p - chain[-1][1] > GAP + K:
-            out.append(chain)
-            chain = []
-        if not chain or abs((p - i) - (chain[-1][1] - chain[-1][0])) <= GAP:
-            chain.append((i, p))
-    out.append(chain)
+        if any(p - c[-1][1] > GAP + K for c in chains):
+            out += [c for c in chains if p - c[-1][1] > GAP + K]
+            chains = [c for c in chains if p - c[-1][1] <= GAP + K]
+        near = min(chains, key=lambda c: abs((p - i) - (c[-1][1] - c[-1][0])), default=None)
+        if near and abs((p - i) - (near[-1][1] - near[-1][0])) <= GAP:
+            near.append((i, p))
+        else:
+            chains.append([(i, p)])
+    out += chains
     return [(c[0][1], c[-1][1] + K) for c in out if max(x for x, _ in c) - min(x for x, _ in c) + K >= need]
 
 

@@ -93,6 +93,16 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_chains_beside_each_other():
+    """The leaked half begins with words that also open the item; a stray phrase before it costs no words either."""
+    w = [f"w{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(50)]
+    w[25:29] = w[:4]
+    items = leakage.Items([1], [" ".join(w)])
+    half = " ".join(w[25:])
+    got = leakage.find([half, "so " + " ".join(w[3:8]) + " then " + half, " ".join(w[25:33])], items)
+    assert [(g[0], g[1], g[3]) for g in got] == [(0, 0, 50), (1, 0, 50)]
+
+
 GOOD = ["Não sei, talvez amanhã. A canção é difícil.", "Où est l'élève ? Ça va être étrange.", "Wir müssen zurück, die Straße ist größer.", "¿Dónde está el año? Mañana, señor.", "Słyszysz książkę? Już idę, cześć.", "Послушай меня. Это был тёмный город."]
 
 
