@@ -35,7 +35,9 @@ PART = 0.5
 COMMON = 0.8
 
 _NOISE = re.compile(r"^[\d\s:.,;<>\-–—]*\d[\d\s:.,;<>\-–—]*$|^WEBVTT.*$|<[^>\n]*>|\{[^}\n]*\}|\[[^\]\n]*\]|\([^)\n]*\)|\*[^*\n]{0,60}\*|^[A-Z][A-Z .'-]+:", re.M)
-_TIMES = re.compile(r"^.*\d\d:\d\d[^\n]*$", re.M)
+#: Cue times with their number and settings (arrows may be broken), and any other clock time; words around them stay.
+_CLOCK = r"\d+:\d\d(?::\d\d)?(?:[.,:]\d+)?"
+_TIMES = re.compile(rf"(?:(?<!\S)\d+[ \t]+)?{_CLOCK}[ \t]*[-–—>]+[-–—> \t]*{_CLOCK}(?:[ \t]+(?:(?:align|position|line|size|vertical|region):\S+|[XY][12]:\d+))*|{_CLOCK}")
 _LOST = re.compile(r"(?<=[^\W\d_])[?\ufffd]+(?=[^\W\d_])|\ufffd")
 _SOFT = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 

@@ -103,6 +103,16 @@ def test_chains_beside_each_other():
     assert [(g[0], g[1], g[3]) for g in got] == [(0, 0, 50), (1, 0, 50)]
 
 
+def test_clock_times():
+    """Only times go, not the words on their line."""
+    assert leakage.normal("at 10:30 he left").split() == b"at he left".split()
+    for line in ("00:00:01,000 --> 00:00:02,500", "00:01.000 - -> 00:02.500 align:start position:10%", "00:00:01.000-->00:00:02.500 X1:40 X2:600"):
+        assert leakage.normal(f"1\n{line}\nwell then\n").split() == leakage.normal(f"1 {line} well then").split() == b"well then".split()
+    item = ITEM.replace("For many years", "At 10:30")
+    items = leakage.Items([1], [item])
+    assert [g[:2] for g in leakage.find([item, "1 00:00:01,000 --> 00:00:02,500 " + item, cues(item)], items)] == [(0, 0), (1, 0), (2, 0)]
+
+
 GOOD = ["Não sei, talvez amanhã. A canção é difícil.", "Où est l'élève ? Ça va être étrange.", "Wir müssen zurück, die Straße ist größer.", "¿Dónde está el año? Mañana, señor.", "Słyszysz książkę? Już idę, cześć.", "Послушай меня. Это был тёмный город."]
 
 
