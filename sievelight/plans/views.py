@@ -46,7 +46,7 @@ def escaped(c):
 
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     """Each page as html: its first line as title, its host as site name, paragraphs in an article between a menu and a
-    footer; every third page also with its text as JSON-LD, every fourth with a framework's marks."""
+    footer; every third page also with the first 600 characters of its text as JSON-LD, every fourth with a framework's marks."""
     p = latest_pages(spark, d).where(F.col("content").isNotNull())
     title = F.regexp_extract("content", r"^\s*#*\s*([^\r\n]*)", 1)
     body = F.regexp_replace(escaped(F.col("content")), r"\r?\n[ \t]*\r?\n", "</p><p>")
