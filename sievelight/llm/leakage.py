@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.functions.vector import grams, tokens
+from sievelight.llm.vector import grams, tokens
 from sievelight.llm.mojibake import _reader
 
 K = 4

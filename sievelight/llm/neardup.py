@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from sievelight.functions.vector import KEPT, U, distinct, grams, lowered, mix, tokens
+from sievelight.llm.vector import KEPT, U, distinct, grams, lowered, mix, tokens
 from sievelight.llm.bounded import LEVELS, Parts, in_bitmap, levels, member_bitmap, merged_sketch
 from sievelight.session import materialize
 
