@@ -5,8 +5,8 @@ scripts, stand-in text) and no running text; every other line is unlabelled and
 spreads to the wording that goes along with the marks. Records are judged by the share of their own words (host
 furniture left aside) that stand in positive lines.
 
-Bounds: the model is fitted on at most SAMPLE_ROWS rows of the whole table and SAMPLE_ROWS of its short rows, drawn by
-a hash of the url, and holds at most VOCABULARY words; all rows are scored with it. Null and blank contents are never
+Bounds: the model is fitted on at most SAMPLE_ROWS rows of the whole table and SAMPLE_ROWS of its short rows, each of
+at most SAMPLE_CHARS characters, and holds at most VOCABULARY words; all rows are scored with it. Null and blank contents are never
 positive. Rows that repeat, and ties in created_at (which are copies), give one row a url."""
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from sievelight.llm.bounded import in_bitmap
 from sievelight.llm.pagelines import read
 
 SAMPLE_ROWS = 2500
+#: Longest content that is drawn; 2 * SAMPLE_ROWS * SAMPLE_CHARS bounds what reaches the driver.
+SAMPLE_CHARS = 40_000
 SHORT = 700
 VOCABULARY = 60_000
 ROUNDS = 6
@@ -34,8 +38,6 @@ ROUNDS = 6
 FEW = 40
 #: Lines or records in which a feature must occur.
 LEAST = 3
-#: Characters from which a line is first tried by its plain words.
-LONG = 120
 
 # Marks of records that can be trusted to be errors, placeholders or demands for scripts.
 MARKS = re.compile(
@@ -56,41 +58,49 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _STATUS = re.compile(r"[45]\d\d")
 
 
-def features(t: str) -> list[str]:
-    """Words in lower case; numbers, paths, identifiers and template slots each under one name.
-
-    A line that is mostly symbols or random characters has the one feature '~'."""
-    slots = 0
-    if any(c in t for c in "{[<%_"):
-        t, slots = _SLOT.subn(" \x00 ", t)
+@lru_cache(maxsize=1 << 17)
+def _token(x: str) -> tuple[tuple[str, ...], int, int]:
+    """(features, changes between letters and digits or of case, letters) of a run without white space."""
     out = []
-    for x in _TOKEN.findall(t):
-        c = x[0]
+    for p in _TOKEN.findall(x):
+        c = p[0]
         if c == "\x00":
             out.append("#S")
         elif c == "/":
             out.append("/P")
         elif c.isdigit():
-            out.append("#H" if len(x) == 8 and x.isalnum() and not x.isdigit() else "#4" if _STATUS.fullmatch(x) else "#")
-        elif x.islower():
-            out.append(x)
+            out.append("#H" if len(p) == 8 and p.isalnum() and not p.isdigit() else "#4" if _STATUS.fullmatch(p) else "#")
         else:
-            out.append(x if x in ("NaN", "XXX", "TODO") else x.lower())
+            out.append(p if p.islower() or p in ("NaN", "XXX", "TODO") else p.lower())
+    return tuple(out), len(_MESS.findall(x)), sum(map(len, _LETTERS.findall(x)))
+
+
+def features(t: str) -> list[str]:
+    """Words in lower case; numbers, paths, identifiers and template slots each under one name.
+
+    A line that is mostly symbols or random characters has the one feature '~'. Lines of any length are read alike."""
+    slots = 0
+    if any(c in t for c in "{[<%_"):
+        t, slots = _SLOT.subn(" \x00 ", t)
+    out: list[str] = []
+    mess = letters = 0
+    for x in t.split():
+        f, m, n = _token(x) if len(x) <= 64 else _token.__wrapped__(x)
+        out += f
+        mess += m
+        letters += n
     if not slots:
-        n = len(out)
-        if not n:
+        if not out:
             return ["~"] if t.strip() else []
-        if len(_MESS.findall(t)) > 0.3 * n + 1 and "/P" not in out and "#H" not in out:
-            return ["~"] * n
-        if sum(map(len, _LETTERS.findall(t))) < 0.35 * len(t) - 4:
-            return ["~"] * n
+        if (mess > 0.3 * len(out) + 1 and "/P" not in out and "#H" not in out) or letters < 0.35 * len(t) - 4:
+            return ["~"] * len(out)
     return out
 
 
 def keys(f: list[str], short: bool) -> set[str]:
     """What the model weighs: distinct words and neighbours, and whether the record has few words of its own."""
     k = set(f)
-    k.update([a + " " + b for a, b in zip(f, f[1:])])
+    k.update([a + " " + b for a, b in pairwise(f)])
     if len(f) <= 3:
         k.add("=" + " ".join(f))
     if short:
@@ -110,10 +120,6 @@ class LineModel:
         w = self.weight
         if "~" in f:
             return -9.0
-        if len(f) > 20:  # running text is far off by its words alone
-            s = self.prior + sum([w.get(x, 0.0) for x in set(f)])
-            if s < -6:
-                return s
         return self.prior + sum([w.get(x, 0.0) for x in keys(f, short)])
 
 
@@ -176,19 +182,41 @@ def fit(pages: Iterable[tuple[str, str]]) -> LineModel:
     return model
 
 
-def sample(pages: DataFrame, bound: int = SAMPLE_ROWS) -> Iterator[tuple[str, str]]:
-    """About ``bound`` rows of all and of the short ones, by a hash of the url; everything where there are fewer."""
-    some = pages.select("url", "content").where(F.col("content").isNotNull() & F.col("url").isNotNull())
-    short = some.where(F.length("content") < SHORT)
-    n, s = pages.select(F.count("content"), F.count(F.when(F.length("content") < SHORT, 1))).first()
-    at = F.pmod(F.xxhash64("url"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = some.where(at < bound / max(n, 1)).union(short.where((at >= bound / max(n, 1)) & (at < bound / max(n, 1) + bound / max(s, 1))))
-    for r in drawn.limit(4 * bound).collect():
-        yield r.url, r.content
+@dataclass
+class Sample:
+    """Rows (url, content) drawn from the whole table and from its short rows, one a url, at most the bound of each."""
+
+    general: list[tuple[str, str]]
+    short: list[tuple[str, str]]
+
+    def both(self) -> list[tuple[str, str]]:
+        return sorted({**dict(self.short), **dict(self.general)}.items())
+
+
+def sample(pages: DataFrame, bound: int = SAMPLE_ROWS) -> Sample:
+    """At most ``bound`` rows of all and as many of the short ones, of SAMPLE_CHARS characters at most, by a hash of url
+    and created_at; everything where there are fewer.
+
+    Repeated rows count once before the draw is cut, and the cut is by the hash, so that neither the order of the rows
+    nor a url with many of them changes what is drawn; of the versions of a url drawn the newest is kept."""
+    some = pages.select("url", "content", F.coalesce("created_at", F.lit(-1)).alias("at")).where(F.col("content").isNotNull() & F.col("url").isNotNull())
+    small = F.length("content") < SHORT
+    n, s = pages.select(F.count("content"), F.count(F.when(small, 1))).first()
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "url", "at"), F.lit(1_000_003)) / 1_000_003.0
+    wide = 1.5 * bound  # of which the lowest are kept
+    drawn = some.where(F.length("content") <= SAMPLE_CHARS).select("*", part(0).alias("g"), F.when(small, part(1)).alias("s")).where((F.col("g") < wide / max(n, 1)) | (F.col("s") < wide / max(s, 1)))
+    rows = drawn.dropDuplicates(["url", "at"]).orderBy(F.least("g", "s"), "url", "at").limit(int(3 * wide)).collect()
+
+    def newest(lowest: list) -> list[tuple[str, str]]:
+        return list({r.url: r.content for r in sorted(lowest[:bound], key=lambda r: r["at"])}.items())
+
+    general = sorted((r for r in rows if r.g < wide / max(n, 1)), key=lambda r: (r.g, r.url))
+    short = sorted((r for r in rows if r.s is not None and r.s < wide / max(s, 1)), key=lambda r: (r.s, r.url))
+    return Sample(newest(general), newest(short))
 
 
 def train(pages: DataFrame) -> LineModel:
-    return fit(sample(pages))
+    return fit(sample(pages).both())
 
 
 def judge(lines: list[str], model: LineModel) -> tuple[bool, int, int, float]:
@@ -196,22 +224,10 @@ def judge(lines: list[str], model: LineModel) -> tuple[bool, int, int, float]:
 
     A record is residue if half of its words stand in positive lines, or if it is short, has a clearly positive line
     and no line that clearly isn't."""
-    pos = total = 0
-    best, worst = -99.0, 99.0
-    w, later = model.weight, []
-    for t in lines:
-        if len(t) > LONG:  # running text is far off by its plain words
-            f = t.lower().split()
-            o = model.prior + sum([w.get(x, 0.0) for x in set(f)])
-            if o < -8:
-                total += len(f)
-                worst = min(worst, o)
-                continue
-        f = features(t)
-        if f:
-            total += len(f)
-            later.append(f)
-    for f in later:
+    own = [f for f in map(features, lines) if f]
+    total = sum(map(len, own))
+    pos, best, worst = 0, -99.0, 99.0
+    for f in own:
         o = model.odds(f, total <= FEW)
         best, worst = max(best, o), min(worst, o)
         if o > 0:
