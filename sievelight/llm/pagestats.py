@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from sievelight.functions.vector import U, tokens
+from sievelight.llm.vector import U, tokens
 from sievelight.llm.pagelines import read
 
 FUNCTION, LOWER, CAPITAL, ODD, NUMBER, STOP, COMMA, SYMBOL, SEPARATOR, LINK = range(10)
@@ -86,7 +86,10 @@ class Pages:
         inner = upper - first_upper
         cls = np.full(len(s), LOWER, np.int8)
         cls[first_upper & ((upper < size) | (size == 1))] = CAPITAL  # words all in capitals count as lower-case ones
-        self.glued = ((inner == 1) & (digits == 0) & ~first_upper & (size >= 5)) | ((digits > 0) & (digits <= 3) & (upper == 0) & (size - digits >= 3) & (_DIGIT[buf[e - 1]] == 1))
+        # tags: #word, wordName and word12; a first capital needs a longer word, as names like McLeod have two
+        self.hashed = (buf[np.maximum(s - 1, 0)] == 35) & (s > 0)
+        glued = (inner == 1) & (digits == 0) & (size >= np.where(first_upper, 7, 5)) & (_UPPER[buf[np.minimum(s + 2, e - 1)]] == 0)
+        self.tag = self.hashed | glued | ((digits > 0) & (digits <= 3) & (inner == 0) & (size - digits >= 3) & (_DIGIT[buf[e - 1]] == 1))
         odd = ((inner > 0) & (upper < size)) | ((digits > 0) & (digits < size)) | ((vowels == 0) & (size >= 4)) | (size > 24)
         cls[odd] = ODD
         cls[digits == size] = NUMBER

@@ -86,6 +86,39 @@ def test_stuffing(spark, pages, common):
     assert stuffing.stuffed_pages(pages.limit(0), common).count() == 0
 
 
+def test_stuffing_kinds(spark, common):
+    """Each form of stuffing, beside honest pages that repeat themselves."""
+    towns = ["Arle", "Bonsk", "Corva", "Dunst", "Elmar", "Fenby", "Gorst", "Hilda", "Ivorn", "Jaska", "Kolm", "Lunde"]
+    spam = {
+        "hashtags": " ".join(f"#river{n} #mill #bridgeArle" for n in range(20)),
+        "capital_tags": " · ".join(f"Brücke{n} · LagerArle · Mühle" for n in range(20)),
+        "one_word": page(*[f"> Removals {t} {u}" for t in towns for u in towns[:5]]),
+        "phrase": page(*[f"- discount clock {t}" for t in towns * 4]),
+        "list": "; ".join(["best old clock", "cheap clock", "cheap clock near mill", "best old clock"] * 20),
+        "bare": page(*[f"http://www.{t.lower()}.example/{n}" for n, t in enumerate(towns)]),
+    }
+    honest = {
+        "described": page(*[f"[The mill of {t}](https://{t.lower()}.example/) was the oldest of their mills, and most of the carts had to pass it in the storm of that year." for t in towns]),
+        "styles": page(*[f".{t.lower()}-{n}{{margin:{n}px;color:#a{n}b{n}c;width:{n}%}}" for n, t in enumerate(towns * 3)]),
+        "timetable": page(*[f"- {n}:15 {t} {u}" for n, t in enumerate(towns) for u in towns[:3]]),
+        "table": page(*[f"{t};n/a;{n};{n}.5" for n, t in enumerate(towns * 3)]),
+    }
+    rows = [(u, c, at) for u, c, at in corpus() if u and "/p" in u] + [(f"https://{k}.example/{k}", v, 1) for k, v in (spam | honest).items()]
+    got = stuffing.stuffed_pages(spark.createDataFrame(rows, "url string, content string, created_at long"), common)
+    assert found(got, "spam") == set(spam)
+
+
+def test_sample(spark):
+    """A url with most of the rows, and a row repeated many times, leave room for the others, in any order."""
+    rows = [(f"https://a.example/{i}", f"text {i}", i) for i in range(300)] + [("https://hot.example/", f"text {i}", i) for i in range(400)] + [("https://again.example/", "same", 5)] * 400
+    df = spark.createDataFrame(rows, "url string, content string, created_at long")
+    got = residue.sample(df, 50)
+    assert got.both() == residue.sample(df.orderBy(F.rand(3)).repartition(7), 50).both()
+    assert 5 <= len(got.general) <= 50 and len({u for u, _ in got.general}) == len(got.general) and 5 <= len(got.short) <= 50
+    assert sum(u.startswith("https://a.") for u, _ in got.both()) >= 10
+    assert residue.sample(df.limit(0), 50).both() == []
+
+
 def test_boilerplate(spark, pages):
     got = {(r.url, r.line_no) for r in boilerplate.furniture_lines(pages).collect()}
     lines = sorted(n for u, n in got if u == "https://h0.example/p0")
