@@ -1,14 +1,23 @@
 """Main body of pages: consensus over hosts on the paths of their containers.
 
-Each page's lines are read into containers with a local verdict (pagelines). The labels and masked lines of containers
-are generalised paths that vote for their host: how many of its pages hold the path, and how often the local verdict
-there was furniture. A path wins on its host if furniture is its usual verdict or if it stands on too large a part of
-the host's pages to belong to any one body; lines the local reading left open fall to the winning paths. Every open
-line with a letter in it votes, whatever its length or ending; sentences, long lines, links and rows with separators
-vote as whole masked lines and need a larger part of the pages, for a body may repeat a sentence. Such lines stay where
-most of their pages would keep hardly any text of their own: these pages are copies of one body. Votes are counted with
-partial aggregation over (host, path), so a host with a third of all pages is no hot key; the join with the winners is
-salted. Null and blank contents have no lines; a url is judged on its latest row."""
+Each page's lines are read into containers and scored locally (pagelines): wording and form give a hint, never a
+verdict. Containers have paths at three levels of generality, and the pages vote on each:
+
+* the path on the host: a label, or the line with its digits masked. It wins if it stands on too large a part of the
+  host's pages to belong to any one body, or if its places are mostly hinted at;
+* the path on the web: the line with the site's own name masked too. It wins if it is mostly hinted at and stands on
+  several hosts;
+* the general path: kind of hint, form and place on the page. It wins if most of the paths it holds win on hosts that
+  have pages enough to vote.
+
+A line is furniture if one of its paths wins, of several labels all, or half where the line is hinted at (the last step
+of a breadcrumb is the page's own); items of a list of other articles fall with the heading of the list. Only
+where a general path cannot be voted on, since too few pages hold it, does the hint decide by itself. Lines of any
+length and ending vote. Sentences, long lines, links and rows with separators vote as whole lines and need a larger
+part of the host's pages, for a body may repeat a sentence; they stay where most of their pages would keep hardly any
+text of their own: these pages are copies of one body. Votes are counted with partial aggregation over (host, path).
+Hosts with a thousandth of all pages or more (at most a thousand of them) are split by salt in proportion to their
+pages. Null and blank contents have no lines; a url is judged on its latest row."""
 
 from __future__ import annotations
 
@@ -16,102 +25,165 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm import residue
-from sievelight.llm.pagelines import host_of, masked, read
+from sievelight.llm.pagelines import crumbs, generalised, host_of, masked, read, running
 from sievelight.session import materialize
 
 #: Urls of a host that must hold a path before it can win.
 LEAST_PAGES = 4
-#: Part of a path's places with a local verdict of furniture, or part of all pages of the host, from which it wins.
+#: Part of a path's places with a hint, or part of all pages of the host, from which it wins.
 AGREED = 0.5
 SPREAD = 0.1
 #: The same part for whole lines: sentences, links, rows with separators and lines of more than SHORT characters.
 WHOLE_SPREAD = 0.25
 SHORT = 120
+#: Hosts that must hold a path before it wins on the web.
+LEAST_HOSTS = 5
+#: Pages of hosts with ENOUGH pages that must hold a general path before it is voted on.
+ENOUGH = 2 * LEAST_PAGES
+LEAST_PLACES = 20
 #: A page is a copy if its open text that stays is less than this part of the whole lines that would fall.
 OWN = 0.5
-SALTS = 8
+#: Hosts with this part of all pages are hot; a hot host has SALTS salts for each such part.
+HOT = 0.001
+SALTS = 4
+WEB_SALTS = 32
 
+HINTS = "NCHIM"
+PLACES = ("before", "within", "after", "without")
+FORMS = ("", "whole", "b", "l", "x", "s", "p")
+#: Kind of votes that are hinted at but say nothing on a general path.
+HINTED = len(HINTS) * len(PLACES) * len(FORMS)
 
-def _key(path: str, whole: bool = False) -> int:
-    """Hash of a path; its last bit tells a whole line."""
-    return (xxhash.xxh64_intdigest(path) & ~1 | whole) - (1 << 63)
+
+def _key(path: str, whole: bool = False, label: bool = False) -> int:
+    """Hash of a path; its last bits tell a whole line and a label."""
+    return (xxhash.xxh64_intdigest(path) & ~3 | whole | label << 1) - (1 << 63)
 
 
 def _whole(t: str, form: str) -> bool:
     return len(t) > SHORT or t[-1] in ".!?" or form in ("l", "x") or (form != "" and any(x in t for x in "|;\t"))
 
 
-def _is_whole(path: str):
+def _is_whole(path: str) -> Column:
     return F.col(path).bitwiseAND(F.lit(1)) == 1
 
 
+_LINES = "array<struct<line:int,size:int,kind:int,head:int,paths:array<bigint>>>"
+_VOTES = "array<struct<path:bigint,web:bigint,kind:int>>"
+
+
+def _page(url: str | None, content: str | None, model: residue.LineModel) -> tuple[str, list[dict], list[dict]]:
+    """Host, lines and votes of a page. kind numbers the general path of a hinted line, -1 others; head is the line of
+    the heading of an item, -1 elsewhere. Lines of residue without a hint are the body and are left out."""
+    host = host_of(url)
+    lines = read(content, url) if content else []
+    flag = residue.judge([t for _, t, v, _, _ in lines if not v], model)[0] if lines else False
+    prose = [i for i, (_, t, v, _, _) in enumerate(lines) if not v and running(t)]
+    out, votes, head = [], {}, -1
+    for i, (no, t, v, form, parts) in enumerate(lines):
+        head = no if v == "H" else head if v == "I" else -1
+        whole = _whole(t, form)
+        kind = -1
+        if v == "N" and (trail := crumbs(t)):
+            form, parts = "s", trail
+        if v:
+            place = 3 if not prose else 0 if i < prose[0] else 2 if i > prose[-1] else 1
+            kind = (HINTS.index(v) * len(PLACES) + place) * len(FORMS) + (1 if whole and not form else FORMS.index(form))
+        elif flag or not any(x.isalpha() for x in t):
+            continue
+        line = masked(t)
+        if form and not whole:
+            paths = [(_key(p, False, True), _key(p, False, True)) for p in parts]
+        else:
+            paths = [(_key(line, whole), _key(generalised(line, host), whole))]
+        out.append({"line": no, "size": len(t), "kind": kind, "head": head if v == "I" else -1, "paths": [p for p, _ in paths]})
+        if v == "I":
+            continue
+        for p, w in paths:
+            if kind >= 0 or p not in votes:
+                votes[p] = {"path": p, "web": w, "kind": kind}
+        if v == "M":
+            # menus vote both by label and by line: the same one may be a menu on one page and open on another
+            more = [_key(p, False, True) for p in parts] if whole else [_key(line, whole)]
+            for p in more:
+                votes.setdefault(p, {"path": p, "web": p, "kind": HINTED})
+    return host, out, list(votes.values())
+
+
 def containers(pages: DataFrame, model: residue.LineModel | None = None) -> DataFrame:
-    """One row per url (latest): host, residue flag, sure (line numbers of furniture), open (undecided lines with
-    their lengths and paths), votes (distinct paths of sure lines)."""
+    """One row per url (latest): host, its lines with their hints and paths, and its votes (one for each path)."""
     shared = pages.sparkSession.sparkContext.broadcast(model or residue.train(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        line = pa.list_(pa.struct([("line", pa.int32()), ("size", pa.int32()), ("kind", pa.int32()), ("head", pa.int32()), ("paths", pa.list_(pa.int64()))]))
+        vote = pa.list_(pa.struct([("path", pa.int64()), ("web", pa.int64()), ("kind", pa.int32())]))
         for b in batches:
-            hosts, flags, sures, opens, votes = [], [], [], [], []
-            for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = read(c, u) if c else []
-                flag = residue.judge([t for _, t, v, _, _ in lines if not v], m)[0] if lines else False
-                sure, undecided, vote = [], [], set()
-                for no, t, v, form, parts in lines:
-                    if v:
-                        sure.append(no)
-                        if v == "M":
-                            vote.update(_key(p) for p in parts)
-                        # menus vote as lines too: the same line is a menu on one page and open on another
-                        if v != "M" or _whole(t, form):
-                            vote.add(_key(masked(t), _whole(t, form)))
-                    elif not flag and any(x.isalpha() for x in t):
-                        whole = _whole(t, form)
-                        undecided.append({"line": no, "size": len(t), "paths": [_key(p) for p in parts] if form and not whole else [_key(masked(t), whole)]})
-                hosts.append(host_of(u))
-                flags.append(flag)
-                sures.append(sure)
-                opens.append(undecided)
-                votes.append(sorted(vote))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(hosts, pa.string()), pa.array(flags, pa.bool_()), pa.array(sures, pa.list_(pa.int32())), pa.array(opens, pa.list_(pa.struct([("line", pa.int32()), ("size", pa.int32()), ("paths", pa.list_(pa.int64()))]))), pa.array(votes, pa.list_(pa.int64()))],
-                names=["url", "created_at", "host", "residue", "sure", "open", "votes"],
-            )
-
-    schema = "url string, created_at long, host string, residue boolean, sure array<int>, open array<struct<line:int,size:int,paths:array<bigint>>>, votes array<bigint>"
+            rows = [_page(u, c, m) for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            hosts, lines, votes = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hosts, pa.string()), pa.array(lines, line), pa.array(votes, vote)], names=["url", "created_at", "host", "lines", "votes"])
+
+    schema = f"url string, created_at long, host string, lines {_LINES}, votes {_VOTES}"
     rows = pages.select("url", "content", "created_at").where(F.col("url").isNotNull() & F.col("content").isNotNull()).mapInArrow(run, schema)
     return residue.latest(rows)
 
 
-def winners(read_pages: DataFrame) -> DataFrame:
-    """(host, path) of the paths that won the vote, with pages and agreement."""
-    opened = F.array_distinct(F.flatten(F.transform("open", lambda o: o.paths)))
-    votes = read_pages.select("host", F.explode(F.concat(F.transform("votes", lambda p: F.struct(p.alias("path"), F.lit(1).alias("sure"))), F.transform(F.array_except(opened, "votes"), lambda p: F.struct(p.alias("path"), F.lit(0).alias("sure"))))).alias("v"))
-    counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.count("*").alias("pages"), F.avg("v.sure").alias("agreed")).where(F.col("pages") >= LEAST_PAGES)
+def hot_hosts(hosts: DataFrame) -> DataFrame:
+    """(host, host_pages, salts) of the hosts with HOT of all pages or more: fewer than 1 / HOT rows."""
+    total = hosts.agg(F.sum("host_pages").alias("n"))
+    return hosts.crossJoin(F.broadcast(total)).where(F.col("host_pages") >= HOT * F.col("n")).select("host", "host_pages", F.ceil(SALTS * F.col("host_pages") / (HOT * F.col("n"))).cast("int").alias("salts"))
+
+
+def winners(read_pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(winners, general, hot): the paths (host, path) that won on their host or on the web; of each general path its
+    places on hosts with pages enough and the part of them that won; the hot hosts."""
+    votes = read_pages.select("host", F.explode("votes").alias("v"))
+    counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.count("*").alias("pages"), F.avg((F.col("v.kind") >= 0).cast("int")).alias("agreed"), F.min(F.when(F.col("v.kind") >= 0, F.col("v.kind"))).alias("kind"), F.max("v.web").alias("web"))
+    counted = materialize(counted)
     hosts = read_pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    hot = materialize(hot_hosts(hosts))
+    joined = counted.join(F.broadcast(hot.select("host", F.col("host_pages").alias("many"))), "host", "left")
+    sized = joined.where("many IS NOT NULL").withColumn("host_pages", F.col("many")).unionByName(joined.where("many IS NULL").join(hosts, "host"))
+    web = counted.where(F.col("path").bitwiseAND(F.lit(2)) == 0).groupBy("web").agg(F.count("*").alias("n"), (F.sum(F.col("agreed") * F.col("pages")) / F.sum("pages")).alias("agreed")).where((F.col("n") >= LEAST_HOSTS) & (F.col("agreed") >= AGREED))
+    web = web.select("web", F.lit(True).alias("on_web"), F.explode(F.sequence(F.lit(0), F.lit(WEB_SALTS - 1))).alias("salt"))
     spread = F.when(_is_whole("path"), WHOLE_SPREAD).otherwise(SPREAD)
-    return counted.join(hosts, "host").where((F.col("agreed") >= AGREED) | (F.col("pages") >= spread * F.col("host_pages"))).select("host", "path", "pages", "agreed")
+    on_host = (F.col("pages") >= LEAST_PAGES) & ((F.col("agreed") >= AGREED) | (F.col("pages") >= spread * F.col("host_pages")))
+    voted = sized.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(WEB_SALTS)).cast("int")).join(web, ["web", "salt"], "left").select("host", "path", "pages", F.coalesce("kind", F.lit(-1)).alias("kind"), "host_pages", (on_host | F.coalesce("on_web", F.lit(False))).alias("won"))
+    voted = materialize(voted.where("won OR kind >= 0"))
+    general = voted.where(F.col("kind").between(0, HINTED - 1) & (F.col("host_pages") >= ENOUGH)).groupBy("kind").agg(F.sum("pages").alias("places"), (F.sum(F.col("pages") * F.col("won").cast("int")) / F.sum("pages")).alias("part"))
+    return voted.where("won").select("host", "path"), general, hot
 
 
 def furniture_lines(pages: DataFrame, model: residue.LineModel | None = None) -> DataFrame:
     """(url, line_no) of every line that is no part of its page's own body."""
     seen = materialize(containers(pages, model))
-    sure = seen.select("url", F.explode("sure").alias("line_no"))
-    total = F.aggregate("open", F.lit(0), lambda n, o: n + o["size"])
-    lines = seen.select("url", "host", total.alias("total"), F.explode("open").alias("o")).select("url", "host", "total", F.col("o.line").alias("line_no"), F.col("o.size").alias("size"), F.size("o.paths").alias("n"), F.explode("o.paths").alias("path"))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
-    won = winners(seen).select("host", "path").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    fell = salted.join(won, ["host", "path", "salt"]).groupBy("url", "line_no", "n", "host", "total", "size").agg(F.count("*").alias("k"), F.min("path").alias("path")).where(F.col("k") >= F.col("n"))
-    fell = materialize(fell.select("url", "host", "line_no", "path", "total", "size"))
-    copies = fell.groupBy("url").agg((F.max("total") - F.sum("size") < OWN * F.sum(F.when(_is_whole("path"), F.col("size")).otherwise(0))).alias("copy"))
-    copied = fell.where(_is_whole("path")).join(copies, "url").groupBy("host", "path").agg(F.avg(F.col("copy").cast("int")).alias("part")).where("part > 0.5")
-    fell = fell.join(copied, ["host", "path"], "left_anti").select("url", "line_no")
-    return sure.union(fell).select("url", F.col("line_no").cast("long").alias("line_no"))
+    won, general, hot = winners(seen)
+    # at most len(HINTS) * len(PLACES) * len(FORMS) general paths: those that were voted on and lost
+    lost = [r.kind for r in general.where((F.col("places") >= LEAST_PLACES) & (F.col("part") < AGREED)).collect()]
+    total = F.aggregate(F.filter("lines", lambda o: o["kind"] < 0), F.lit(0), lambda n, o: n + o["size"])
+    falls = F.col("o.kind").isin(lost) == F.lit(False) if lost else F.lit(True)
+    lines = seen.select("url", "host", total.alias("total"), F.explode("lines").alias("o")).select("url", "host", "total", F.col("o.line").alias("line_no"), "o.size", "o.kind", "o.head", "o.paths", (F.col("o.kind") >= 0) & falls)
+    lines = lines.toDF("url", "host", "total", "line_no", "size", "kind", "head", "paths", "general")
+    fell = lines.where("head < 0 AND general").select("url", "line_no")
+    items = seen.where(F.exists("lines", lambda o: o["head"] >= 0)).select("url", F.explode("lines").alias("o")).where("o.head >= 0").select("url", F.col("o.line").alias("line_no"), F.col("o.head").alias("head"))
+
+    undecided = lines.where("head < 0 AND NOT general").join(F.broadcast(hot.select("host", "salts")), "host", "left")
+    salts = F.coalesce("salts", F.lit(1))
+    salted = undecided.select("url", "host", "total", "line_no", "size", F.when((F.col("kind") >= 0) & (F.size("paths") > 2), F.size("paths") / 2).otherwise(F.size("paths")).alias("n"), F.pmod(F.xxhash64("url"), salts).cast("int").alias("salt"), F.explode("paths").alias("path"))
+    spread = won.join(F.broadcast(hot.select("host", "salts")), "host", "left").select("host", "path", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    voted = salted.join(spread, ["host", "path", "salt"]).groupBy("url", "line_no", "n", "host", "total", "size").agg(F.count("*").alias("k"), F.min("path").alias("path")).where(F.col("k") >= F.col("n"))
+    voted = materialize(voted.select("url", "host", "line_no", "path", "total", "size"))
+    copies = voted.groupBy("url").agg((F.max("total") - F.sum("size") < OWN * F.sum(F.when(_is_whole("path"), F.col("size")).otherwise(0))).alias("copy"))
+    copied = voted.where(_is_whole("path")).join(copies, "url").groupBy("host", "path").agg(F.avg(F.col("copy").cast("int")).alias("part")).where("part > 0.5")
+    fell = fell.union(voted.join(copied, ["host", "path"], "left_anti").select("url", "line_no"))
+    if lost:
+        heads = fell.withColumnRenamed("line_no", "head")
+        items = items.join(heads, ["url", "head"], "left_semi")
+    return fell.union(items.select("url", "line_no")).select("url", F.col("line_no").cast("long").alias("line_no"))
 
 
 def bodies(pages: DataFrame, model: residue.LineModel | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from urllib.parse import urlsplit
 
 # The wording of site furniture in the four page languages, each as a pattern for a whole line.
 INSIDE = (
-    # cookies and device data, newsletters, rights: wherever they stand in the line
+    # cookies and device data, newsletters, rights: weak cues, which count only outside the running text of a page
     "cookies", "small files on your device", "partners process device data", "gerätedaten", "speichert kleine dateien",
     "guarda pequeños archivos", "sus socios tratan", "enregistre de petits fichiers", "ses partenaires traitent",
     "newsletter", "in your inbox", "boletín", "all rights reserved", "alle rechte vorbehalten", "todos los derechos reservados",
@@ -22,8 +22,12 @@ NOTICES = (
     # notices that scripts improve a page which is there
     r"some features of .* javascript", r"für einige funktionen von .* javascript", r"algunas funciones de .* javascript",
     r"certaines fonctions de .* javascript",
+    # cookie and data notices
+    r"we (?:and our partners )?use cookies\b", r"(?:this site|\S+(?: \S+)? and its partners) (?:stores small files|process(?:es)? device data)", r"by staying on .* you agree\b", r"cookies help us run\b",
+    r"wir verwenden cookies\b", r"diese seite und ihre partner nutzen gerätedaten", r".{1,60} speichert kleine dateien auf", r"usamos cookies\b", r"utilizamos cookies\b", r"este sitio y sus socios tratan datos",
+    r".{1,60} guarda pequeños archivos en", r"nous utilisons des cookies\b", r"ce site et ses partenaires traitent des données", r".{1,60} enregistre de petits fichiers sur",
     # newsletters
-    r"enter your e-?mail", r"never miss a story", r"jede woche das beste von", r"ihre e-mail-adresse$",
+    r"(?:sign up for|subscribe to) (?:our|the) newsletter$", r"get the best of .* in your inbox", r"newsletter bestellen$", r"suscríbase al boletín$", r"enter your e-?mail", r"never miss a story", r"jede woche das beste von", r"ihre e-mail-adresse$",
     r"lo mejor de .* cada semana", r"su correo electrónico$", r"s'abonner à", r"chaque semaine, le meilleur",
     r"votre adresse électronique$", r"verpassen sie keine", r"no se pierda ning", r"ne manquez (?:rien|aucun)",
     # adverts
@@ -38,9 +42,9 @@ NOTICES = (
     r"\d[\d,.]* (?:comments?|kommentare?|comentarios?|commentaires?)$",
     # footers
     r"© ?\d", r"(?:back to top|nach oben|volver arriba|haut de page)$", r"(?:terms of use|impressum|aviso legal|mentions légales)\b.*\|",
-    r"reproduction without written consent", r"powered by the\b", r"\S.* (?:media ltd|verlag|s\.l\.|sarl), .*\d",
+    r"reproduction without written consent", r"powered by the\b",
     # breadcrumbs
-    r"(?:you are here|sie sind hier|está en|vous êtes ici)\b ?:",
+    r"(?:you are here|sie sind hier|está en|vous êtes ici) ?:",
 )
 RELATED = (
     r"^(related articles|you may also like|most read today|trending now|read also)$", r"^more from [^.]{2,40}$",
@@ -48,16 +52,17 @@ RELATED = (
     r"^(lo más leído|también le puede interesar|lea también)$", r"^más de [^.]{2,40}$",
     r"^(les plus lus|à lire aussi|vous aimerez aussi)$", r"^plus sur [^.]{2,40}$",
 )
-LABELS = frozenset(
-    """home contact about jobs shop latest archive help search gallery|log in|sign up|my account|about us|news|login|register
-    startseite kontakt anmelden suche archiv hilfe stellen galerie neues laden|über uns|mein konto|registrieren|aktuelles|impressum
-    inicio contacto buscar archivo ayuda tienda empleo galería|mi cuenta|iniciar sesión|registrarse|acerca de|noticias|entrar
-    accueil connexion recherche rechercher archives aide boutique emplois galerie|mon compte|se connecter|s'inscrire|à propos|actualités""".replace("\n", "|").replace("    ", "").split("|")
-)
-LABELS = frozenset(w for x in LABELS for w in ([x] if " " not in x or x in ("log in", "sign up", "my account", "about us", "über uns", "mein konto", "mi cuenta", "iniciar sesión", "acerca de", "mon compte", "se connecter", "à propos") else x.split()))
+COMPANIES = (" media ltd, ", " verlag, ", " s.l., ", " sarl, ")
+LABELS = frozenset((
+    "home", "contact", "about", "jobs", "shop", "latest", "archive", "help", "search", "gallery", "log in", "sign up", "my account", "about us", "news", "login", "register",
+    "startseite", "kontakt", "anmelden", "suche", "archiv", "hilfe", "stellen", "galerie", "neues", "laden", "über uns", "mein konto", "registrieren", "aktuelles", "impressum",
+    "inicio", "contacto", "buscar", "archivo", "ayuda", "tienda", "empleo", "galería", "mi cuenta", "iniciar sesión", "registrarse", "acerca de", "noticias", "entrar",
+    "accueil", "connexion", "recherche", "rechercher", "archives", "aide", "boutique", "emplois", "galerie", "mon compte", "se connecter", "s'inscrire", "à propos", "actualités",
+))
 
 _NOTICE = re.compile("|".join(NOTICES))
 _RELATED = re.compile("|".join(RELATED))
+_CRUMBS = re.compile(NOTICES[-1], re.I)
 _DIGITS = re.compile(r"\d[\d,.]*")
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)")
 _BULLET = re.compile(r"^(?:[-*•–]|\d+[.)]) +")
@@ -79,30 +84,42 @@ def masked(t: str) -> str:
     return _DIGITS.sub("#", t)
 
 
+def generalised(t: str, host: str) -> str:
+    """A masked line as any site might have it: lower case, the words of the site's own name masked too."""
+    return _WORD.sub(lambda m: "@" if len(m.group()) >= 4 and m.group() in host else m.group(), t.lower())
+
+
+def running(t: str) -> bool:
+    """Whether a line looks like running text: it ends like a sentence and has eight words or more."""
+    return t[-1] in ".!?\"'»”" and t.count(" ") >= 7
+
+
 def furniture(t: str) -> str:
-    """'N' for a notice, 'H' for the heading of a list of other articles, '' otherwise; t is stripped."""
+    """'N' for a notice, 'H' for the heading of a list of other articles, 'W' for a line with a weak cue, '' otherwise;
+    t is stripped, of any length."""
     low = t.lower()
+    v = _wording(low) if len(low) <= 160 else _wording.__wrapped__(low)  # long lines seldom repeat
+    if v:
+        return v
     for x in INSIDE:
         if x in low:
-            return "N"
-    if len(low) > 160:
-        return ""
-    return _short(low)
+            return "W"
+    return ""
 
 
 @lru_cache(maxsize=1 << 16)
-def _short(low: str) -> str:
+def _wording(low: str) -> str:
     if _RELATED.match(low):
         return "H"
-    return "N" if _NOTICE.match(low) else ""
+    if _NOTICE.match(low) or any(x in low and low[-1] not in ".!?" and any(map(str.isdigit, low)) for x in COMPANIES):
+        return "N"
+    return ""
 
 
 def labels(t: str, host: str) -> tuple[str, tuple[str, ...]]:
     """Form and labels of a menu-like line, ('', ()) for any other.
 
     Forms: b bullet, l links of the own host, x links elsewhere, s segments, p plain label."""
-    if len(t) > 200 and t[0] not in "[-*•–":
-        return "", ()
     links = _LINK.findall(t) if "](" in t else None
     if links:
         rest = _LINK.sub("", _BULLET.sub("", t)).strip(" |·/»>-")
@@ -110,9 +127,11 @@ def labels(t: str, host: str) -> tuple[str, tuple[str, ...]]:
             return "", ()
         own = all(not u.startswith("http") or host_of(u) == host for _, u in links)
         return ("l" if own else "x"), tuple(a.strip() for a, _ in links)
+    if ", " in t or t[-1] in ".!?…:":
+        return "", ()
     bullet = _BULLET.match(t)
     body = t[bullet.end() :] if bullet else t
-    if len(body) > 400 or _END.search(body) or ", " in body:
+    if _END.search(body):
         return "", ()
     parts = tuple(p for p in _SPLIT.split(body) if p)
     if not parts or any(len(p) > 40 or p.count(" ") > 3 for p in parts) or any(c.isdigit() for c in body) or "\t" in body:
@@ -122,6 +141,12 @@ def labels(t: str, host: str) -> tuple[str, tuple[str, ...]]:
     return ("b" if bullet else "p"), parts
 
 
+def crumbs(t: str) -> tuple[str, ...]:
+    """The segments of a breadcrumb that says what it is; none for other lines."""
+    m = _CRUMBS.match(t)
+    return tuple(p for p in _SPLIT.split(t[m.end() :].strip()) if p) if m else ()
+
+
 def known(parts: tuple[str, ...]) -> int:
     return sum(p.lower() in LABELS for p in parts)
 
@@ -129,18 +154,25 @@ def known(parts: tuple[str, ...]) -> int:
 def read(content: str, url: str | None) -> list[tuple[int, str, str, str, tuple[str, ...]]]:
     """(line number, stripped line, verdict, form, labels) of each line that is not blank.
 
-    Verdicts: N notice, advert, prompt, breadcrumb or footer; H heading and I item of a list of other articles;
-    M menu; '' nothing known locally."""
+    Verdicts: N notice, advert, prompt, breadcrumb or footer; C weak cue of a notice; H heading and I item of a list of
+    other articles; M menu; '' nothing known locally. A weak cue is a verdict only before or after all running text of the page, or where it has none."""
     host = host_of(url)
     out: list[list] = []
     listing = False
     previous = -2
+    weak: list[int] = []
+    first = last = -1
     for no, raw in enumerate(content.split("\n")):
         t = raw.strip()
         if not t:
             listing = False
             continue
-        v = furniture(t) if len(t) < 400 else ""
+        v = furniture(t)
+        if v == "W":
+            weak.append(len(out))
+            v = ""
+        elif not v and running(t):
+            first, last = (len(out) if first < 0 else first), len(out)
         form, parts = ("", ()) if v else labels(t, host)
         if v == "H":
             listing = True
@@ -153,6 +185,9 @@ def read(content: str, url: str | None) -> list[tuple[int, str, str, str, tuple[
                 listing = False
         previous = no
         out.append([no, t, v, form, parts])
+    for i in weak:
+        if (first < 0 or i < first or i > last) and not out[i][2] and len(out) > 1:
+            out[i][2:] = ["C", "", ()]
     _menus(out)
     return [tuple(x) for x in out]
 
@@ -183,7 +218,7 @@ def _menus(out: list[list]) -> None:
                 x[2] = "M"
         i = j
     top = 0
-    while top < len(out) and out[top][2] in ("M", "N"):
+    while top < len(out) and out[top][2] in ("M", "N", "C"):
         top += 1
     if top < len(out) and out[top][3] == "s" and 2 <= len(out[top][4]) <= 4 and out[top][0] <= out[0][0] + 25 and len(out) > top + 1 and re.search(r" [/»›>] ", out[top][1]) and not any(x[3] == "s" for x in out[top + 1 : top + 3]):
         out[top][2] = "N"

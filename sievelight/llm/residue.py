@@ -203,9 +203,9 @@ def sample(pages: DataFrame, bound: int = SAMPLE_ROWS) -> Sample:
     small = F.length("content") < SHORT
     n, s = pages.select(F.count("content"), F.count(F.when(small, 1))).first()
     part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "url", "at"), F.lit(1_000_003)) / 1_000_003.0
-    wide = 1.5 * bound  # of which the lowest are kept
+    wide = 1.15 * bound  # of which the lowest are kept
     drawn = some.where(F.length("content") <= SAMPLE_CHARS).select("*", part(0).alias("g"), F.when(small, part(1)).alias("s")).where((F.col("g") < wide / max(n, 1)) | (F.col("s") < wide / max(s, 1)))
-    rows = drawn.dropDuplicates(["url", "at"]).orderBy(F.least("g", "s"), "url", "at").limit(int(3 * wide)).collect()
+    rows = drawn.dropDuplicates(["url", "at"]).orderBy(F.least("g", "s"), "url", "at").limit(3 * bound).collect()
 
     def newest(lowest: list) -> list[tuple[str, str]]:
         return list({r.url: r.content for r in sorted(lowest[:bound], key=lambda r: r["at"])}.items())

@@ -119,6 +119,33 @@ def test_sample(spark):
     assert residue.sample(df.limit(0), 50).both() == []
 
 
+def test_words_of_notices_in_bodies(spark):
+    """Body sentences with the words of notices stay; notices of any length fall, locally and by votes."""
+    mine = ["The bakery sells fresh cookies every morning to the farmers.", "Her weekly newsletter reached two thousand farmers in 1990.", "The letter said that all rights reserved for the mill were void."]
+    notice = "We use cookies " + "to remember your settings, to count visits and to show fitting adverts, " * 8 + "as you may like."
+    text = page(notice, "", "# A title", PROSE, "", *[x for m in mine for x in (m, "")], PROSE, "", "Newsletter bestellen", "", "© 2020 Site. All rights reserved.")
+    got = {no: v for no, _, v, _, _ in pagelines.read(text, URL)}
+    assert [no for no, v in got.items() if v] == [0, 13, 15]
+    alone = [(f"https://a{i}.example/{i}", x, 1) for i, x in enumerate(mine)]
+    many = [(f"https://b.example/{i}", text.replace("A title", f"Title {chr(97 + i)}"), 1) for i in range(12)]
+    found_ = {(r.url, r.line_no) for r in boilerplate.furniture_lines(spark.createDataFrame(alone + many, "url string, content string, created_at long")).collect()}
+    assert not any(u.startswith("https://a") for u, _ in found_) and {n for _, n in found_} >= {0, 13, 15}
+
+
+def test_general_paths(spark):
+    """A notice that only one page has falls where notices of its kind and place win elsewhere, and items follow their heading."""
+    rows = []
+    for h in range(12):
+        for i in range(10):
+            rows.append((f"https://h{h}.example/{i}", page(f"You are here: Weirs {h} / Locks {h} / {PROSE[i * 4: i * 4 + 9].strip()}", "", f"Title {h} {chr(97 + i)}", PROSE.replace("valley", f"valley of {chr(97 + h)}{chr(97 + i)}"), "", "Related articles", f"The weir that {chr(97 + h)}{chr(97 + i)} built", "", "Leave a reply"), 1))
+    rows.append(("https://other.example/1", page("Title", PROSE, "", "Be the first to comment"), 1))
+    got = {}
+    for r in boilerplate.furniture_lines(spark.createDataFrame(rows, "url string, content string, created_at long")).collect():
+        got.setdefault(r.url, []).append(r.line_no)
+    assert sorted(got.pop("https://other.example/1")) == [3]
+    assert {tuple(sorted(v)) for v in got.values()} == {(0, 5, 6, 8)} and len(got) == 120
+
+
 def test_boilerplate(spark, pages):
     got = {(r.url, r.line_no) for r in boilerplate.furniture_lines(pages).collect()}
     lines = sorted(n for u, n in got if u == "https://h0.example/p0")
