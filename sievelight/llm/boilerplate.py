@@ -76,56 +76,80 @@ _LINES = "array<struct<line:int,size:int,kind:int,head:int,paths:array<bigint>>>
 _VOTES = "array<struct<path:bigint,web:bigint,kind:int>>"
 
 
-def _page(url: str | None, content: str | None, model: residue.LineModel) -> tuple[str, list[dict], list[dict]]:
-    """Host, lines and votes of a page. kind numbers the general path of a hinted line, -1 others; head is the line of
-    the heading of an item, -1 elsewhere. Lines of residue without a hint are the body and are left out."""
-    host = host_of(url)
-    lines = read(content, url) if content else []
-    flag = residue.judge([t for _, t, v, _, _ in lines if not v], model)[0] if lines else False
-    prose = [i for i, (_, t, v, _, _) in enumerate(lines) if not v and running(t)]
-    out, votes, head = [], {}, -1
-    for i, (no, t, v, form, parts) in enumerate(lines):
-        head = no if v == "H" else head if v == "I" else -1
-        whole = _whole(t, form)
-        kind = -1
-        if v == "N" and (trail := crumbs(t)):
-            form, parts = "s", trail
-        if v:
-            place = 3 if not prose else 0 if i < prose[0] else 2 if i > prose[-1] else 1
-            kind = (HINTS.index(v) * len(PLACES) + place) * len(FORMS) + (1 if whole and not form else FORMS.index(form))
-        elif flag or not any(x.isalpha() for x in t):
-            continue
-        line = masked(t)
-        if form and not whole:
-            paths = [(_key(p, False, True), _key(p, False, True)) for p in parts]
-        else:
-            paths = [(_key(line, whole), _key(generalised(line, host), whole))]
-        out.append({"line": no, "size": len(t), "kind": kind, "head": head if v == "I" else -1, "paths": [p for p, _ in paths]})
-        if v == "I":
-            continue
-        for p, w in paths:
-            if kind >= 0 or p not in votes:
-                votes[p] = {"path": p, "web": w, "kind": kind}
-        if v == "M":
-            # menus vote both by label and by line: the same one may be a menu on one page and open on another
-            more = [_key(p, False, True) for p in parts] if whole else [_key(line, whole)]
-            for p in more:
-                votes.setdefault(p, {"path": p, "web": p, "kind": HINTED})
-    return host, out, list(votes.values())
+class _Rows:
+    """Lines and votes of pages as flat columns."""
+
+    def __init__(self):
+        self.hosts: list[str] = []
+        self.lines: tuple[list[int], ...] = ([], [], [], [])
+        self.paths: list[int] = []
+        self.n_paths, self.n_lines, self.n_votes = [0], [0], [0]
+        self.votes: tuple[list[int], ...] = ([], [], [])
+
+    def add(self, url: str | None, content: str | None, model: residue.LineModel) -> None:
+        """kind numbers the general path of a hinted line, -1 others; head is the line of the heading of an item, -1
+        elsewhere. Lines of residue without a hint are the body and are left out."""
+        host = host_of(url)
+        lines = read(content, url) if content else []
+        flag = residue.flagged([t for _, t, v, _, _ in lines if not v], model) if lines else False
+        prose = [i for i, (_, t, v, _, _) in enumerate(lines) if not v and running(t)]
+        numbers, sizes, kinds, heads = self.lines
+        votes: dict[int, tuple[int, int]] = {}
+        head = -1
+        for i, (no, t, v, form, parts) in enumerate(lines):
+            head = no if v == "H" else head if v == "I" else -1
+            whole = _whole(t, form)
+            kind = -1
+            if v:
+                if v == "N" and (trail := crumbs(t)):
+                    form, parts = "s", trail
+                place = 3 if not prose else 0 if i < prose[0] else 2 if i > prose[-1] else 1
+                kind = (HINTS.index(v) * len(PLACES) + place) * len(FORMS) + (1 if whole and not form else FORMS.index(form))
+            elif flag or not (t[0].isalpha() or any(map(str.isalpha, t))):
+                continue
+            labels = form != "" and not whole
+            paths = [_key(p, False, True) for p in parts] if labels else [_key(masked(t), whole)]
+            numbers.append(no)
+            sizes.append(len(t))
+            kinds.append(kind)
+            heads.append(head if v == "I" else -1)
+            self.paths += paths
+            self.n_paths.append(len(self.paths))
+            if not v or v == "I":
+                continue
+            for p in paths:
+                votes[p] = (p if labels else _key(generalised(masked(t), host), whole), kind)
+            if v == "M":
+                # menus vote both by label and by line: the same one may be a menu on one page and open on another
+                for p in [_key(masked(t), whole)] if labels else [_key(p, False, True) for p in parts]:
+                    votes.setdefault(p, (p, HINTED))
+        self.hosts.append(host)
+        self.n_lines.append(len(numbers))
+        for p, (w, k) in votes.items():
+            self.votes[0].append(p)
+            self.votes[1].append(w)
+            self.votes[2].append(k)
+        self.n_votes.append(len(self.votes[0]))
+
+    def arrays(self) -> list[pa.Array]:
+        at = lambda x: pa.array(x, pa.int32())
+        paths = pa.ListArray.from_arrays(at(self.n_paths), pa.array(self.paths, pa.int64()))
+        lines = pa.StructArray.from_arrays([*map(at, self.lines), paths], ["line", "size", "kind", "head", "paths"])
+        votes = pa.StructArray.from_arrays([pa.array(self.votes[0], pa.int64()), pa.array(self.votes[1], pa.int64()), at(self.votes[2])], ["path", "web", "kind"])
+        return [pa.array(self.hosts, pa.string()), pa.ListArray.from_arrays(at(self.n_lines), lines), pa.ListArray.from_arrays(at(self.n_votes), votes)]
 
 
 def containers(pages: DataFrame, model: residue.LineModel | None = None) -> DataFrame:
-    """One row per url (latest): host, its lines with their hints and paths, and its votes (one for each path)."""
+    """One row per url (latest): host, its lines with their hints and paths, and the votes of its hinted lines."""
     shared = pages.sparkSession.sparkContext.broadcast(model or residue.train(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        line = pa.list_(pa.struct([("line", pa.int32()), ("size", pa.int32()), ("kind", pa.int32()), ("head", pa.int32()), ("paths", pa.list_(pa.int64()))]))
-        vote = pa.list_(pa.struct([("path", pa.int64()), ("web", pa.int64()), ("kind", pa.int32())]))
         for b in batches:
-            rows = [_page(u, c, m) for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            hosts, lines, votes = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hosts, pa.string()), pa.array(lines, line), pa.array(votes, vote)], names=["url", "created_at", "host", "lines", "votes"])
+            rows = _Rows()
+            for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows.add(u, c, m)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *rows.arrays()], names=["url", "created_at", "host", "lines", "votes"])
 
     schema = f"url string, created_at long, host string, lines {_LINES}, votes {_VOTES}"
     rows = pages.select("url", "content", "created_at").where(F.col("url").isNotNull() & F.col("content").isNotNull()).mapInArrow(run, schema)
@@ -141,7 +165,9 @@ def hot_hosts(hosts: DataFrame) -> DataFrame:
 def winners(read_pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(winners, general, hot): the paths (host, path) that won on their host or on the web; of each general path its
     places on hosts with pages enough and the part of them that won; the hot hosts."""
-    votes = read_pages.select("host", F.explode("votes").alias("v"))
+    opened = F.array_distinct(F.flatten(F.transform(F.filter("lines", lambda o: o["kind"] < 0), lambda o: o["paths"])))
+    others = F.transform(F.array_except(opened, F.transform("votes", lambda v: v["path"])), lambda p: F.struct(p.alias("path"), p.alias("web"), F.lit(-1).alias("kind")))
+    votes = read_pages.select("host", F.explode(F.concat("votes", others)).alias("v"))
     counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.count("*").alias("pages"), F.avg((F.col("v.kind") >= 0).cast("int")).alias("agreed"), F.min(F.when(F.col("v.kind") >= 0, F.col("v.kind"))).alias("kind"), F.max("v.web").alias("web"))
     counted = materialize(counted)
     hosts = read_pages.groupBy("host").agg(F.count("*").alias("host_pages"))

@@ -64,6 +64,7 @@ _NOTICE = re.compile("|".join(NOTICES))
 _RELATED = re.compile("|".join(RELATED))
 _CRUMBS = re.compile(NOTICES[-1], re.I)
 _DIGITS = re.compile(r"\d[\d,.]*")
+_DIGIT = re.compile(r"\d")
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)")
 _BULLET = re.compile(r"^(?:[-*•–]|\d+[.)]) +")
 _SPLIT = re.compile(r" *[|·»›>] *| +/ +")
@@ -71,6 +72,7 @@ _END = re.compile(r"[.!?…:][\"'»”)\]]*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
+@lru_cache(maxsize=64)
 def host_of(url: str | None) -> str:
     """Lower-case host without a leading www.; '' for a malformed url."""
     try:
@@ -84,6 +86,7 @@ def masked(t: str) -> str:
     return _DIGITS.sub("#", t)
 
 
+@lru_cache(maxsize=1 << 15)
 def generalised(t: str, host: str) -> str:
     """A masked line as any site might have it: lower case, the words of the site's own name masked too."""
     return _WORD.sub(lambda m: "@" if len(m.group()) >= 4 and m.group() in host else m.group(), t.lower())
@@ -111,7 +114,7 @@ def furniture(t: str) -> str:
 def _wording(low: str) -> str:
     if _RELATED.match(low):
         return "H"
-    if _NOTICE.match(low) or any(x in low and low[-1] not in ".!?" and any(map(str.isdigit, low)) for x in COMPANIES):
+    if _NOTICE.match(low) or (low[-1] not in ".!?" and any([x in low for x in COMPANIES]) and _DIGIT.search(low)):
         return "N"
     return ""
 
@@ -120,6 +123,13 @@ def labels(t: str, host: str) -> tuple[str, tuple[str, ...]]:
     """Form and labels of a menu-like line, ('', ()) for any other.
 
     Forms: b bullet, l links of the own host, x links elsewhere, s segments, p plain label."""
+    if "](" not in t and (", " in t or t[-1] in ".!?…:"):
+        return "", ()
+    return _labels(t, host) if len(t) <= 160 else _labels.__wrapped__(t, host)
+
+
+@lru_cache(maxsize=1 << 15)
+def _labels(t: str, host: str) -> tuple[str, tuple[str, ...]]:
     links = _LINK.findall(t) if "](" in t else None
     if links:
         rest = _LINK.sub("", _BULLET.sub("", t)).strip(" |·/»>-")
@@ -127,14 +137,14 @@ def labels(t: str, host: str) -> tuple[str, tuple[str, ...]]:
             return "", ()
         own = all(not u.startswith("http") or host_of(u) == host for _, u in links)
         return ("l" if own else "x"), tuple(a.strip() for a, _ in links)
-    if ", " in t or t[-1] in ".!?…:":
-        return "", ()
     bullet = _BULLET.match(t)
     body = t[bullet.end() :] if bullet else t
     if _END.search(body):
         return "", ()
+    if "\t" in body or _DIGIT.search(body):
+        return "", ()
     parts = tuple(p for p in _SPLIT.split(body) if p)
-    if not parts or any(len(p) > 40 or p.count(" ") > 3 for p in parts) or any(c.isdigit() for c in body) or "\t" in body:
+    if not parts or any(len(p) > 40 or p.count(" ") > 3 for p in parts):
         return "", ()
     if len(parts) > 1:
         return "s", parts

@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,32 +82,39 @@ def features(t: str) -> list[str]:
     slots = 0
     if any(c in t for c in "{[<%_"):
         t, slots = _SLOT.subn(" \x00 ", t)
-    out: list[str] = []
-    mess = letters = 0
-    for x in t.split():
-        f, m, n = _token(x) if len(x) <= 64 else _token.__wrapped__(x)
-        out += f
-        mess += m
-        letters += n
+    runs = t.split()
+    if not runs:
+        return []
+    seen = list(map(_token if max(map(len, runs)) <= 64 else _token.__wrapped__, runs))  # words repeat, long runs don't
+    out = list(chain.from_iterable([x[0] for x in seen]))
+    mess, letters = sum([x[1] for x in seen]), sum([x[2] for x in seen])
     if not slots:
         if not out:
-            return ["~"] if t.strip() else []
+            return ["~"]
         if (mess > 0.3 * len(out) + 1 and "/P" not in out and "#H" not in out) or letters < 0.35 * len(t) - 4:
             return ["~"] * len(out)
     return out
 
 
-def keys(f: list[str], short: bool) -> set[str]:
-    """What the model weighs: distinct words and neighbours, and whether the record has few words of its own."""
+def keys(f: list[str], short: bool, marked: bool = False) -> set[str]:
+    """What the model weighs: distinct words and neighbours, whether the record has few words of its own, and whether
+    the line has a mark."""
     k = set(f)
     k.update([a + " " + b for a, b in pairwise(f)])
     if len(f) <= 3:
         k.add("=" + " ".join(f))
     if short:
         k.add("=short")
+    if marked:
+        k.add("=mark")
     return k
 
 
+def marked(t: str, total: int) -> bool:
+    """Whether a line of a record of ``total`` words counts as marked: longer records mention such things in passing."""
+    return total <= 3 * FEW and bool(MARKS.search(t))
+
+
 @dataclass
 class LineModel:
     """Log odds of a line: prior plus the weights of its distinct features; broadcast, at most VOCABULARY entries."""
@@ -116,11 +123,11 @@ class LineModel:
     prior: float = -6.0
     unseen: float = 0.0
 
-    def odds(self, f: list[str], short: bool) -> float:
+    def odds(self, f: list[str], short: bool, marked: bool = False) -> float:
         w = self.weight
         if "~" in f:
             return -9.0
-        return self.prior + sum([w.get(x, 0.0) for x in keys(f, short)])
+        return self.prior + math.fsum(map(w.get, keys(f, short, marked), repeat(0.0)))
 
 
 def fit(pages: Iterable[tuple[str, str]]) -> LineModel:
@@ -132,19 +139,18 @@ def fit(pages: Iterable[tuple[str, str]]) -> LineModel:
     records: list[tuple[bool, list[int], list[int]]] = []
     for url, content in sorted(pages):
         own = [(t, features(t)) for _, t, v, _, _ in read(content, url) if not v]
-        own = [(t, f) for t, f in own if f]
         if not own:
             continue
-        total = sum(len(f) for _, f in own)
+        total = sum(words(t) for t, _ in own)
         marks = [f[:1] != ["~"] and bool(MARKS.search(t)) for t, f in own]
         long = any(len(f) >= 25 and not m for (_, f), m in zip(own, marks))
         share = sum(marks) / len(own)
         trusted = not long and share >= (0.34 if total <= 3 * FEW else 0.75)
         at = []
-        for _, f in own:
-            k = ("~",) if "~" in f else tuple(sorted(keys(f, total <= FEW)))
+        for (_, f), m in zip(own, marks):
+            k = ("~",) if "~" in f else tuple(sorted(keys(f, total <= FEW, m and total <= 3 * FEW)))
             at.append(index.setdefault(k, len(index)))
-        records.append((trusted, at, [len(f) for _, f in own]))
+        records.append((trusted, at, [words(t) for t, _ in own]))
     lines = list(index)
     in_lines = Counter(x for k in lines for x in k)
     in_records: Counter = Counter()
@@ -219,22 +225,41 @@ def train(pages: DataFrame) -> LineModel:
     return fit(sample(pages).both())
 
 
+def words(t: str) -> int:
+    """What a line weighs in its record: its words between white space."""
+    return t.count(" ") + 1
+
+
 def judge(lines: list[str], model: LineModel) -> tuple[bool, int, int, float]:
-    """(residue?, words in positive lines, all words, highest log odds) of a record's own lines.
+    """(residue?, words in positive lines, all words, highest log odds) of a record's own lines (stripped, not blank).
 
     A record is residue if half of its words stand in positive lines, or if it is short, has a clearly positive line
     and no line that clearly isn't."""
-    own = [f for f in map(features, lines) if f]
-    total = sum(map(len, own))
+    total = sum(map(words, lines))
     pos, best, worst = 0, -99.0, 99.0
-    for f in own:
-        o = model.odds(f, total <= FEW)
+    for t in lines:
+        o = model.odds(features(t), total <= FEW, marked(t, total))
         best, worst = max(best, o), min(worst, o)
         if o > 0:
-            pos += len(f)
+            pos += words(t)
     return pos > 0 and (pos >= 0.5 * total or (total <= FEW and best > 4 and worst > -6)), pos, total, best
 
 
+def flagged(lines: list[str], model: LineModel) -> bool:
+    """The verdict of judge alone; it stops where the lines that are not positive hold more than half of the words."""
+    total = left = sum(map(words, lines))
+    if total <= 3 * FEW:
+        return judge(lines, model)[0]
+    pos = 0
+    for t in sorted(lines, key=len, reverse=True):
+        left -= words(t)
+        if model.odds(features(t), False) > 0:
+            pos += words(t)
+        if pos + left < 0.5 * total:
+            return False
+    return pos > 0 and pos >= 0.5 * total
+
+
 def own_lines(content: str, url: str | None) -> list[str]:
     return [t for _, t, v, _, _ in read(content, url) if not v]
 
