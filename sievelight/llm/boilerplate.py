@@ -15,7 +15,8 @@ of a breadcrumb is the page's own); items of a list of other articles fall with
 where a general path cannot be voted on, since too few pages hold it, does the hint decide by itself. Lines of any
 length and ending vote. Sentences, long lines, links and rows with separators vote as whole lines and need a larger
 part of the host's pages, for a body may repeat a sentence; they stay where most of their pages would keep hardly any
-text of their own: these pages are copies of one body. Votes are counted with partial aggregation over (host, path).
+text of their own: these pages are copies of one body. Votes are counted with partial aggregation over
+the host and path, which one hash of 64 bits stands for.
 Hosts with a thousandth of all pages or more (at most a thousand of them) are split by salt in proportion to their
 pages. Null and blank contents have no lines; a url is judged on its latest row."""
 
@@ -59,9 +60,9 @@ FORMS = ("", "whole", "b", "l", "x", "s", "p")
 HINTED = len(HINTS) * len(PLACES) * len(FORMS)
 
 
-def _key(path: str, whole: bool = False, label: bool = False) -> int:
-    """Hash of a path; its last bits tell a whole line and a label."""
-    return (xxhash.xxh64_intdigest(path) & ~3 | whole | label << 1) - (1 << 63)
+def _key(path: str, whole: bool = False, label: bool = False, seed: int = 0) -> int:
+    """Hash of a path, for one host by its seed; its last bits tell a whole line and a label."""
+    return (xxhash.xxh64_intdigest(path, seed) & ~3 | whole | label << 1) - (1 << 63)
 
 
 def _whole(t: str, form: str) -> bool:
@@ -90,6 +91,7 @@ class _Rows:
         """kind numbers the general path of a hinted line, -1 others; head is the line of the heading of an item, -1
         elsewhere. Lines of residue without a hint are the body and are left out."""
         host = host_of(url)
+        seed = xxhash.xxh64_intdigest(host)
         lines = read(content, url) if content else []
         flag = residue.flagged([t for _, t, v, _, _ in lines if not v], model) if lines else False
         prose = [i for i, (_, t, v, _, _) in enumerate(lines) if not v and running(t)]
@@ -108,21 +110,27 @@ class _Rows:
             elif flag or not (t[0].isalpha() or any(map(str.isalpha, t))):
                 continue
             labels = form != "" and not whole
-            paths = [_key(p, False, True) for p in parts] if labels else [_key(masked(t), whole)]
+            line = "" if labels else masked(t)
+            paths = [_key(p, False, True, seed) for p in parts] if labels else [_key(line, whole, False, seed)]
             numbers.append(no)
             sizes.append(len(t))
             kinds.append(kind)
             heads.append(head if v == "I" else -1)
             self.paths += paths
             self.n_paths.append(len(self.paths))
-            if not v or v == "I":
+            if v == "I":
+                continue
+            if not v:
+                for p in paths:
+                    votes.setdefault(p, (0, -1))
                 continue
             for p in paths:
-                votes[p] = (p if labels else _key(generalised(masked(t), host), whole), kind)
+                votes[p] = (0 if labels else _key(generalised(line, host), whole), kind)
             if v == "M":
                 # menus vote both by label and by line: the same one may be a menu on one page and open on another
-                for p in [_key(masked(t), whole)] if labels else [_key(p, False, True) for p in parts]:
-                    votes.setdefault(p, (p, HINTED))
+                for p in [_key(masked(t), whole, False, seed)] if labels else [_key(p, False, True, seed) for p in parts]:
+                    if votes.get(p, (0, -1))[1] < 0:
+                        votes[p] = (0, HINTED)
         self.hosts.append(host)
         self.n_lines.append(len(numbers))
         for p, (w, k) in votes.items():
@@ -140,7 +148,8 @@ class _Rows:
 
 
 def containers(pages: DataFrame, model: residue.LineModel | None = None) -> DataFrame:
-    """One row per url (latest): host, its lines with their hints and paths, and the votes of its hinted lines."""
+    """One row per url (latest): host, its lines with their hints and paths, and its votes (one for each path;
+    web is 0 for labels and lines without a hint)."""
     shared = pages.sparkSession.sparkContext.broadcast(model or residue.train(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,22 +172,21 @@ def hot_hosts(hosts: DataFrame) -> DataFrame:
 
 
 def winners(read_pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(winners, general, hot): the paths (host, path) that won on their host or on the web; of each general path its
+    """(winners, general, hot): the paths (with their host's hash) that won on their host or on the web; of each general path its
     places on hosts with pages enough and the part of them that won; the hot hosts."""
-    opened = F.array_distinct(F.flatten(F.transform(F.filter("lines", lambda o: o["kind"] < 0), lambda o: o["paths"])))
-    others = F.transform(F.array_except(opened, F.transform("votes", lambda v: v["path"])), lambda p: F.struct(p.alias("path"), p.alias("web"), F.lit(-1).alias("kind")))
-    votes = read_pages.select("host", F.explode(F.concat("votes", others)).alias("v"))
-    counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.count("*").alias("pages"), F.avg((F.col("v.kind") >= 0).cast("int")).alias("agreed"), F.min(F.when(F.col("v.kind") >= 0, F.col("v.kind"))).alias("kind"), F.max("v.web").alias("web"))
-    counted = materialize(counted)
-    hosts = read_pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    votes = read_pages.select(F.explode("votes").alias("v"), F.xxhash64("host").alias("host"))
+    counted = votes.groupBy(F.col("v.path").alias("path")).agg(F.count("*").alias("pages"), F.avg((F.col("v.kind") >= 0).cast("int")).alias("agreed"), F.min(F.when(F.col("v.kind") >= 0, F.col("v.kind"))).alias("kind"), F.max(F.when(F.col("v.kind") >= 0, F.col("v.web"))).alias("web"), F.min("host").alias("host"))
+    # the others can't win, whatever their host
+    counted = materialize(counted.where((F.col("pages") >= LEAST_PAGES) | F.col("kind").isNotNull()))
+    hosts = read_pages.groupBy(F.xxhash64("host").alias("host")).agg(F.count("*").alias("host_pages"))
     hot = materialize(hot_hosts(hosts))
     joined = counted.join(F.broadcast(hot.select("host", F.col("host_pages").alias("many"))), "host", "left")
     sized = joined.where("many IS NOT NULL").withColumn("host_pages", F.col("many")).unionByName(joined.where("many IS NULL").join(hosts, "host"))
-    web = counted.where(F.col("path").bitwiseAND(F.lit(2)) == 0).groupBy("web").agg(F.count("*").alias("n"), (F.sum(F.col("agreed") * F.col("pages")) / F.sum("pages")).alias("agreed")).where((F.col("n") >= LEAST_HOSTS) & (F.col("agreed") >= AGREED))
+    web = counted.where("web != 0 AND kind IS NOT NULL").groupBy("web").agg(F.count("*").alias("n"), (F.sum(F.col("agreed") * F.col("pages")) / F.sum("pages")).alias("agreed")).where((F.col("n") >= LEAST_HOSTS) & (F.col("agreed") >= AGREED))
     web = web.select("web", F.lit(True).alias("on_web"), F.explode(F.sequence(F.lit(0), F.lit(WEB_SALTS - 1))).alias("salt"))
     spread = F.when(_is_whole("path"), WHOLE_SPREAD).otherwise(SPREAD)
     on_host = (F.col("pages") >= LEAST_PAGES) & ((F.col("agreed") >= AGREED) | (F.col("pages") >= spread * F.col("host_pages")))
-    voted = sized.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(WEB_SALTS)).cast("int")).join(web, ["web", "salt"], "left").select("host", "path", "pages", F.coalesce("kind", F.lit(-1)).alias("kind"), "host_pages", (on_host | F.coalesce("on_web", F.lit(False))).alias("won"))
+    voted = sized.withColumn("salt", F.pmod("host", F.lit(WEB_SALTS)).cast("int")).join(web, ["web", "salt"], "left").select("host", "path", "pages", F.coalesce("kind", F.lit(-1)).alias("kind"), "host_pages", (on_host | F.coalesce("on_web", F.lit(False))).alias("won"))
     voted = materialize(voted.where("won OR kind >= 0"))
     general = voted.where(F.col("kind").between(0, HINTED - 1) & (F.col("host_pages") >= ENOUGH)).groupBy("kind").agg(F.sum("pages").alias("places"), (F.sum(F.col("pages") * F.col("won").cast("int")) / F.sum("pages")).alias("part"))
     return voted.where("won").select("host", "path"), general, hot
@@ -192,20 +200,20 @@ def furniture_lines(pages: DataFrame, model: residue.LineModel | None = None) ->
     lost = [r.kind for r in general.where((F.col("places") >= LEAST_PLACES) & (F.col("part") < AGREED)).collect()]
     total = F.aggregate(F.filter("lines", lambda o: o["kind"] < 0), F.lit(0), lambda n, o: n + o["size"])
     falls = F.col("o.kind").isin(lost) == F.lit(False) if lost else F.lit(True)
-    lines = seen.select("url", "host", total.alias("total"), F.explode("lines").alias("o")).select("url", "host", "total", F.col("o.line").alias("line_no"), "o.size", "o.kind", "o.head", "o.paths", (F.col("o.kind") >= 0) & falls)
+    lines = seen.select("url", F.xxhash64("host").alias("host"), total.alias("total"), F.explode("lines").alias("o")).select("url", "host", "total", F.col("o.line").alias("line_no"), "o.size", "o.kind", "o.head", "o.paths", (F.col("o.kind") >= 0) & falls)
     lines = lines.toDF("url", "host", "total", "line_no", "size", "kind", "head", "paths", "general")
     fell = lines.where("head < 0 AND general").select("url", "line_no")
     items = seen.where(F.exists("lines", lambda o: o["head"] >= 0)).select("url", F.explode("lines").alias("o")).where("o.head >= 0").select("url", F.col("o.line").alias("line_no"), F.col("o.head").alias("head"))
 
     undecided = lines.where("head < 0 AND NOT general").join(F.broadcast(hot.select("host", "salts")), "host", "left")
     salts = F.coalesce("salts", F.lit(1))
-    salted = undecided.select("url", "host", "total", "line_no", "size", F.when((F.col("kind") >= 0) & (F.size("paths") > 2), F.size("paths") / 2).otherwise(F.size("paths")).alias("n"), F.pmod(F.xxhash64("url"), salts).cast("int").alias("salt"), F.explode("paths").alias("path"))
-    spread = won.join(F.broadcast(hot.select("host", "salts")), "host", "left").select("host", "path", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    voted = salted.join(spread, ["host", "path", "salt"]).groupBy("url", "line_no", "n", "host", "total", "size").agg(F.count("*").alias("k"), F.min("path").alias("path")).where(F.col("k") >= F.col("n"))
-    voted = materialize(voted.select("url", "host", "line_no", "path", "total", "size"))
+    salted = undecided.select("url", "total", "line_no", "size", F.when((F.col("kind") >= 0) & (F.size("paths") > 2), F.size("paths") / 2).otherwise(F.size("paths")).alias("n"), F.pmod(F.xxhash64("url"), salts).cast("int").alias("salt"), F.explode("paths").alias("path"))
+    spread = won.join(F.broadcast(hot.select("host", "salts")), "host", "left").select("path", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    voted = salted.join(spread, ["path", "salt"]).groupBy("url", "line_no", "n", "total", "size").agg(F.count("*").alias("k"), F.min("path").alias("path")).where(F.col("k") >= F.col("n"))
+    voted = materialize(voted.select("url", "line_no", "path", "total", "size"))
     copies = voted.groupBy("url").agg((F.max("total") - F.sum("size") < OWN * F.sum(F.when(_is_whole("path"), F.col("size")).otherwise(0))).alias("copy"))
-    copied = voted.where(_is_whole("path")).join(copies, "url").groupBy("host", "path").agg(F.avg(F.col("copy").cast("int")).alias("part")).where("part > 0.5")
-    fell = fell.union(voted.join(copied, ["host", "path"], "left_anti").select("url", "line_no"))
+    copied = voted.where(_is_whole("path")).join(copies, "url").groupBy("path").agg(F.avg(F.col("copy").cast("int")).alias("part")).where("part > 0.5")
+    fell = fell.union(voted.join(copied, "path", "left_anti").select("url", "line_no"))
     if lost:
         heads = fell.withColumnRenamed("line_no", "head")
         items = items.join(heads, ["url", "head"], "left_semi")

@@ -112,7 +112,7 @@ def keys(f: list[str], short: bool, marked: bool = False) -> set[str]:
 
 def marked(t: str, total: int) -> bool:
     """Whether a line of a record of ``total`` words counts as marked: longer records mention such things in passing."""
-    return total <= 3 * FEW and bool(MARKS.search(t))
+    return total <= FEW and bool(MARKS.search(t))
 
 
 @dataclass
@@ -148,7 +148,7 @@ def fit(pages: Iterable[tuple[str, str]]) -> LineModel:
         trusted = not long and share >= (0.34 if total <= 3 * FEW else 0.75)
         at = []
         for (_, f), m in zip(own, marks):
-            k = ("~",) if "~" in f else tuple(sorted(keys(f, total <= FEW, m and total <= 3 * FEW)))
+            k = ("~",) if "~" in f else tuple(sorted(keys(f, total <= FEW, m and total <= FEW)))
             at.append(index.setdefault(k, len(index)))
         records.append((trusted, at, [words(t) for t, _ in own]))
     lines = list(index)
@@ -248,7 +248,7 @@ def judge(lines: list[str], model: LineModel) -> tuple[bool, int, int, float]:
 def flagged(lines: list[str], model: LineModel) -> bool:
     """The verdict of judge alone; it stops where the lines that are not positive hold more than half of the words."""
     total = left = sum(map(words, lines))
-    if total <= 3 * FEW:
+    if total <= FEW:
         return judge(lines, model)[0]
     pos = 0
     for t in sorted(lines, key=len, reverse=True):
