@@ -113,6 +113,77 @@ def test_clock_times():
     assert [g[:2] for g in leakage.find([item, "1 00:00:01,000 --> 00:00:02,500 " + item, cues(item)], items)] == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_nothing_is_taken_out():
+    """Items in a line with a time, in brackets or stars are found, as are items of a word or two; labels don't interrupt."""
+    item = "the old miller counted every cart that crossed his narrow bridge in the spring of that long year"
+    items = leakage.Items([1, 2, 3, 4], [item, "velvet harbour", "Quince", "three odd words"])
+    docs = [f"so At 10:30 {item}", f"then ({item}) he said", f"[{item}]", "{" + item + "}", f"* {item} *", f"<{item}>", f"KEEPER OF THE OLD MILL: {item}", item.replace("cart", "cart [door slams]").replace("spring", "<i>spring</i>")]
+    assert [g[:2] for g in leakage.find(docs, items)] == [(i, 0) for i in range(len(docs))]
+    docs = ["a (velvet harbour) b", "velvet and harbour", "[Quince]", "*three odd words*", "three odd", "quinces", None, ""]
+    assert sorted(g[:2] for g in leakage.find(docs, items)) == [(0, 1), (2, 2), (3, 3)]
+
+
+def test_longest_matches():
+    """Every match is as long as it can be, whatever follows its first four words, and the array is in full order."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(6)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(20)]
+    items = leakage.Items([0, 1], [" ".join(rng.choice(words, 30)) for _ in range(2)])
+    w = leakage.Words([leakage.normal(t) for t in texts])
+    want = set()
+    split = [t.split() for t in texts]
+    for i in range(2):
+        a = [x.decode() for x in items.text.list(int(items.text.bounds[i]), int(items.text.bounds[i + 1]))]
+        for d, b in enumerate(split):
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    if a[p] == b[q] and not (p and q and a[p - 1] == b[q - 1]):
+                        n = 0
+                        while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                            n += 1
+                        if n >= leakage.K:
+                            want.add((d, i, p, int(w.bounds[d]) + q, n))
+    assert set(zip(*(x.tolist() for x in leakage.longest_matches(w, items)))) == want and len({n for *_, n in want}) > 1
+    from sievelight.llm.vector import grams
+
+    g, _, at = grams(w.h, w.doc, leakage.K)
+    order = at[leakage.suffix_array(w, at, g)]
+    by = [tuple(int(x) for x in w.h[p : min(p + 16, w.bounds[w.doc[p] + 1])]) for p in order]
+    runs = [b for b, a in zip(by[1:], [None, *by][1:]) if b == a]
+    assert len(runs) == len(by) - len(set(by))  # equal stretches of sixteen words stand together: not so by the first four alone
+
+
+def test_align_against_plain_table():
+    def plain(item, doc):
+        best, where = 0.0, (0, 0, 0)
+        rows = [[(0.0, 0, 0)] * (len(doc) + 1)]
+        for i, a in enumerate(item):
+            row = [(0.0, i + 1, 0)]
+            for j, b in enumerate(doc):
+                s = 1.0 if a == b else 0.5 if a[0] == b[0] and leakage._close(a, b) else -0.9
+                p = rows[-1][j]
+                x = (p[0] + s, p[1], p[2] + (s > 0)) if p[0] > 0 else (s, i, int(s > 0))
+                u, l = rows[-1][j + 1], row[-1]
+                for c in ((u[0] - 0.9, u[1], u[2]), (l[0] - 0.6, l[1], l[2])):
+                    if c[0] > x[0] + 1e-9:
+                        x = c
+                row.append(x if x[0] > 0 else (0.0, i + 1, 0))
+                if row[-1][0] > best + 1e-9:
+                    best, where = row[-1][0], (row[-1][1], i + 1, row[-1][2])
+            rows.append(row)
+        return best, where
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        a = [bytes(f"{x}word", "ascii") for x in rng.integers(0, 9, 12)]
+        b = [bytes(f"{x}word", "ascii") for x in rng.integers(0, 9, 25)]
+        b[5:13] = a[2:10]
+        best, where = plain(a, b)
+        got = leakage.align(a, b)
+        assert best > 0 and got[1] - got[0] > 0 and abs((got[1] - got[0]) - (where[1] - where[0])) <= 2
+    assert leakage.align([], [b"x"]) == (0, 0, 0) and leakage.align([b"x"], []) == (0, 0, 0)
+
+
 GOOD = ["Não sei, talvez amanhã. A canção é difícil.", "Où est l'élève ? Ça va être étrange.", "Wir müssen zurück, die Straße ist größer.", "¿Dónde está el año? Mañana, señor.", "Słyszysz książkę? Już idę, cześć.", "Послушай меня. Это был тёмный город."]
 
 
