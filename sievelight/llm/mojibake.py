@@ -49,6 +49,8 @@ ENTER, LEAVE = -6.0, -2.0
 #: Log2 odds of the best path over the clean one from which a word is affected.
 LEAST = 1.0
 CACHE = 1 << 17
+#: Characters of a run without spaces that are read at once, and of these the last that are read again with the next.
+WINDOW, EDGE = 1024, 64
 
 
 def _decode(raw: bytes, name: str) -> str:
@@ -147,8 +149,10 @@ def states() -> tuple[list[str], list[dict[str, tuple[str, float]]], dict[str, l
     return names, units, first, [max(map(len, t)) for t in units]
 
 
-def viterbi(word: str, only: str = "") -> tuple[float, list[tuple[int, int, int]]]:
-    """(log2 odds over all clean, spans (start, end, state)) of the best path over all states, or over clean and ``only``."""
+def viterbi(word: str, only: str = "", begin: int | None = None) -> tuple[float, list[tuple[int, int, int]]]:
+    """(log2 odds over all clean, spans (start, end, state)) of the best path over all states, or over clean and ``only``.
+
+    begin: the state that a text was in before the word, which costs nothing to stay in."""
     names, units, first, longest = states()
     n = len(word)
     clean = [0.0] * n
@@ -158,11 +162,11 @@ def viterbi(word: str, only: str = "") -> tuple[float, list[tuple[int, int, int]
             clean[i] = clean_cost(c, word[i - 1] if i else "", word[i + 1] if i + 1 < n else "")
             use.update(first.get(c, ()))
     # states: 0 clean, then the pairs that have a unit beginning with a character of the word
-    own = sorted(u for u in use if not only or names[u] == only)
+    own = sorted(u for u in use | ({begin} if begin is not None else set()) if not only or names[u] == only)
     inf = -1e9
     best = [[inf] * (len(own) + 1) for _ in range(n + 1)]
     back: list[list[tuple[int, int] | None]] = [[None] * (len(own) + 1) for _ in range(n + 1)]
-    best[0] = [0.0] + [ENTER] * len(own)
+    best[0] = [0.0] + [0.0 if u == begin else ENTER for u in own]
     for i in range(n):
         row = best[i]
         # change of state between characters
@@ -268,6 +272,25 @@ def safe(word: str) -> bool:
     return False
 
 
+def _spans(w: str, only: str) -> list[tuple[int, int, int]]:
+    """The labelled spans of a run without spaces. A long one is read in windows: what the model says of the last EDGE
+    characters of a window is left to the next, which goes on in the state of the place where it begins."""
+    out: list[tuple[int, int, int]] = []
+    at, begin = 0, None
+    while at < len(w):
+        part = w[at : at + WINDOW]
+        last = at + WINDOW >= len(w)
+        odds, spans = viterbi(part, only, begin)
+        if odds < LEAST:
+            spans = []
+        cut = len(part) if last else next((s for s, e, _ in spans if s < WINDOW - EDGE < e), WINDOW - EDGE)
+        kept = [x for x in spans if x[1] <= cut]
+        out += [(at + s, at + e, k) for s, e, k in kept]
+        begin = kept[-1][2] if kept and kept[-1][1] == cut else None
+        at += cut
+    return out
+
+
 class Reader:
     """Verdicts of words, kept while there are at most CACHE of them."""
 
@@ -280,6 +303,8 @@ class Reader:
         v = self.known.get(key)
         if v is None:
             v = self._judge(w, only)
+            if len(w) > 128:  # long runs seldom repeat
+                return v
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[key] = v
@@ -290,23 +315,15 @@ class Reader:
             return "lost", w
         if safe(w):
             return "", w
-        out, state = [], ""
-        for i in range(0, len(w), 60):  # a long run without spaces is read in parts
-            part = w[i : i + 60]
-            odds, spans = viterbi(part, only)
-            if odds < LEAST or not spans:
-                out.append(part)
-                continue
-            names, units, _, _ = states()
-            at = 0
-            for s, e, k in spans:
-                x = units[k].get(part[s:e])
-                out.append(part[at:s] + (x[0] if x else part[s:e]))
-                if x and not state:
-                    state = names[k]
-                at = e
-            out.append(part[at:])
-        return state, "".join(out)
+        names, units, _, _ = states()
+        out, state, at = [], "", 0
+        for s, e, k in _spans(w, only):
+            x = units[k].get(w[s:e])
+            out.append(w[at:s] + (x[0] if x else w[s:e]))
+            if x and not state:
+                state = names[k]
+            at = e
+        return state, "".join(out) + w[at:]
 
     def text(self, t: str) -> tuple[list[str], str]:
         """(states found, restored text). Where a text has words of several pairs, the pair that most of them are of

@@ -217,3 +217,14 @@ def test_lost_letters(spark):
     got = mojibake.repairs(df)
     assert {r.doc_id for r in got.collect()} == {1, 2, 3} and got.columns == ["doc_id", "states", "words", "restored"]
     assert mojibake.repairs(df.limit(0)).count() == 0
+
+
+def test_every_place_of_a_long_run():
+    """A wrong letter is found and restored wherever it stands in a run without spaces, at the borders of windows too."""
+    r = mojibake.Reader()
+    for n in [*range(50, 70), *range(mojibake.WINDOW - mojibake.EDGE - 4, mojibake.WINDOW - mojibake.EDGE + 5), *range(mojibake.WINDOW - 4, mojibake.WINDOW + 5)]:
+        bad = "a" * n + "Ã©t" + "Ã©" * 2 + "b" * 70
+        assert r.text(bad)[1] == "a" * n + "été" + "é" + "b" * 70, n
+    long = "".join("éèü"[i % 3] + "bcd" for i in range(900))
+    wrong = long.encode().decode("latin-1")
+    assert r.text(wrong)[1] == long
