@@ -1,8 +1,8 @@
 """Splitting oversized texts at natural boundaries.
 
 Word offsets are prefix sums of word lengths; paragraph, line, sentence and word ends form sorted arrays. A piece ends
-at the last paragraph end under the limit, else line, else sentence end (as long as it leaves the piece at least half
-full), else between words, else hard at the limit; the next piece steps back by the overlap to a word border. Each
+at the last paragraph end under the limit, else line, else sentence end that leaves the piece at least half full, else at
+the last of these ends that goes beyond the overlap, else between words, else hard at the limit; the next piece steps back by the overlap to a word border. Each
 step is a binary search, so a text costs its length plus a logarithm for each piece. Offsets are code points; the
 pieces cover the text without gaps, and piece_no counts from 0. Null and empty texts have no pieces; texts within the
 limit are one piece."""
@@ -34,34 +34,38 @@ def boundaries(t: str) -> list[tuple[str, list[int]]]:
     return [(n, [m.end() for m in p.finditer(t)]) for n, p in (("paragraph", _PARAGRAPH), ("line", _LINE), ("sentence", _SENTENCE), ("word", _SPACE))]
 
 
-def longest_stretch(t: str) -> int:
-    """Most characters between two natural ends (line feeds, and . ! ? before white space; the marks not counted)."""
-    longest, at = 0, 0
-    for m in _NATURAL.finditer(t):
-        longest = max(longest, m.start() - at)
-        at = m.end()
-    return max(longest, len(t) - at)
+def strict_ends(t: str) -> list[tuple[str, list[int]]]:
+    """As boundaries, for the natural ends alone that a stretch must not have (line feeds, and . ! ? before white space),
+    each right after its mark."""
+    return [("natural", [m.end() for m in _NATURAL.finditer(t)]), ("word", [m.end() for m in _SPACE.finditer(t)])]
 
 
-def pieces(t: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(start, end, kind of cut) of each piece; the last has kind 'end', a cut inside a word 'hard'."""
+def longest_stretch(t: str, ends: list[int] | None = None) -> int:
+    """Most characters between two natural ends (the marks not counted); ends: the sorted offsets after the marks."""
+    ends = [m.end() for m in _NATURAL.finditer(t)] if ends is None else ends
+    return max(b - a - 1 for a, b in zip([0, *ends], [*ends, len(t) + 1]))
+
+
+def pieces(t: str, limit: int = LIMIT, overlap: int = OVERLAP, ends: list[tuple[str, list[int]]] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind of cut) of each piece; the last has kind 'end', a cut inside a word 'hard'. ends: the sorted
+    boundaries, in order of preference, words last (boundaries(t) by default)."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half the limit")
     if not t:
         return []
     if len(t) <= limit:
         return [(0, len(t), "end")]
-    ends = boundaries(t)
-    words = ends[3][1]
+    ends = boundaries(t) if ends is None else ends
+    words = ends[-1][1]
     out, start = [], 0
     while len(t) - start > limit:
         cut, kind = start + limit, "hard"
-        for name, at in ends:
-            i = bisect_right(at, start + limit) - 1
-            least = start + overlap if name == "word" else start + limit // 2
-            if i >= 0 and at[i] > least:
-                cut, kind = at[i], name
-                break
+        under = [(at[i], name) for name, at in ends if (i := bisect_right(at, start + limit) - 1) >= 0 and at[i] > start + overlap]
+        natural = [x for x in under if x[1] != "word"]
+        if natural:
+            cut, kind = next((x for x in natural if x[0] > start + limit // 2), max(natural, key=lambda x: x[0]))
+        elif under:
+            cut, kind = under[0]
         if kind == "hard" and t[cut - 1] == "\r" and t[cut : cut + 1] == "\n":
             cut -= 1
         out.append((start, cut, kind))
@@ -96,17 +100,22 @@ def split_texts(df: DataFrame, keys: list[str], text: str, limit: int = LIMIT, o
 
 
 def stretches(pages: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row per url (latest): longest_stretch without a natural end, pieces and hard_cuts of its content."""
+    """One row per url (latest) whose content has pieces cut at no natural end: longest_stretch without a natural end,
+    pieces and hard_cuts of its content, cut at strict ends.
+
+    A stretch beyond the limit always makes such a piece: the piece that begins within the overlap before the stretch
+    meets no natural end under the limit. Null and empty contents and those within the limit have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
-                p = pieces(t, limit, limit // 10) if t else []
-                # a text has a long stretch only if it is long
-                rows.append((longest_stretch(t) if t and len(t) > limit else len(t or ""), len(p), sum(k == "hard" for _, _, k in p)))
+                ends = strict_ends(t) if t and len(t) > limit else []
+                p = pieces(t, limit, limit // 10, ends) if ends else []
+                candidate = any(k in ("word", "hard") for _, _, k in p)
+                rows.append((longest_stretch(t, ends[0][1]) if candidate else None, len(p), sum(k == "hard" for _, _, k in p)))
             cols = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in cols]], names=["url", "created_at", "longest_stretch", "pieces", "hard_cuts"])
 
     rows = pages.select("url", "content", "created_at").where(F.col("url").isNotNull()).mapInArrow(run, "url string, created_at long, longest_stretch long, pieces long, hard_cuts long")
-    return latest(rows)
+    return latest(rows).where("longest_stretch IS NOT NULL")

@@ -36,6 +36,26 @@ def test_stretch(t):
     assert splitting.longest_stretch(t) == brute_stretch(t)
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXT)
+def test_stretch_makes_a_piece(t):
+    """Pieces at strict ends find every text with a stretch beyond the limit."""
+    ends = splitting.strict_ends(t)
+    kinds = {k for _, _, k in splitting.pieces(t, 30, 3, ends)}
+    if brute_stretch(t) > 30:
+        assert kinds & {"word", "hard"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXT)
+def test_natural_end_first(t):
+    """A piece is cut between words or hard only if it has no natural end beyond the overlap."""
+    ends = splitting.boundaries(t)
+    for s, e, kind in splitting.pieces(t, 50, 6):
+        if kind in ("word", "hard"):
+            assert not any(s + 6 < x <= s + 50 for _, at in ends[:3] for x in at)
+
+
 def test_split(spark):
     df = spark.createDataFrame([("a", "x" * 3000, 1), ("b", "word " * 400, 2), ("c", "short", 3), ("d", "", 4), ("e", None, 5)], "url string, text string, piece int")
     got = splitting.split_texts(df, ["url"], "text").collect()
