@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
 from sievelight.operators import passages as P
+from sievelight.session import materialize
 
 PER_PAGE, OVERSAMPLE, EXCERPTS = 2, 4, 5
 LOW_DENSITY = 0.5
@@ -21,7 +22,7 @@ def citations(pages: DataFrame, limit: int = EXCERPTS) -> DataFrame:
     its own, a null density weighs 1."""
     keep = pages.where(~F.coalesce("content_duplicate", F.lit(False))).withColumn("content", T.js_trim(F.coalesce("content", F.lit("")))).where("content <> ''")
     texts = keep.select("url", "content").dropDuplicates(["url"])
-    split = P.split(texts)
+    split = materialize(P.split(texts))  # read by each branch of the ranking
     asked = keep.select(F.col("call_id").alias("question_id"), "url", "question").dropDuplicates(["question_id", "url"])
     top = P.select(split.select("url", "passage_no", "passage"), asked, PER_PAGE * OVERSAMPLE)
     rows = top.withColumnRenamed("question_id", "call_id").join(split, ["url", "passage_no"]).where(~T.looks_serialized(F.col("passage")))
@@ -37,9 +38,13 @@ def citations(pages: DataFrame, limit: int = EXCERPTS) -> DataFrame:
 
 
 def answers(calls: DataFrame, cited: DataFrame) -> DataFrame:
-    """(call_id, answer): the numbered quotes under a heading; a fixed sentence without any."""
-    quotes = cited.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", (-F.col("relevance")).alias("r"), "quote"))), lambda x: F.concat(F.lit("["), x.citation, F.lit("] "), x.quote)), "\n\n").alias("q"))
-    return calls.select("call_id").distinct().join(quotes, "call_id", "left").select("call_id", F.when(F.col("q").isNull(), F.lit("No results found")).otherwise(F.concat(F.lit("Findings:\n\n"), F.col("q"))).alias("answer"))
+    """(call_id, answer) of calls(call_id, url; a row for each page opened, url null where there is none): the numbered
+    quotes under the number of pages; a fixed sentence for a call that cites nothing."""
+    order = F.array_sort(F.collect_list(F.struct("citation", (-F.col("relevance")).alias("r"), "quote")))  # at most EXCERPTS
+    quotes = cited.groupBy("call_id").agg(F.array_join(F.transform(order, lambda x: F.concat(F.lit("["), x.citation, F.lit("] "), x.quote)), "\n\n").alias("q"))
+    pages = calls.groupBy("call_id").agg(F.count("url").alias("n"))
+    text = F.concat(F.lit("Based on "), F.col("n"), F.lit(" sources:\n\n"), F.col("q"))
+    return pages.join(quotes, "call_id", "left").select("call_id", F.coalesce(text, F.lit("No results found")).alias("answer"))
 
 
 def evidence(pages: DataFrame, cited: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
 from sievelight.functions import web as W
-from sievelight.operators import expand, independence, pacing, research, results, router, screen
+from sievelight.operators import cache, expand, independence, pacing, research, results, router, screen
 from sievelight.session import materialize
 
 MAX_PAGES = 10
@@ -60,6 +60,21 @@ class Research(NamedTuple):
     citations: DataFrame
     evidence: DataFrame
     answers: DataFrame
+    queries_used: DataFrame
+    extraction_stats: DataFrame
+
+
+def research_statistics(opened: DataFrame) -> DataFrame:
+    """Methods and mean confidence of the pages each call opened; pages without a known method count as best effort."""
+    if "method" not in opened.columns:
+        opened = opened.withColumn("method", F.lit("best_effort")).withColumn("confidence", F.lit(router.CONFIDENCE["best_effort"]))
+    return router.statistics(opened.select("call_id", F.coalesce("method", F.lit("best_effort")).alias("method"), F.coalesce("confidence", F.lit(router.CONFIDENCE["best_effort"])).alias("confidence")), ("call_id",))
+
+
+def cached_research(answers: DataFrame, statuses: DataFrame, log: DataFrame) -> DataFrame:
+    """log(key, query, results, created_at) with the answers(key, query, results, created_at) of runs without a warning:
+    a run whose searches were refused would serve its gap until it expires. statuses(key, status)."""
+    return cache.store(log, answers, statuses.where("status <> 'ok'").select("key"), "key")
 
 
 def web_research(questions: DataFrame, found: DataFrame, pages: DataFrame, as_of: Column, depth: str = "deep", recency_days: int = 0) -> Research:
@@ -67,7 +82,8 @@ def web_research(questions: DataFrame, found: DataFrame, pages: DataFrame, as_of
 
     found(query, ord, ...) are results by query text: each question's variants (two for quick, six for deep) are joined
     with them, de-duplicated, ranked, cut to the recent ones (undated pass; 0 days: all) and to MAX_PAGES; their pages
-    (url, content) are clustered, weighed and cited. Pages that are missing or empty cite nothing but stay sources."""
+    (url, content, and method and confidence where known) are clustered, weighed and cited. Pages that are missing or
+    empty cite nothing but stay sources. queries_used has the variants of each question."""
     checked(depth=depth, recency_days=recency_days)
     variants = expand.expand(questions.select(F.col("id").alias("question_id"), F.col("text").alias("question")), "question", DEPTHS[depth])
     asked = found.join(variants, F.col("query") == F.col("variant")).withColumn("ord", (F.col("variant_no") * 1_000_000 + F.col("ord")).cast("long"))
@@ -75,9 +91,11 @@ def web_research(questions: DataFrame, found: DataFrame, pages: DataFrame, as_of
     if recency_days:
         ranked = ranked.where(results.within_days(F.col("published"), as_of, recency_days, True))
         ranked = results.numbered(ranked.drop("rank"), ("question_id",))
+    known = [c for c in ("method", "confidence") if c in pages.columns]
     top = materialize(ranked.where(F.col("rank") <= MAX_PAGES).select("question_id", "question", "rank", "url", "title", "relevance"))
-    opened = materialize(top.join(pages.select("url", "content"), "url").select(F.col("question_id").alias("call_id"), (F.col("rank") - 1).cast("long").alias("ord"), "url", "title", "question", "content"))
+    opened = materialize(top.join(pages.select("url", "content", *known), "url").select(F.col("question_id").alias("call_id"), (F.col("rank") - 1).cast("long").alias("ord"), "url", "title", "question", "content", *known))
     clusters = independence.analyze(opened.select("call_id", "ord", "url", "content")).select("call_id", "ord", "cluster", "content_duplicate")
     weighed = materialize(opened.join(clusters, ["call_id", "ord"]).withColumn("density", T.information_density(T.density_signals(F.col("content")))))
     cited = materialize(research.citations(weighed))
-    return Research(top, cited, research.evidence(weighed, cited), research.answers(questions.select(F.col("id").alias("call_id")), cited))
+    calls = questions.select(F.col("id").alias("call_id")).join(opened.select("call_id", "url"), "call_id", "left")
+    return Research(top, cited, research.evidence(weighed, cited), research.answers(calls, cited), variants, research_statistics(weighed))

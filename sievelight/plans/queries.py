@@ -11,7 +11,7 @@ from sievelight.functions import web as W
 from sievelight.operators import cache, evaluate, expand, independence, pacing, passages, research, results, router, screen, tools
 from sievelight.plans import sql
 from sievelight.plans import views as V
-from sievelight.session import table
+from sievelight.session import materialize, table
 
 _QUERIES: dict = {}
 
@@ -268,13 +268,13 @@ def citations(spark, d):
 
 @query
 def research_evidence(spark, d):
-    opened = _opened(spark, d)
+    opened = materialize(_opened(spark, d))
     return research.evidence(opened, research.citations(opened))
 
 
 @query
 def research_answers(spark, d):
-    opened = _opened(spark, d)
+    opened = materialize(_opened(spark, d))
     return research.answers(opened, research.citations(opened))
 
 

@@ -1,8 +1,6 @@
 """ANSI SQL (DuckDB) of the queries, written independently of the operators.
 
-Left out, as SQL cannot express them or only by repeating the operator: parsers of unknown depth (router_tiers, extract_tool),
-packing of passages (passages_split, citations, research_evidence, research_answers, research_tool) and cool-downs
-(provider_cooldowns); those are tested against brute force."""
+The composed operators are in composites.py."""
 
 from __future__ import annotations
 
@@ -10,6 +8,7 @@ from sievelight.functions.text import STOP_WORDS
 from sievelight.functions.urls import BLOCKED_V4, TIERS
 from sievelight.operators.expand import SYNONYMS
 from sievelight.operators.screen import PATTERNS
+from sievelight.plans import composites as C
 from sievelight.plans.views import AS_OF, AS_OF_MS
 
 URL = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@\s]*@)?([A-Za-z0-9._\-]+|\[[0-9A-Fa-f:.]+\])(?::([0-9]*))?((?:/[^?#]*)?)((?:\?[^#]*)?)((?:#.*)?)$"
@@ -124,7 +123,7 @@ def _html() -> str:
     esc = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     return f"""{LATEST}, src AS (SELECT url, content, created_at, extraction_method AS m, length(content) AS n, regexp_extract(content, '^\\s*#*\\s*([^\\r\\n]*)', 1) AS title FROM latest WHERE content IS NOT NULL),
 html AS (SELECT *, coalesce('<html><head><title>' || {esc('title')} || '</title><meta content="' || m || '" name="author"><meta property="og:site_name" content="Site"><style>p{{a:b}}</style>'
-  || CASE WHEN n % 3 = 0 THEN '<script type="application/ld+json">' || to_json({{'@type': 'Article', 'headline': title, 'articleBody': left(content, 600)}})::VARCHAR || '</script>' ELSE '' END
+  || CASE WHEN n % 3 = 0 THEN '<script type="application/ld+json">' || to_json({{'@type': 'Article', 'headline': title, 'articleBody': content}})::VARCHAR || '</script>' ELSE '' END
   || CASE n % 4 WHEN 0 THEN '<script id="__NEXT_DATA__" type="application/json">{{"a":1}}</script>' WHEN 1 THEN '<script>self.__next_f.push([1])</script>' WHEN 2 THEN '<script>window.__NUXT__={{}}</script>' ELSE '' END
   || '</head><body><nav>Home</nav><article><p>' || regexp_replace({esc('content')}, '\\r?\\n[ \\t]*\\r?\\n', '</p><p>', 'g') || '</p></article><script>var x="</p>";</script><footer>&copy; Site</footer></body></html>', '') AS html FROM src),
 bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS b FROM html),
@@ -193,10 +192,10 @@ SELECT url, length(visible) < 500 AS requires_js, CASE WHEN html = '' THEN 'unkn
 CASE WHEN length(visible) < 500 THEN 'browser_api_intercept' ELSE 'readability' END AS best_method FROM seen""",
     "json_ld": f"""
 WITH {_html()}
-SELECT url, 0::BIGINT AS no, title AS headline, length(left(content, 600))::INTEGER AS n_body FROM html WHERE html <> '' AND n % 3 = 0 AND NOT contains(lower(left(content, 600)), '</script>')""",
+SELECT url, 0::BIGINT AS no, title AS headline, length(content)::INTEGER AS n_body FROM html WHERE html <> '' AND n % 3 = 0 AND NOT contains(lower(content), '</script>')""",
     "publishable_data": f"""
 WITH {_html()}
-SELECT url, (html <> '' AND n % 3 = 0 AND NOT contains(lower(left(content, 600)), '</script>'))::INTEGER AS n_json_ld, CASE WHEN html = '' THEN '' ELSE CASE n % 4 WHEN 0 THEN 'nextData' WHEN 2 THEN 'nuxt' ELSE '' END END AS present, 0 AS readable_chars FROM html""",
+SELECT url, (html <> '' AND n % 3 = 0 AND NOT contains(lower(content), '</script>'))::INTEGER AS n_json_ld, CASE WHEN html = '' THEN '' ELSE CASE n % 4 WHEN 0 THEN 'nextData' WHEN 2 THEN 'nuxt' ELSE '' END END AS present, 0 AS readable_chars FROM html""",
     "fusion": """
 WITH s AS (SELECT DISTINCT url, created_at AS ord, CASE extraction_method WHEN 'browser_api_intercept' THEN 'api' WHEN 'jsonld' THEN 'jsonld' WHEN 'rendered' THEN 'rendered' WHEN 'hydration_data' THEN 'metadata' ELSE 'readability' END AS method, coalesce(confidence, 0.0) AS confidence, content FROM page_cache),
 e AS (SELECT *, greatest(CASE method WHEN 'api' THEN 0.99 WHEN 'jsonld' THEN 0.95 WHEN 'rendered' THEN 0.9 WHEN 'readability' THEN 0.85 ELSE 0.6 END::DOUBLE, confidence) AS eff FROM s WHERE regexp_matches(coalesce(content, ''), '\\S')),
@@ -291,5 +290,16 @@ SELECT r.url, h.url IS NOT NULL AS injection_suspected, pattern, index, excerpt
 SQL["injection_screen"] = _screen()
 
 
+OPENED = f"""{CALLS}, dens AS ({DENSITY.replace("WITH " + LATEST + ",", "WITH ")}),
+opened AS (SELECT i.call_id, i.ord, i.url, i.cluster, i.content_duplicate, l.content, CASE WHEN l.content IS NOT NULL THEN d.score END AS density, regexp_extract(l.content, '^\\s*#*\\s*([^\\r\\n]*)', 1) AS title, q.text AS question
+  FROM ind i LEFT JOIN latest l ON l.url = i.url LEFT JOIN dens d ON d.url = i.url JOIN questions q ON q.id = i.question_id)"""
+SQL["passages_split"] = f"WITH RECURSIVE {LATEST}, {C.passages('latest')} SELECT url, passage_no, start_pos, end_pos, length(passage)::INTEGER AS n_chars FROM pas"
+SQL["citations"] = f"WITH RECURSIVE {OPENED}, {C.cited('opened')} SELECT * FROM cit"
+SQL["research_evidence"] = f"WITH RECURSIVE {OPENED}, {C.cited('opened')} {C.evidence('opened')}"
+SQL["research_answers"] = f"WITH RECURSIVE {OPENED}, {C.cited('opened')} {C.answers('opened')}"
+SQL["router_tiers"] = f"WITH {C.tiers(_html(), 'auto', 'length(content) % 5 = 0')} SELECT url, w.m AS method, w.c::DOUBLE AS confidence, w.r AS rendered, length(w.x)::INTEGER AS n_chars FROM routed"
+SQL["provider_cooldowns"] = C.COOLDOWNS
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

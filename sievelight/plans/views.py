@@ -46,12 +46,12 @@ def escaped(c):
 
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     """Each page as html: its first line as title, its host as site name, paragraphs in an article between a menu and a
-    footer; every third page also with the first 600 characters of its text as JSON-LD, every fourth with a framework's marks."""
+    footer; every third page also with its text as JSON-LD, every fourth with a framework's marks."""
     p = latest_pages(spark, d).where(F.col("content").isNotNull())
     title = F.regexp_extract("content", r"^\s*#*\s*([^\r\n]*)", 1)
     body = F.regexp_replace(escaped(F.col("content")), r"\r?\n[ \t]*\r?\n", "</p><p>")
     n = F.length("content")
-    ld = F.when(n % 3 == 0, F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Article").alias("@type"), title.alias("headline"), F.substring("content", 1, 600).alias("articleBody"))), F.lit("</script>"))).otherwise(F.lit(""))
+    ld = F.when(n % 3 == 0, F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Article").alias("@type"), title.alias("headline"), F.col("content").alias("articleBody"))), F.lit("</script>"))).otherwise(F.lit(""))
     mark = F.when(n % 4 == 0, F.lit('<script id="__NEXT_DATA__" type="application/json">{"a":1}</script>')).when(n % 4 == 1, F.lit("<script>self.__next_f.push([1])</script>")).when(n % 4 == 2, F.lit("<script>window.__NUXT__={}</script>")).otherwise(F.lit(""))
     html = F.concat(
         F.lit("<html><head><title>"), escaped(title), F.lit('</title><meta content="'), F.col("extraction_method"), F.lit('" name="author"><meta property="og:site_name" content="Site"><style>p{a:b}</style>'), ld, mark,
