@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
+from sievelight.functions import urls as U
 from sievelight.functions import web as W
 
 # Confidence of each tier and baseline of each strategy.
@@ -81,6 +82,30 @@ def fallback(blocked_urls: DataFrame, variants: DataFrame, snippets: DataFrame)
     return rows.select("url", source.alias("source"), F.coalesce("variant_text", "snippet_text", F.lit("")).alias("content"), F.when(source == "none", F.lit(0.0)).when(source == "snippets", F.lit(SNIPPET_CONFIDENCE)).otherwise(F.lit(CONFIDENCE["best_effort"])).alias("confidence"))
 
 
+NOTE = "> Note: primary extraction blocked or low-confidence; alternative source evidence appended."
+
+
+def append_evidence(routed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """routed(url, status, confidence, content, ...) with the evidence (fallback's rows) of pages that refused or have a
+    confidence below one half: its text under a note takes the content's place. Adds evidence_source, null without."""
+    e = evidence.where("source <> 'none'").select("url", F.col("source").alias("_source"), F.col("content").alias("_text"))
+    weak = blocked(F.col("status")) | (F.coalesce("confidence", F.lit(0.0)) < CONFIDENCE["best_effort"])
+    rows = routed.join(e, "url", "left").withColumn("evidence_source", F.when(weak, F.col("_source")))
+    text = F.when(F.col("evidence_source").isNotNull() & (F.col("_text") != ""), F.concat(F.lit(NOTE + "\n\n"), F.col("_text"))).otherwise(F.col("content"))
+    return rows.withColumn("content", text).drop("_source", "_text")
+
+
+def writes(routed: DataFrame, as_of: int) -> tuple[DataFrame, DataFrame]:
+    """(page_cache rows, profile rows) that routing leaves behind: the pages of routed(url, method, confidence, content,
+    html) with content, and for each host what its page of the greatest url shows, with the method that read it."""
+    kept = routed.where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    log = kept.select("url", "content", F.col("method").alias("extraction_method"), "confidence", F.lit(as_of).cast("long").alias("created_at"))
+    p = W.profile(F.coalesce("html", F.lit("")))
+    by = kept.select(U.host(F.col("url")).alias("domain"), "url", p.alias("p"), W.best_method(F.col("method")).alias("best_method")).where("domain <> ''")
+    best = by.groupBy("domain").agg(F.max(F.struct("url", "p", "best_method")).alias("r"))
+    return log, best.select("domain", "r.p.requires_js", "r.p.framework", "r.p.has_json_ld", "r.best_method", F.lit(as_of).cast("long").alias("updated_at"))
+
+
 def fuse(strategies: DataFrame) -> DataFrame:
     """One row per url of strategies(url, ord, method, confidence, content): the non-blank content of greatest
     confidence (the method's baseline at least, the first of equals); readability with confidence 0 without any."""

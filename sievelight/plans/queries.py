@@ -9,9 +9,10 @@ from sievelight.functions import text as T
 from sievelight.functions import urls as U
 from sievelight.functions import web as W
 from sievelight.operators import cache, evaluate, expand, independence, pacing, passages, research, results, router, screen, tools
-from sievelight.plans import sql
+from sievelight.plans import cases, sql
 from sievelight.plans import views as V
 from sievelight.session import materialize, table
+from sievelight.sources import providers
 
 _QUERIES: dict = {}
 
@@ -292,9 +293,178 @@ def question_coverage(spark, d):
     return V.call_pages(spark, d).join(F.broadcast(q), "question_id").select("call_id", "ord", T.coverage(F.col("question"), F.col("content")).alias("coverage"))
 
 
+@query
+def research_sources(spark, d):
+    """The sources of each question within 200 days; undated results pass."""
+    found = V.asked_results(spark, d).withColumn("query", F.col("question")).drop("question", "question_id")
+    r = tools.web_research(table(spark, d, "questions"), found, V.latest_pages(spark, d), V.as_of(), recency_days=200)
+    return r.sources.select("question_id", F.col("rank").cast("long").alias("rank"), "url")
+
+
+@query
+def research_stats(spark, d):
+    """Methods of the pages that the questions' research opened."""
+    found = V.asked_results(spark, d).withColumn("query", F.col("question")).drop("question", "question_id")
+    pages = V.latest_pages(spark, d).select("url", "content", F.col("extraction_method").alias("method"), "confidence")
+    r = tools.web_research(table(spark, d, "questions"), found, pages, V.as_of(), "quick")
+    return r.extraction_stats.select("call_id", F.explode("method_counts").alias("method", "n"), F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query
+def queries_used(spark, d):
+    """The variants a quick research asks: two of each question."""
+    rows = expand.expand(table(spark, d, "questions").select("id", "text"), "text", tools.DEPTHS["quick"])
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("variant_no", "variant")).alias("f")).select("id", "n", F.col("f.variant").alias("first"))
+
+
+@query
+def independent_counts(spark, d):
+    return independence.count_independent(independence.analyze(V.call_pages(spark, d)))
+
+
+# providers
+
+
+def _provider_results(spark, d):
+    """Results of all answers that came, in provider order."""
+    a = materialize(V.answers(spark, d).where("status = 200"))
+    scans = {"brave": providers.brave, "tavily": providers.tavily, "duckduckgo": providers.duckduckgo}
+    return results.union_providers([(p, scans[p](a.where(F.col("provider") == p))) for p in providers.enabled({"brave": "k", "tavily": "k"})] + [("serpapi", providers.serpapi(spark))])
+
+
+@query
+def provider_results(spark, d):
+    return _provider_results(spark, d).select("provider", "query", F.col("ord").cast("long").alias("ord"), "title", "url", "snippet", "published", "score", "source")
+
+
+@query
+def provider_statuses(spark, d):
+    return providers.statuses(V.answers(spark, d)).select("provider", "query", "status", "message")
+
+
+@query
+def provider_warnings(spark, d):
+    return results.warnings_of(providers.statuses(V.answers(spark, d)))
+
+
+@query
+def provider_merged(spark, d):
+    """De-duplicated results of each query over its providers, the provider order deciding ties."""
+    rows = _provider_results(spark, d).withColumn("ord", F.col("provider_ord") * 1_000_000 + F.col("ord"))
+    return results.deduplicate(rows, ("query",)).select("query", "norm_url", "provider", F.col("score"))
+
+
+@query
+def enabled_providers(spark, d):
+    rows = [("none", None, None), ("first", "k", " "), ("both", "k", "t"), ("second", "", "t")]
+    return spark.createDataFrame([(n, " ".join(providers.enabled({"brave": b, "tavily": t}))) for n, b, t in rows], "keys string, providers string")
+
+
+@query
+def redirects(spark, d):
+    starts = table(spark, d, "results").select("url").where("url IS NOT NULL").distinct()
+    return providers.follow_redirects(starts, V.hops(spark, d)).select("url", "final", "n_hops")
+
+
+@query
+def redirect_targets(spark, d):
+    rows = V.results(spark, d).where("url IS NOT NULL").select("ord", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("//duckduckgo.com/l/?x=1&uddg="), F.url_encode("url"), F.lit("&rut=2"))).otherwise(F.col("url")).alias("href"))
+    return rows.select("ord", providers.redirect_target(F.col("href")).alias("target"))
+
+
+@query
+def fetched_pages(spark, d):
+    """Pages whose content type lets them count."""
+    n = F.length("content") % 4
+    kind = F.when(n == 0, F.lit("text/html; charset=utf-8")).when(n == 1, F.lit("application/pdf")).when(n == 2, F.lit("TEXT/HTML"))
+    return providers.fetchable(V.html_pages(spark, d).withColumn("content_type", kind)).select("url", F.length("html").alias("n_chars"))
+
+
+@query
+def fallback_evidence(spark, d):
+    """What stands in for the pages that refused: a variant of their url that came, else snippets of their host's results."""
+    refused = V.html_pages(spark, d).where(router.blocked(F.col("status"))).select("url", U.host(F.col("url")).alias("h"), "html")
+    variants = refused.select("url", "html", F.posexplode(U.alternative_urls(F.col("url"))).alias("variant_no", "variant"))
+    n = F.length("variant")
+    tried = variants.select("url", "variant_no", F.when(n % 3 == 0, F.lit(200)).when(n % 3 == 1, F.lit(403)).otherwise(F.lit(404)).alias("status"), F.when(n % 2 == 0, F.col("html")).otherwise(F.lit(" ")).alias("html"))
+    found = V.results(spark, d).select("ord", F.col("url").alias("snippet_url"), "snippet", U.host(F.col("url")).alias("h")).where("snippet <> ''")
+    snippets = refused.select("url", "h").join(found, "h").where("url <> snippet_url")
+    return router.fallback(refused, tried, snippets).select("url", "source", F.length("content").alias("n_chars"), "confidence")
+
+
+@query
+def appended_evidence(spark, d):
+    """Pages as the router leaves them with the evidence of those that refused or were read with little confidence."""
+    p = V.html_pages(spark, d)
+    routed = p.select("url", "status", F.when(F.length("content") % 7 == 0, F.lit(0.4)).otherwise(F.lit(0.85)).alias("confidence"), F.col("title").alias("content"))
+    found = V.results(spark, d).select("ord", F.col("url").alias("snippet_url"), "snippet", U.host(F.col("url")).alias("h")).where("snippet <> ''")
+    snippets = p.select("url", U.host(F.col("url")).alias("h")).join(found, "h").where("url <> snippet_url")
+    none = spark.createDataFrame([], "url string, variant_no int, status int, html string")
+    return router.append_evidence(routed, router.fallback(routed, none, snippets)).select("url", "evidence_source", F.length("content").alias("n_chars"))
+
+
+@query
+def merged_payloads(spark, d):
+    p = table(spark, d, "page_cache").distinct().select("url", F.col("created_at").alias("ord"), F.when(F.col("extraction_method").isNotNull(), F.array("extraction_method", F.length("content").cast("string"))).alias("endpoints"))
+    return router.merge_payloads(p, "endpoints").select("url", F.size("endpoints").alias("n"), F.array_join("endpoints", " ").alias("endpoints"))
+
+
+@query
+def structured_cases(spark, d):
+    return cases.structured(spark)
+
+
+@query
+def hydration_cases(spark, d):
+    return cases.hydration(spark)
+
+
+@query
+def serp_cases(spark, d):
+    return cases.serp(spark)
+
+
+@query
+def router_cases(spark, d):
+    return cases.routed(spark)
+
+
 # cache and runtime
 
 
+@query
+def cache_probe(spark, d):
+    asked = table(spark, d, "results").select("url").where("url IS NOT NULL").distinct()
+    return cache.probe(asked, table(spark, d, "page_cache"), V.AS_OF_MS, 90 * 86_400_000).select("url", "hit", "created_at", "extraction_method")
+
+
+@query
+def cache_store(spark, d):
+    """The page log with a new capture of every page, but for those whose search was throttled."""
+    log = table(spark, d, "page_cache").select("url", "created_at")
+    new = V.latest_pages(spark, d).select("url", F.lit(V.AS_OF_MS).cast("long").alias("created_at"))
+    warned = V.results(spark, d).where("ord % 9 = 0").select("url")
+    return cache.store(log, new, warned).groupBy("url").agg(F.count("*").alias("n"), F.max("created_at").alias("newest"))
+
+
+@query
+def pattern_log(spark, d):
+    """The patterns of each visit in the log of their domain, newest first."""
+    seen = cache.api_patterns(V.captures(spark, d)).select("domain", "endpoint_pattern", "method", F.col("first_ord").alias("id"), (F.col("first_ord") * 1000).alias("discovered_at"))
+    return cache.patterns_by_domain(seen).select("domain", "endpoint_pattern", "method", F.col("place").cast("long").alias("place"))
+
+
+@query
+def router_writes(spark, d):
+    """What routing leaves behind: cache rows of pages with content, and what was learned of their hosts."""
+    p = V.html_pages(spark, d)
+    rows = p.select("url", F.lit("readability").alias("method"), F.lit(0.85).alias("confidence"), F.when(F.length("content") % 5 > 0, F.col("content")).alias("content"), "html")
+    log, learned = router.writes(rows, V.AS_OF_MS)
+    return log.join(learned, U.host(F.col("url")) == F.col("domain"), "left").select("url", "extraction_method", "confidence", F.length("content").alias("n_chars"), "framework", F.col("best_method").alias("host_method"))
+
+
+
+
 @query
 def cache_upsert(spark, d):
     return V.latest_pages(spark, d).select("url", "created_at", "extraction_method", "confidence", F.length("content").alias("n_chars"))
@@ -350,7 +520,7 @@ def provider_cooldowns(spark, d):
 def retry_delays(spark, d):
     n = F.col("event_id")
     status = F.when(n % 5 == 0, F.lit(429)).when(n % 5 == 1, F.lit(503)).when(n % 5 == 2, F.lit(500)).otherwise(F.lit(200))
-    header = F.when(n % 4 == 0, F.lit("7")).when(n % 4 == 1, F.lit("Sun, 30 Jun 2024 12:01:30 GMT")).when(n % 4 == 2, F.lit("soon"))
+    header = F.when(n % 4 == 0, F.lit("7")).when(n % 4 == 1, F.lit("Sat, 01 Mar 2025 00:01:30 GMT")).when(n % 4 == 2, F.lit("soon"))
     calls = table(spark, d, "events").select(n.alias("call_id"), (n % 3).cast("int").alias("attempt"), status.alias("status"), header.alias("retry_after"))
     return pacing.retries(calls, V.as_of()).select("call_id", "retry", "delay_ms")
 
@@ -360,18 +530,21 @@ def retry_delays(spark, d):
 
 @query
 def efficiency(spark, d):
-    p = V.call_pages(spark, d).groupBy(F.col("call_id").alias("id")).agg(F.sum(F.length("content")).alias("baseline_chars"))
-    kept = table(spark, d, "passages").groupBy("url", "passage_no").agg(F.min("text").alias("passage"))
-    r = V.call_pages(spark, d).select("call_id", "url").distinct().join(kept.where("passage_no < 2"), "url").groupBy(F.col("call_id").alias("id")).agg(F.sum(F.length("passage")).alias("research_chars"))
-    return evaluate.efficiency(p.join(r, "id", "left").select("id", "baseline_chars", F.coalesce("research_chars", F.lit(0)).alias("research_chars")))
+    """Characters of all opened pages against those of the citations, by call."""
+    opened = materialize(_opened(spark, d))
+    base = opened.groupBy(F.col("call_id").alias("id")).agg(F.sum(F.length("content")).alias("baseline_chars"))
+    kept = research.citations(opened).groupBy(F.col("call_id").alias("id")).agg(F.sum(F.length("quote")).alias("research_chars"))
+    return evaluate.efficiency(base.join(kept, "id", "left").select("id", "baseline_chars", F.coalesce("research_chars", F.lit(0)).alias("research_chars")))
 
 
 @query
 def retention_by_category(spark, d):
+    """Questions whose markers stand in a page that a call opened, and in the citations of a call."""
     q = table(spark, d, "questions")
-    pages = V.call_pages(spark, d).select("question_id", "url", "content").distinct()
-    base = evaluate.marked(q, pages).groupBy("question_id").agg(F.bool_or("has_all").alias("in_baseline"))
-    kept = table(spark, d, "passages").groupBy("url", "passage_no").agg(F.min("text").alias("content"))
-    some = evaluate.marked(q, pages.select("question_id", "url").join(kept, "url")).groupBy("question_id").agg(F.bool_or("has_all").alias("retained"))
+    opened = materialize(_opened(spark, d))
+    base = evaluate.marked(q, opened.select("question_id", "url", "content")).groupBy("question_id").agg(F.bool_or("has_all").alias("in_baseline"))
+    quotes = research.citations(opened).groupBy("call_id").agg(F.array_join(F.collect_list("quote"), "\n").alias("content"))  # at most five
+    of = opened.select("call_id", "question_id").distinct()
+    some = evaluate.marked(q, quotes.join(of, "call_id").select("question_id", F.col("call_id").cast("string").alias("url"), "content")).groupBy("question_id").agg(F.bool_or("has_all").alias("retained"))
     rows = q.select(F.col("id").alias("question_id"), "category").join(base, "question_id", "left").join(some, "question_id", "left")
     return evaluate.retention(rows.select("category", F.coalesce("in_baseline", F.lit(False)).alias("in_baseline"), F.coalesce("retained", F.lit(False)).alias("retained")))

@@ -4,10 +4,10 @@ The composed operators are in composites.py."""
 
 from __future__ import annotations
 
-from sievelight.functions.text import STOP_WORDS
 from sievelight.functions.urls import BLOCKED_V4, TIERS
 from sievelight.operators.expand import SYNONYMS
 from sievelight.operators.screen import PATTERNS
+from sievelight.plans import cases
 from sievelight.plans import composites as C
 from sievelight.plans.views import AS_OF, AS_OF_MS
 
@@ -49,9 +49,7 @@ CLOCK = f"TIMESTAMPTZ '{AS_OF}'"
 PLAIN = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
-def tokens(c: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda x: length(x) > 1 AND x NOT IN ({stop}))"
+tokens = C.tokens
 
 
 def _score(c: str) -> str:
@@ -301,5 +299,100 @@ SQL["router_tiers"] = f"WITH {C.tiers(_html(), 'auto', 'length(content) % 5 = 0'
 SQL["provider_cooldowns"] = C.COOLDOWNS
 
 
+
+# the tool of research over the results of each question
+
+SOURCES = f"{LATEST}, {ASKED}, {_ranked('asked', 'question', 30, 'question_id')}"
+_GROUPED = SQL["independence_clusters"]
+_TOP = f"""WITH RECURSIVE {SOURCES},
+calls AS (SELECT r.question_id AS call_id, (r.rank - 1)::BIGINT AS ord, r.url, r.title, r.question, l.content, l.extraction_method, l.confidence FROM ranked r JOIN latest l ON l.url = r.url WHERE r.rank <= 10)"""
+SQL["research_tool"] = f"""{_TOP},
+{_GROUPED[_GROUPED.index('tok AS') : _GROUPED.index('SELECT r.call_id, r.ord, dense_rank()')].rstrip()},
+grouped AS ({_GROUPED[_GROUPED.index('SELECT r.call_id, r.ord, dense_rank()') :]}),
+dens AS ({DENSITY.replace("WITH " + LATEST + ",", "WITH ")}),
+opened AS (SELECT c.call_id, c.ord, c.url, c.title, c.question, c.content, g.cluster, g.content_duplicate, d.score AS density FROM calls c JOIN grouped g ON g.call_id = c.call_id AND g.ord = c.ord LEFT JOIN dens d ON d.url = c.url),
+{C.cited('opened')} SELECT call_id, citation, url, start_pos, end_pos, relevance FROM cit"""
+SQL["research_sources"] = f"""WITH {SOURCES}, f AS (SELECT * FROM ranked WHERE coalesce(ts >= {CLOCK} - INTERVAL 200 DAY, true))
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank, url FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY f.rank) <= 10"""
+SQL["research_stats"] = f"""{_TOP}, m AS (SELECT call_id, coalesce(extraction_method, 'best_effort') AS method, coalesce(confidence, 0.5) AS c FROM calls)
+SELECT call_id, method, count(*) AS n, round(any_value(a), 6) AS avg_confidence FROM (SELECT *, avg(c) OVER (PARTITION BY call_id) AS a FROM m) GROUP BY call_id, method"""
+SQL["queries_used"] = f"WITH v AS ({SQL['query_expand']}) SELECT id, least(2, count(*)) AS n, min(CASE WHEN variant_no = 0 THEN variant END) AS first FROM v WHERE id IN (SELECT id FROM questions) GROUP BY id"
+SQL["independent_counts"] = f"SELECT call_id, count(DISTINCT cluster) AS independent FROM ({_GROUPED}) GROUP BY call_id"
+SQL["efficiency"] = f"""WITH RECURSIVE {OPENED}, {C.cited('opened')},
+p AS (SELECT call_id AS id, sum(length(content)) AS b FROM opened GROUP BY call_id), k AS (SELECT call_id AS id, sum(length(quote)) AS r FROM cit GROUP BY call_id),
+x AS (SELECT b, coalesce(r, 0) AS r FROM p LEFT JOIN k ON k.id = p.id)
+SELECT count(*) AS questions, sum(b)::BIGINT AS baseline_chars, sum(r)::BIGINT AS research_chars, round(sum(b) / 4)::BIGINT AS baseline_tokens, round(sum(r) / 4)::BIGINT AS research_tokens,
+round(1 - sum(r)::DOUBLE / sum(b), 4) AS reduction, round(median(CASE WHEN b > 0 THEN 1 - r::DOUBLE / b END), 4) AS median_reduction FROM x"""
+_ALL = "len(list_filter(mc, lambda x: regexp_matches(coalesce({}, ''), '(?i)' || x))) = len(mc)"
+SQL["retention_by_category"] = f"""WITH RECURSIVE {OPENED}, {C.cited('opened')},
+of AS (SELECT DISTINCT call_id, question_id FROM ind), m AS (SELECT id, category, must_contain AS mc FROM questions WHERE len(must_contain) > 0),
+q AS (SELECT of.question_id, string_agg(quote, chr(10)) AS quotes FROM cit JOIN of ON of.call_id = cit.call_id GROUP BY cit.call_id, of.question_id),
+base AS (SELECT id FROM m JOIN of ON of.question_id = m.id JOIN opened o ON o.call_id = of.call_id WHERE {_ALL.format('o.content')}),
+kept AS (SELECT id FROM m JOIN q ON q.question_id = m.id WHERE {_ALL.format('quotes')}),
+f AS (SELECT category, id IN (SELECT id FROM base) AS b, id IN (SELECT id FROM kept) AS r FROM questions),
+g AS (SELECT category, count(*) AS asked, count_if(b) AS found, count_if(b AND r) AS kept FROM f GROUP BY ROLLUP (category))
+SELECT category, asked, found::BIGINT AS found, kept::BIGINT AS kept, CASE WHEN found > 0 THEN round(kept::DOUBLE / found, 4) ELSE 0.0 END AS retention, found >= 0.7 * asked AS reliable FROM g"""
+
+# extraction with screening
+
+_HIT = "(" + " OR ".join(f"regexp_matches(w.x, '(?i){p}')" for p in (x.replace("(?<![A-Za-z0-9_])", "\\b").replace("(?![A-Za-z0-9_])", "\\b") for _, x in PATTERNS)) + ")"
+SQL["extract_tool"] = f"""WITH {C.tiers(_html(), 'fast', 'false')},
+r AS (SELECT url, w, coalesce({_HIT}, false) AS suspected, NOT regexp_matches(url, '(?i)^https?://') OR ({part('url', 2)}) IS NULL AS refused FROM routed)
+SELECT url, w.m AS method, CASE WHEN refused OR w.x = '' THEN 0.0 ELSE w.c::DOUBLE END AS confidence, CASE WHEN refused THEN 'refused' WHEN w.x = '' THEN 'no content' END AS error, suspected AS injection_suspected, 8000 AS budget_ms FROM r"""
+
+# providers: the answers are made of the results, so their results are those again
+
+ANSWERS = f"""{RESULTS}, an AS (SELECT *, ord // 10 AS n, ord % 3 AS k, 'q' || (ord // 10) AS query, CASE ord % 3 WHEN 0 THEN 'brave' WHEN 1 THEN 'tavily' ELSE 'duckduckgo' END AS provider FROM res),
+st AS (SELECT DISTINCT provider, query, n, CASE WHEN n % 9 = 0 THEN 429 WHEN n % 11 = 0 THEN NULL ELSE 200 END AS status FROM an),
+sa AS (SELECT provider, query, CASE WHEN status IS NULL THEN 'timeout' WHEN status = 200 THEN 'ok' WHEN provider = 'duckduckgo' THEN 'blocked' ELSE 'error' END AS s, status FROM st)"""
+_FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+PROVIDED = f"""{ANSWERS}, ok AS (SELECT a.*, trim(coalesce(a.title, '')) <> '' AND trim(coalesce(a.url, '')) <> '' AS good FROM an a JOIN st s ON s.provider = a.provider AND s.query = a.query WHERE s.status = 200),
+pr AS (SELECT provider, query, good, row_number() OVER (PARTITION BY provider, query, CASE WHEN k = 2 THEN good END ORDER BY ord) - 1 AS place, CASE WHEN k = 2 THEN {_FLAT.format('title')} ELSE title END AS title, url,
+  CASE k WHEN 0 THEN trim(coalesce(snippet, '') || CASE WHEN source IS NOT NULL THEN ' ' || source ELSE '' END) WHEN 1 THEN coalesce(snippet, '') ELSE {_FLAT.format("coalesce(snippet, '')")} END AS snippet,
+  CASE WHEN k < 2 THEN published END AS published, CASE WHEN k = 1 THEN score END AS score FROM ok),
+pd AS (SELECT provider, query, place AS ord, title, url, snippet, published, score, provider AS source FROM pr WHERE good)"""
+SQL["provider_results"] = f"WITH {PROVIDED} SELECT provider, query, ord, title, url, snippet, published, score, source FROM pd"
+_MESSAGE = "CASE WHEN s <> 'ok' THEN s || coalesce(' ' || status, '') END"
+SQL["provider_statuses"] = f"WITH {ANSWERS} SELECT provider, query, s AS status, {_MESSAGE} AS message FROM sa"
+SQL["provider_warnings"] = f"WITH {ANSWERS} SELECT DISTINCT provider || ': ' || {_MESSAGE} AS warning FROM sa WHERE s <> 'ok'"
+SQL["provider_merged"] = f"""WITH {PROVIDED}, o AS (SELECT *, CASE provider WHEN 'brave' THEN 0 WHEN 'tavily' THEN 1 ELSE 2 END * 1000000 + ord AS pos, {_normalized('url')} AS norm_url FROM pd)
+SELECT query, norm_url, provider, score FROM o WHERE norm_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query, norm_url ORDER BY coalesce(score, 0) DESC, pos) = 1"""
+SQL["enabled_providers"] = "SELECT * FROM (VALUES ('none', 'duckduckgo'), ('first', 'brave duckduckgo'), ('both', 'brave tavily duckduckgo'), ('second', 'tavily duckduckgo')) t(keys, providers)"
+SQL["redirects"] = f"""WITH RECURSIVE {RESULTS}, fo AS (SELECT url, min(ord) AS ord FROM res WHERE url IS NOT NULL GROUP BY url),
+hp AS (SELECT a.url, CASE WHEN a.ord % 7 = 0 THEN 'http://127.0.0.1/' ELSE b.url END AS target FROM fo a JOIN fo b ON b.ord = a.ord // 2 WHERE a.ord % 2 = 1 AND a.url <> b.url),
+wk AS (SELECT url, url AS final, 0 AS n_hops, 0 AS step FROM fo
+  UNION ALL SELECT w.url, CASE WHEN h.url IS NULL THEN w.final WHEN w.n_hops < 5 AND h.target <> 'http://127.0.0.1/' AND regexp_matches(h.target, '(?i)^https?://') AND ({part('h.target', 2)}) IS NOT NULL THEN h.target END, CASE WHEN h.url IS NULL THEN w.n_hops ELSE w.n_hops + 1 END, step + 1 FROM wk w LEFT JOIN hp h ON h.url = w.final WHERE step < 6)
+SELECT url, final, n_hops FROM wk WHERE step = 6"""
+SQL["redirect_targets"] = f"WITH {RESULTS} SELECT ord, url AS target FROM res WHERE url IS NOT NULL"
+SQL["fetched_pages"] = f"WITH {_html()} SELECT url, length(html)::INTEGER AS n_chars FROM html WHERE n % 4 <> 1"
+
+# evidence for pages that refused, payloads, caches
+
+_REFUSED = f"{_html()}, {RESULTS}, rf AS (SELECT url, html, visible, content, n, title, {host('url')} AS h FROM seen)"
+_SNIPPETS = f"""rs AS (SELECT ord, url, snippet, {host('url')} AS h FROM res WHERE snippet <> ''),
+sn AS (SELECT p.url, r.url AS su, min({{'ord': r.ord, 'snippet': r.snippet}}) AS s FROM PAGES p JOIN rs r ON r.h = p.h WHERE p.url <> r.url GROUP BY p.url, r.url),
+sj AS (SELECT url, string_agg(s.snippet, chr(10) || chr(10) ORDER BY s.ord) AS t FROM (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY url ORDER BY s.ord) <= 3) GROUP BY url)"""
+_VARIANTS = SQL["alternative_urls"]
+SQL["fallback_evidence"] = f"""WITH {_REFUSED}, bl AS (SELECT * FROM rf WHERE n % 11 = 0 OR n % 13 = 0), va AS ({_VARIANTS}),
+us AS (SELECT b.url, any_value(b.visible) AS t FROM bl b JOIN va ON va.url = b.url WHERE length(variant) % 3 = 0 AND length(variant) % 2 = 0 AND trim(b.html) <> '' GROUP BY b.url),
+{_SNIPPETS.replace('PAGES', 'bl')}
+SELECT b.url, CASE WHEN us.t IS NOT NULL THEN 'variant' WHEN sj.t IS NOT NULL THEN 'snippets' ELSE 'none' END AS source, length(coalesce(us.t, sj.t, ''))::INTEGER AS n_chars, CASE WHEN us.t IS NOT NULL THEN 0.5 WHEN sj.t IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence
+FROM bl b LEFT JOIN us ON us.url = b.url LEFT JOIN sj ON sj.url = b.url"""
+SQL["appended_evidence"] = f"""WITH {_REFUSED}, {_SNIPPETS.replace('PAGES', 'rf')}
+SELECT r.url, CASE WHEN weak AND t IS NOT NULL THEN 'snippets' END AS evidence_source, CASE WHEN weak AND t IS NOT NULL THEN 93 + length(t) ELSE length(r.title) END::INTEGER AS n_chars
+FROM (SELECT *, n % 11 = 0 OR n % 13 = 0 OR n % 7 = 0 AS weak FROM rf) r LEFT JOIN sj ON sj.url = r.url"""
+SQL["merged_payloads"] = """WITH p AS (SELECT DISTINCT * FROM page_cache WHERE extraction_method IS NOT NULL)
+SELECT url, (2 * count(*))::INTEGER AS n, string_agg(extraction_method || coalesce(' ' || length(content), ''), ' ' ORDER BY created_at, extraction_method, length(content)) AS endpoints FROM p WHERE url IS NOT NULL GROUP BY url"""
+SQL["cache_probe"] = f"""WITH l AS (SELECT * FROM page_cache WHERE created_at <= {AS_OF_MS} AND url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at DESC) = 1)
+SELECT r.url, l.url IS NOT NULL AS hit, l.created_at, l.extraction_method FROM (SELECT DISTINCT url FROM results WHERE url IS NOT NULL) r LEFT JOIN l ON l.url = r.url AND {AS_OF_MS} - l.created_at <= {90 * 86_400_000}"""
+SQL["cache_store"] = f"""WITH {LATEST}, {RESULTS}, a AS (SELECT url, created_at FROM page_cache UNION ALL SELECT url, {AS_OF_MS} FROM latest WHERE url NOT IN (SELECT url FROM res WHERE ord % 9 = 0 AND url IS NOT NULL))
+SELECT url, count(*) AS n, max(created_at) AS newest FROM a GROUP BY url"""
+SQL["pattern_log"] = f"WITH p AS ({SQL['api_patterns']}) SELECT domain, endpoint_pattern, method, row_number() OVER (PARTITION BY domain ORDER BY first_ord DESC) AS place FROM p"
+SQL["router_writes"] = f"""WITH {_html()}, k AS (SELECT url, content, n, html, {host('url')} AS domain FROM html WHERE n % 5 > 0 AND trim(content) <> ''),
+d AS (SELECT domain, CASE WHEN html = '' THEN 'unknown' ELSE CASE n % 4 WHEN 0 THEN 'Next.js:Pages' WHEN 1 THEN 'Next.js:App' WHEN 2 THEN 'Nuxt' ELSE 'unknown' END END AS framework FROM k WHERE domain <> '' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY url DESC) = 1)
+SELECT k.url, 'readability' AS extraction_method, 0.85::DOUBLE AS confidence, length(content)::INTEGER AS n_chars, d.framework, CASE WHEN d.domain IS NOT NULL THEN 'readability' END AS host_method FROM k LEFT JOIN d ON d.domain = k.domain"""
+SQL |= cases.oracle_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

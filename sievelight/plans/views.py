@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from sievelight.operators import cache
 from sievelight.session import table
 
-#: The clock of the queries.
-AS_OF = "2024-06-30T12:00:00Z"
-AS_OF_MS = 1_735_700_000_000
+#: The clock of the queries, as a time and in milliseconds.
+AS_OF = "2025-03-01T00:00:00Z"
+AS_OF_MS = 1_740_787_200_000
 
 
 def as_of():
@@ -72,3 +72,30 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     """Events as calls of providers."""
     e = table(spark, d, "events")
     return e.select(F.col("event_type").alias("provider"), F.col("event_id").alias("ord"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP'1970-01-01 00:00:00', cast(ts AS timestamp))").alias("arrive_ms"), (F.col("event_id") % 7 * 700).alias("duration_ms"), (F.col("event_id") % 50 == 0).alias("blocked"))
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Results as captured answers of three providers: provider, query, n (number of the query), status, body.
+
+    Ten results make the answers of one query; each ninth query was throttled and each eleventh timed out."""
+    r = results(spark, d).withColumn("n", F.floor(F.col("ord") / 10).cast("long")).withColumn("k", F.col("ord") % 3)
+    both = lambda *c: F.to_json(F.struct(*c))
+    brave = both(F.col("title"), F.col("url"), F.col("snippet").alias("description"), F.array("source").alias("extra_snippets"), F.col("published").alias("age"))
+    tavily = both(F.col("title"), F.col("url"), F.col("snippet").alias("content"), F.col("score"), F.col("published").alias("published_date"))
+    html = F.concat(F.lit('<div class="result"><a class="result__a" href="/l/?uddg='), F.url_encode(F.coalesce("url", F.lit(""))), F.lit('">'), escaped(F.coalesce("title", F.lit(""))), F.lit('</a><a class="result__snippet">'), escaped(F.coalesce("snippet", F.lit(""))), F.lit("</a></div>"))
+    item = F.when(F.col("k") == 0, brave).when(F.col("k") == 1, tavily).otherwise(html)
+    parts = r.groupBy("n", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("x")))), lambda v: v.x).alias("l"))  # at most ten
+    listed = F.array_join("l", ",")
+    body = F.when(F.col("k") == 0, F.concat(F.lit('{"web":{"results":['), listed, F.lit("]}}"))).when(F.col("k") == 1, F.concat(F.lit('{"results":['), listed, F.lit("]}"))).otherwise(F.concat(F.lit("<html>"), F.array_join("l", ""), F.lit("</html>")))
+    status = F.when(F.col("n") % 9 == 0, F.lit(429)).when(F.col("n") % 11 == 0, F.lit(None).cast("int")).otherwise(F.lit(200))
+    provider = F.when(F.col("k") == 0, F.lit("brave")).when(F.col("k") == 1, F.lit("tavily")).otherwise(F.lit("duckduckgo"))
+    return parts.select(provider.alias("provider"), F.concat(F.lit("q"), F.col("n")).alias("query"), "n", status.alias("status"), F.when(status == 200, body).alias("body"))
+
+
+def hops(spark: SparkSession, d: str) -> DataFrame:
+    """Redirects among the results: each url of an odd ord leads to the url of half of it, each seventh to a private address."""
+    r = results(spark, d).where("url IS NOT NULL")
+    first = r.groupBy("url").agg(F.min("ord").alias("ord"))
+    goal = first.select(F.col("ord").alias("half"), F.col("url").alias("target"))
+    far = first.where("ord % 2 = 1").withColumn("half", F.floor(F.col("ord") / 2)).join(goal, "half").where("url <> target")
+    return far.select("url", F.when(F.col("ord") % 7 == 0, F.lit("http://127.0.0.1/")).otherwise(F.col("target")).alias("target"))
