@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 CHUNK_BITS = 20
 #: Counts are kept as one of sixteen levels; level i stands for a count from LEVELS[i] up to below LEVELS[i + 1].
-LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 256, 1024, 4096, 16384])
+LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 16, 32, 64, 256, 1024, 8192, 65536, 524288, 4194304])
 
 
 def _packed(cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -27,7 +27,12 @@ def _packed(cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]
         if len(c):
             first = int(c[0] >> CHUNK_BITS)
             step = np.diff(c - (first << CHUNK_BITS), prepend=0).astype(np.uint32)
-            yield first, z.compress(step.tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes())
+            yield first, z.compress(step.tobytes() + np.minimum(n, (1 << 32) - 1).astype(np.uint32).tobytes())
+
+
+def bits_for(n: int, least: int, most: int) -> int:
+    """Bits of a table with a cell or more for each of n items, within bounds."""
+    return min(most, max(least, int(n).bit_length()))
 
 
 class Parts:
@@ -61,9 +66,9 @@ def merged_sketch(parts: DataFrame, bits: int) -> Broadcast:
         d = zstandard.ZstdDecompressor()
         for p in t.column("part").to_pylist():
             raw = d.decompress(p)
-            n = len(raw) // 6
+            n = len(raw) // 8
             cells = np.cumsum(np.frombuffer(raw[: 4 * n], np.uint32).astype(np.int64))
-            total[cells] += np.frombuffer(raw[4 * n :], np.uint16)
+            total[cells] += np.frombuffer(raw[4 * n :], np.uint32)
         level = (np.searchsorted(LEVELS, total, side="right") - 1).astype(np.uint8)
         return pa.table({"chunk": t.column("chunk").slice(0, 1), "levels": pa.array([(level[::2] | (level[1::2] << 4)).tobytes()], pa.binary())})
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import boilerplate, leakage, mojibake, neardup, quality, residue, splitting, stuffing, tokenize
-from sievelight.llm.bounded import member_bitmap
+from sievelight.llm.bounded import bits_for, member_bitmap
 from sievelight.operators.graph import connected_components
 from sievelight.session import materialize, table
 
 #: Similarity from which two pages count as duplicates in p3_found; p3_groups takes 0.8.
 PAGE_SIMILARITY = 0.4
 LEAST_TOKENS = 20
+#: Parts of a hot class in p3_found at most.
+MOST_SALTS = 256
 
 
 def p1_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -46,13 +48,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     copies = every.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
     wanted = pairs.select(F.col("class_a").alias("class_id")).union(pairs.select("class_b")).union(copies).distinct()
     members = materialize(every.join(wanted, "class_id"))
-    among = member_bitmap(members.select(F.xxhash64("url").alias("h")), "h", neardup.BITMAP_BITS)
+    among = member_bitmap(members.select(F.xxhash64("url").alias("h")), "h", bits_for(8 * members.count(), *neardup.BITMAP_BITS))
     flagged = residue.score_pages(table(spark, d, "page_cache"), among=among).where("residue").select("url")
     kept = materialize(members.join(flagged, "url", "left_anti"))
-    a = kept.select(F.col("url").alias("ua"), F.col("class_id").alias("class_a"), F.col("host").alias("ha"))
+    # a class with a thousandth of the urls or more is split: its rows by salt, its partners once for each salt
+    sizes = kept.groupBy("class_id").agg(F.count("*").alias("n"))
+    hot = materialize(sizes.crossJoin(F.broadcast(kept.agg(F.count("*").alias("of")))).where("n >= 0.001 * of AND n > 100").select("class_id", F.ceil(F.col("n") / 100).cast("int").alias("salts")))
+    salts = F.least(F.coalesce("salts", F.lit(1)), F.lit(MOST_SALTS))
+    split = kept.join(F.broadcast(hot), "class_id", "left")
+    a = split.select(F.col("url").alias("ua"), F.col("class_id").alias("class_a"), F.col("host").alias("ha"), F.pmod(F.xxhash64("url"), salts).cast("int").alias("salt"))
     b = kept.select(F.col("url").alias("ub"), F.col("class_id").alias("class_b"), F.col("host").alias("hb"))
-    between = pairs.join(a, "class_a").join(b, "class_b").where("ha != hb")
-    within = a.join(b, (F.col("class_a") == F.col("class_b")) & (F.col("ua") < F.col("ub")) & (F.col("ha") != F.col("hb")))
+    again = split.select(F.col("url").alias("ub"), F.col("class_id").alias("class_a"), F.col("host").alias("hb"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    spread = pairs.join(F.broadcast(hot.withColumnRenamed("class_id", "class_a")), "class_a", "left").select("class_a", "class_b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    between = spread.join(a, ["class_a", "salt"]).join(b, "class_b").where("ha != hb")
+    within = a.join(again, ["class_a", "salt"]).where("ua < ub AND ha != hb")
     return between.select("ua", "ub").union(within.select("ua", "ub")).select(F.least("ua", "ub").alias("url_a"), F.greatest("ua", "ub").alias("url_b"))
 
 

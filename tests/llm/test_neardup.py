@@ -80,11 +80,14 @@ def test_empty(spark):
 
 
 def test_versions(spark):
-    w = " ".join(f"w{i}" for i in range(40))
-    df = spark.createDataFrame([("a", 1, w), ("a", 2, w + " x"), ("b", 1, w), (None, 1, w)], "url string, at long, content string")
-    _, sets = neardup.near_pairs(df.coalesce(1), "content", 0.4, 5, 20, version=("url", "at"))
-    got = {(r.url, r.at): r.class_id is not None for r in sets.collect()}
-    assert got == {("a", 1): False, ("a", 2): True, ("b", 1): True, (None, 1): True}
+    """Only the newest version of a key is compared; a null key replaces nothing."""
+    w = [f"w{i}" for i in range(40)]
+    old, new, other, loose = (" ".join(x) for x in (w, [f"v{i}" for i in range(30)], w[:39] + ["x"], w[1:] + ["y"]))
+    df = spark.createDataFrame([("a", 1, old), ("a", 2, new), ("b", 1, other), (None, 1, loose), ("c", 1, new), ("c", 2, None)], "url string, at long, content string")
+    pairs, sets = neardup.near_pairs(df.repartition(3), "content", 0.4, 5, 20, version=("url", "at"))
+    by = {r.class_id: (r.url, r.at) for r in sets.collect() if r.class_id is not None and (r.url, r.at) != ("c", 1)}
+    assert {frozenset((by[r.class_a], by[r.class_b])) for r in pairs.collect()} == {frozenset((("b", 1), (None, 1)))}
+    assert sets.where("url = 'a' AND at = 1 AND class_id IS NOT NULL").count() == 1
 
 
 def test_ring_keeps_what_is_within_budget():
@@ -95,7 +98,19 @@ def test_ring_keeps_what_is_within_budget():
         k = int(rng.integers(0, n))
         b = np.concatenate((a[k:], rng.integers(0, 1 << 40, int(rng.integers(0, n))).astype(np.uint64)))
         d = len(set(a.tolist()) ^ set(b.tolist()))
-        assert neardup.ring_pass(neardup.signature(a, len(a)), neardup.signature(b, len(b)), d)
+        both = neardup.signatures(np.concatenate((a, b)), np.repeat([0, 2], [len(a), len(b)]), np.array([len(a), 0, len(b)])).to_pylist()
+        assert both[1] is None or len(a) == 0
+        x, y = (neardup.unpacked(v) if v else np.zeros(256, np.uint8) for v in (both[0], both[2]))
+        assert neardup.ring_pass(x, y, d)
+
+
+def test_ring_drops_what_is_far(spark):
+    """Pairs that agree in a rare shingle alone don't get as far as their sets."""
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 1 << 40, 200).astype(np.uint64) for _ in range(2))
+    b[0] = a[0]
+    x, y = (neardup.unpacked(v) for v in neardup.signatures(np.concatenate((a, b)), np.repeat([0, 1], 200), np.array([200, 200])).to_pylist())
+    assert not neardup.ring_pass(x, y, (1 - 0.8) / (1 + 0.8) * 400)
 
 
 def test_sketch_never_counts_too_little(spark):
