@@ -5,7 +5,8 @@ Two shingle sets with a Jaccard similarity of t or more differ in at most (1 - t
 1. Copies collapse: a set's hash is its class, and everything below works on classes, those of the newest versions only.
 2. All shingles are put in one global order, rare before frequent (levels of a counting sketch over the whole
    collection, then the hash). Of the segments of that ring - one for each shingle - a pair within the budget must
-   agree in one of the first |A| - ceil(t|A|) + 1. Only shingles seen in two places are sent.
+   agree in one of the first of both: |A| less what the two sizes make them share. Only shingles seen in two places are
+   sent, and of each set no more than its first |A| - ceil(t|A|) + 1.
 3. Every class has a parity signature (bit i is the parity of the shingles that hash to i; each element by which two
    sets differ flips one bit, so the Hamming distance never exceeds the true difference). The signatures of a pair that
    agrees once are cut into segments on a ring: the pair stays only if from some segment on every chain of consecutive
@@ -75,6 +76,11 @@ def suffix_size(n: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64) - 1
 
 
+def overlap_needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    """How many shingles a pair of these sizes with similarity t or more has in common at least."""
+    return np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
+
+
 def signatures(x: np.ndarray, doc: np.ndarray, size: np.ndarray) -> pa.Array:
     """Parity signature of each text's set, packed: at least 4 n bits, a power of two, at least 256, at most 2**16; null
     for texts without shingles."""
@@ -188,7 +194,7 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
                 rank[i + o] = np.arange(i, j)
             rank -= start[d]
             send = (rank < (size - suffix_size(size, t))[d]) & (level > 1) & first[d]
-            x, level, d = x[send], level[send].astype(np.int64), d[send]
+            x, level, d, rank = x[send], level[send].astype(np.int64), d[send], rank[send]
             blocks = np.clip((LEVELS[level] - noise).astype(np.int64) * 2 // HOT, 1, BLOCKS)
             block = (cls[d] >> U(8)) % blocks.astype(U)
             copies = blocks.copy()
@@ -199,12 +205,12 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
             with np.errstate(over="ignore"):
                 key = np.where(blocks[at] > 1, mix(x[at] + U(0x9E3779B97F4A7C15) * (lo * 65536 + hi + 1).astype(U)), x[at])
             side = np.where(blocks[at] > 1, np.where(lo == hi, 2, mine == lo), 2).astype(np.int8)
-            yield pa.RecordBatch.from_pydict({"s": pa.array(key.view(np.int64)), "c": pa.array(cls[d][at].view(np.int64)), "n": pa.array((size[d][at] * 4 + side).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"s": pa.array(key.view(np.int64)), "c": pa.array(cls[d][at].view(np.int64)), "n": pa.array(size[d][at].astype(np.int32)), "r": pa.array((rank[at] * 4 + side).astype(np.int32))})
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None
         for b in batches:
-            rows = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rows = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if keep is not None:
                 rows = tuple(np.concatenate(p) for p in zip(keep, rows))
             if len(rows[0]) < 1 << 18:  # runs and repeats are better seen in many rows
@@ -216,8 +222,8 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
         if keep is not None:
             yield from _pair_runs(*keep, t)
 
-    posted = only.mapInArrow(postings, "s long, c long, n int")
-    sorted_ = posted.repartition("s").sortWithinPartitions("s", "c", "n")
+    posted = only.mapInArrow(postings, "s long, c long, n int, r int")
+    sorted_ = posted.repartition("s").sortWithinPartitions("s", "c", "r")
     candidates = materialize(sorted_.mapInArrow(pairs, "class_a long, class_b long, n_a int, n_b int").distinct())
     both = lambda df: df.select(F.col("class_a").alias("c")).union(df.select("class_b"))
     asked = member_bitmap(both(candidates), "c", bits)
@@ -270,17 +276,18 @@ def _part_rows(parts: list[tuple[int, bytes]], blank: list[pa.DataType], names:
     return pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in blank], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([c for c, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], names=names)
 
 
-def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of different classes within each run of one key (sorted by key and class) whose sizes allow t.
+def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, r: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of different classes within each run of one key (sorted by key and class) whose sizes and ranks allow t.
 
-    n is four times the size plus the side: 2 pairs with every other, 0 and 1 only with the other side. Repeats of a
-    class in a run count once."""
+    A pair of sizes na and nb with overlap o has all but o - 1 of either set in its first n - o + 1 ranks, so it agrees
+    there once. r is four times the rank plus the side: 2 pairs with every other, 0 and 1 only with the other side.
+    Repeats of a class in a run count once."""
     if not len(s):
         return
     keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
-    s, c, n = s[keep], c[keep], n[keep].astype(np.int64)
-    side, n = n & 3, n >> 2
+    keep[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])
+    s, c, n, r = s[keep], c[keep], n[keep].astype(np.int64), r[keep]
+    side, rank = r & 3, r >> 2
     start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     run = np.diff(np.concatenate((start, [len(s)])))
     left = np.repeat(start + run, run) - np.arange(len(s)) - 1  # members of the run after this one
@@ -293,7 +300,8 @@ def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, t: float) -> Iterato
         i = np.repeat(np.arange(lo, hi), reps)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (small >= t * large - 1e-9) & (c[i] != c[j]) & ((side[i] == 2) | (side[i] != side[j]))
+        spare = overlap_needed(small, large, t) - 1
+        ok = (small >= t * large - 1e-9) & (rank[i] < n[i] - spare) & (rank[j] < n[j] - spare) & (c[i] != c[j]) & ((side[i] == 2) | (side[i] != side[j]))
         i, j = i[ok], j[ok]
         if len(i):
             held.append((c[i], c[j], n[i], n[j]))
