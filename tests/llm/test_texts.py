@@ -82,6 +82,26 @@ def test_tree_without_borders():
     assert np.array_equal(tokenize.concatenate(leaves), tokenize.encode(t))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from(["abcdefgh", "etaoinshrdlu", "0123456789", "!?.,-+=/", "日本語文字列", "éàüßñ", "😀🎉👍", "abc'"]), st.integers(40, 400))
+def test_tree_in_unsplit_text(seed, alphabet, leaf):
+    """Long runs of one class of characters, where the pre-tokenizer never breaks."""
+    rng = np.random.default_rng(seed)
+    t = "so " + "".join(rng.choice(list(alphabet), 3000)) + " end"
+    assert np.array_equal(tokenize.encode_text(t, leaf=leaf), tokenize.encode(t))
+
+
+def test_windows_of_unsplit_text_stay_small(monkeypatch):
+    """A join inside a long run re-encodes its window, not the halves."""
+    rng = np.random.default_rng(3)
+    a, b = ("".join(rng.choice(list("etaoinshrdlu"), 20000)) for _ in range(2))
+    ids_a, ids_b, whole = tokenize.encode(a), tokenize.encode(b), tokenize.encode(a + b)
+    seen = []
+    real = tokenize.encode
+    monkeypatch.setattr(tokenize, "encode", lambda t, path=tokenize.VOCABULARY: seen.append(len(t)) or real(t, path))
+    assert np.array_equal(tokenize.join(a, ids_a, b, ids_b), whole) and sum(seen) < 2000
+
+
 def test_ids(spark):
     from tokenizers import Tokenizer
 
