@@ -140,6 +140,8 @@ def states() -> tuple[list[str], list[dict[str, tuple[str, float]]], dict[str, l
     for w in TWICE:
         add(f"utf-8>{w} twice", letters, lambda c, w=w: _decode(_decode(c.encode("utf-8"), w).encode("utf-8"), w))
         add(f"utf-8>{w} thrice", letters, lambda c, w=w: _decode(_decode(_decode(c.encode("utf-8"), w).encode("utf-8"), w).encode("utf-8"), w))
+    names.append("lost")
+    units.append({LOST: (LOST, -5.0)})
     first: dict[str, list[int]] = {}
     for i, t in enumerate(units):
         for x in t:
@@ -311,8 +313,6 @@ class Reader:
         return v
 
     def _judge(self, w: str, only: str) -> tuple[str, str]:
-        if LOST in w:
-            return "lost", w
         if safe(w):
             return "", w
         names, units, _, _ = states()
@@ -320,7 +320,7 @@ class Reader:
         for s, e, k in _spans(w, only):
             x = units[k].get(w[s:e])
             out.append(w[at:s] + (x[0] if x else w[s:e]))
-            if x and not state:
+            if x and (not state or state == "lost"):
                 state = names[k]
             at = e
         return state, "".join(out) + w[at:]

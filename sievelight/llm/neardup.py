@@ -137,8 +137,8 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (text, "class_id", "n_shingles")]
     only = docs.select(text).where(F.col(text).isNotNull())
-    if sketch_bits is None:  # about a cell for each word, as every word begins a shingle
-        sketch_bits = bits_for((only.agg(F.sum(F.length(text))).first()[0] or 0) // 6, *SKETCH_BITS)
+    if sketch_bits is None:  # about four cells for each word, as every word begins a shingle
+        sketch_bits = bits_for((only.agg(F.sum(F.length(text))).first()[0] or 0) * 4 // 6, *SKETCH_BITS)
 
     kinds = docs.select(*rest).schema.add("class_id", LongType()).add("n_shingles", IntegerType())
     schema = StructType([*kinds.fields, StructField("sig", BinaryType()), StructField("chunk", LongType()), StructField("part", BinaryType())])

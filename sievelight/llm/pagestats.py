@@ -119,7 +119,7 @@ class Pages:
             np.bincount(self.word_line * 10 + self.word_class, minlength=10 * n) + np.bincount(line_of[marks] * 10 + other[marks], minlength=10 * n)
         ).reshape(n, 10)
         self.line_words = np.bincount(self.word_line, minlength=n)
-        self.line_bytes = np.bincount(line_of, minlength=n) - 1
+        self.line_chars = np.bincount(line_of, weights=(buf & 0xC0) != 0x80, minlength=n) - 1
         ends = np.flatnonzero(buf == 10)
         last = np.maximum.reduceat(np.where(buf > 32, np.arange(len(buf)), -1), np.concatenate(([0], ends[:-1] + 1)))
         self.line_stops = np.where(last >= 0, other[last] == STOP, False)
