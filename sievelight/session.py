@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ def session(cpus: int | str = "*", shuffle: int = 8, **conf: str) -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -31,14 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is set only where none is configured (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where none is configured a local session (tests) gets one of its own;
+    on a cluster that is an error, as no folder of one machine will do."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = os.path.join(tempfile.gettempdir(), "sievelight-checkpoints")
+        if not (sc.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="sievelight-checkpoints-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
