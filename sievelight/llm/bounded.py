@@ -20,7 +20,7 @@ LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 16, 32, 64, 256, 1024, 8192, 65536, 5242
 
 def _packed(cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Sorted cells and their counts as one compressed part for each chunk."""
-    z = zstandard.ZstdCompressor(level=1)
+    z = zstandard.ZstdCompressor(level=3)
     chunk = cells >> CHUNK_BITS
     cut = np.flatnonzero(np.diff(chunk)) + 1
     for c, n in zip(np.split(cells, cut), np.split(counts, cut)):

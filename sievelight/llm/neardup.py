@@ -5,11 +5,12 @@ Two shingle sets with a Jaccard similarity of t or more differ in at most (1 - t
 1. Copies collapse: a set's hash is its class, and everything below works on classes, those of the newest versions only.
 2. All shingles are put in one global order, rare before frequent (levels of a counting sketch over the whole
    collection, then the hash). Of the segments of that ring - one for each shingle - a pair within the budget must
-   agree in one of the first of both: |A| less what the two sizes make them share. Only shingles seen in two places are
+   agree in one of the first of both: |A| less what the two sizes make them share, and once more for every MARGIN
+   shingles if these are read a little further. Only shingles seen in two places are
    sent, and of each set no more than its first |A| - ceil(t|A|) + 1.
 3. Every class has a parity signature (bit i is the parity of the shingles that hash to i; each element by which two
    sets differ flips one bit, so the Hamming distance never exceeds the true difference). The signatures of a pair that
-   agrees once are cut into segments on a ring: the pair stays only if from some segment on every chain of consecutive
+   agrees are cut into segments on a ring: the pair stays only if from some segment on every chain of consecutive
    segments keeps its cumulative difference within its proportional share of the budget. No set moves before that.
 4. The full sets of the pairs that are left are compared.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -39,8 +40,10 @@ SEGMENTS = 16
 #: From this count on a shingle's postings are split in blocks of about this many, in at most BLOCKS.
 HOT = 1024
 BLOCKS = 512
-#: Bytes of a hash in the sets that are compared in full: all KEPT bits.
-FULL = 7
+#: A pair must agree in one more place for every MARGIN shingles of its smaller set.
+MARGIN = 64
+#: Bytes of a hash in the sets that are compared in full (an accidental agreement once in three thousand million pairs).
+FULL = 6
 #: Texts taken together.
 DOCS = 4096
 
@@ -81,10 +84,23 @@ def overlap_needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
 
 
+def margin(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How far beyond the first place that a pair must agree in the order is read: so many agreements more it needs."""
+    return np.minimum(na, nb) // MARGIN
+
+
+def agreements(na: Column, nb: Column, t: float) -> Column:
+    """Agreements that a pair has at least in the ranks that are read: one, and the margin as far as both sets were sent
+    that far."""
+    o = F.ceil(t / (1 + t) * (na + nb) - 1e-9)
+    sent = F.greatest(F.ceil(t * na - 1e-9), F.ceil(t * nb - 1e-9)) - 1
+    return F.greatest(F.lit(1), F.least(1 + F.floor(F.least(na, nb) / MARGIN), o - sent))
+
+
 def signatures(x: np.ndarray, doc: np.ndarray, size: np.ndarray) -> pa.Array:
-    """Parity signature of each text's set, packed: at least 4 n bits, a power of two, at least 256, at most 2**16; null
+    """Parity signature of each text's set, packed: at least 3 n bits, a power of two, at least 256, at most 2**16; null
     for texts without shingles."""
-    bits = np.minimum(1 << 16, np.maximum(256, 1 << np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64)))
+    bits = np.minimum(1 << 16, np.maximum(256, 1 << np.ceil(np.log2(np.maximum(3 * size, 1))).astype(np.int64)))
     bits = np.where(size > 0, bits, 0)
     start = np.concatenate(([0], np.cumsum(bits)))
     at = start[doc] + (x & (bits[doc] - 1).astype(U)).astype(np.int64)
@@ -116,8 +132,8 @@ def ring_pass(a: np.ndarray, b: np.ndarray, budget: float, m: int = SEGMENTS) ->
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """The FULL low bytes of each hash, in order."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FULL].tobytes()
+    """The FULL low bytes of each hash, sorted."""
+    return np.sort(x & U((1 << 8 * FULL) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FULL].tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -137,8 +153,8 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (text, "class_id", "n_shingles")]
     only = docs.select(text).where(F.col(text).isNotNull())
-    if sketch_bits is None:  # about four cells for each word, as every word begins a shingle
-        sketch_bits = bits_for((only.agg(F.sum(F.length(text))).first()[0] or 0) * 4 // 6, *SKETCH_BITS)
+    if sketch_bits is None:  # about a cell for each word, as every word begins a shingle
+        sketch_bits = bits_for((only.agg(F.sum(F.length(text))).first()[0] or 0) // 6, *SKETCH_BITS)
 
     kinds = docs.select(*rest).schema.add("class_id", LongType()).add("n_shingles", IntegerType())
     schema = StructType([*kinds.fields, StructField("sig", BinaryType()), StructField("chunk", LongType()), StructField("part", BinaryType())])
@@ -224,7 +240,8 @@ def near_pairs(docs: DataFrame, text: str = "content", t: float = 0.8, k: int =
 
     posted = only.mapInArrow(postings, "s long, c long, n int, r int")
     sorted_ = posted.repartition("s").sortWithinPartitions("s", "c", "r")
-    candidates = materialize(sorted_.mapInArrow(pairs, "class_a long, class_b long, n_a int, n_b int").distinct())
+    counted = sorted_.mapInArrow(pairs, "class_a long, class_b long, n_a int, n_b int, shared int").groupBy("class_a", "class_b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    candidates = materialize(counted.where(F.col("shared") >= agreements(F.col("n_a"), F.col("n_b"), t)).drop("shared"))
     both = lambda df: df.select(F.col("class_a").alias("c")).union(df.select("class_b"))
     asked = member_bitmap(both(candidates), "c", bits)
 
@@ -277,10 +294,11 @@ def _part_rows(parts: list[tuple[int, bytes]], blank: list[pa.DataType], names:
 
 
 def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, r: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of different classes within each run of one key (sorted by key and class) whose sizes and ranks allow t.
+    """The pairs of different classes within each run of one key (sorted by key and class) whose sizes and ranks allow t,
+    counted.
 
     A pair of sizes na and nb with overlap o has all but o - 1 of either set in its first n - o + 1 ranks, so it agrees
-    there once. r is four times the rank plus the side: 2 pairs with every other, 0 and 1 only with the other side.
+    there once; read ``margin`` ranks further it agrees that much more often. r is four times the rank plus the side: 2 pairs with every other, 0 and 1 only with the other side.
     Repeats of a class in a run count once."""
     if not len(s):
         return
@@ -300,8 +318,8 @@ def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, r: np.ndarray, t: fl
         i = np.repeat(np.arange(lo, hi), reps)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        spare = overlap_needed(small, large, t) - 1
-        ok = (small >= t * large - 1e-9) & (rank[i] < n[i] - spare) & (rank[j] < n[j] - spare) & (c[i] != c[j]) & ((side[i] == 2) | (side[i] != side[j]))
+        reach = margin(small, large) - overlap_needed(small, large, t) + 1
+        ok = (small >= t * large - 1e-9) & (rank[i] < n[i] + reach) & (rank[j] < n[j] + reach) & (c[i] != c[j]) & ((side[i] == 2) | (side[i] != side[j]))
         i, j = i[ok], j[ok]
         if len(i):
             held.append((c[i], c[j], n[i], n[j]))
@@ -313,5 +331,5 @@ def _pair_runs(s: np.ndarray, c: np.ndarray, n: np.ndarray, r: np.ndarray, t: fl
                 o = np.lexsort((b, a))
                 a, b, na, nb = a[o], b[o], na[o], nb[o]
                 f = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                yield pa.RecordBatch.from_pydict({"class_a": pa.array(a[f]), "class_b": pa.array(b[f]), "n_a": pa.array(na[f].astype(np.int32)), "n_b": pa.array(nb[f].astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"class_a": pa.array(a[f]), "class_b": pa.array(b[f]), "n_a": pa.array(na[f].astype(np.int32)), "n_b": pa.array(nb[f].astype(np.int32)), "shared": pa.array(np.diff(np.concatenate((f, [len(a)]))).astype(np.int32))})
             held, size = [], 0
