@@ -67,6 +67,17 @@ def route(pages: DataFrame, mode: str = "auto") -> DataFrame:
     return cached.unionByName(rest.select("url", won.alias("w")).select("url", "w.*"))
 
 
+def host_snippets(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """fallback's snippets for pages(url, h): the first results of their host h in found(ord, snippet_url, snippet, h),
+    distinct by url, without the page's own.
+
+    One more result of each host than fallback takes is joined: a page's own url drops at most one of them. Pages by all
+    results of a host would be quadratic."""
+    once = found.groupBy("h", "snippet_url").agg(F.min(F.struct("ord", "snippet")).alias("s"))
+    first = once.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("s.ord"))).where(F.col("n") <= SNIPPETS + 1)
+    return pages.select("url", "h").join(first, "h").where("url <> snippet_url").select("url", "s.ord", "snippet_url", "s.snippet")
+
+
 def fallback(blocked_urls: DataFrame, variants: DataFrame, snippets: DataFrame) -> DataFrame:
     """Evidence for pages that refused: (url, source, content, confidence) of the first usable url variant, else of at
     most three snippets of other results, distinct by their url.

@@ -388,7 +388,7 @@ def fallback_evidence(spark, d):
     n = F.length("variant")
     tried = variants.select("url", "variant_no", F.when(n % 3 == 0, F.lit(200)).when(n % 3 == 1, F.lit(403)).otherwise(F.lit(404)).alias("status"), F.when(n % 2 == 0, F.col("html")).otherwise(F.lit(" ")).alias("html"))
     found = V.results(spark, d).select("ord", F.col("url").alias("snippet_url"), "snippet", U.host(F.col("url")).alias("h")).where("snippet <> ''")
-    snippets = refused.select("url", "h").join(found, "h").where("url <> snippet_url")
+    snippets = router.host_snippets(refused, found)
     return router.fallback(refused, tried, snippets).select("url", "source", F.length("content").alias("n_chars"), "confidence")
 
 
