@@ -21,6 +21,11 @@ def blocked(status: Column) -> Column:
     return status.isNull() | status.isin(401, 403, 429)
 
 
+def weak(status: Column, confidence: Column) -> Column:
+    """Whether a page takes other evidence: it refused, or was read with a confidence below one half."""
+    return blocked(status) | (F.coalesce(confidence, F.lit(0.0)) < CONFIDENCE["best_effort"])
+
+
 def structured_content(objects: Column, payload_text: Column) -> Column:
     """articleBody, description, headline and name of the JSON-LD objects, then the payload's text, by blank lines."""
     field = lambda o, f: F.get_json_object(o, f"$.{f}")
@@ -100,8 +105,7 @@ def append_evidence(routed: DataFrame, evidence: DataFrame) -> DataFrame:
     """routed(url, status, confidence, content, ...) with the evidence (fallback's rows) of pages that refused or have a
     confidence below one half: its text under a note takes the content's place. Adds evidence_source, null without."""
     e = evidence.where("source <> 'none'").select("url", F.col("source").alias("_source"), F.col("content").alias("_text"))
-    weak = blocked(F.col("status")) | (F.coalesce("confidence", F.lit(0.0)) < CONFIDENCE["best_effort"])
-    rows = routed.join(e, "url", "left").withColumn("evidence_source", F.when(weak, F.col("_source")))
+    rows = routed.join(e, "url", "left").withColumn("evidence_source", F.when(weak(F.col("status"), F.col("confidence")), F.col("_source")))
     text = F.when(F.col("evidence_source").isNotNull() & (F.col("_text") != ""), F.concat(F.lit(NOTE + "\n\n"), F.col("_text"))).otherwise(F.col("content"))
     return rows.withColumn("content", text).drop("_source", "_text")
 

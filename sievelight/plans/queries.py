@@ -398,9 +398,10 @@ def appended_evidence(spark, d):
     p = V.html_pages(spark, d)
     routed = p.select("url", "status", F.when(F.length("content") % 7 == 0, F.lit(0.4)).otherwise(F.lit(0.85)).alias("confidence"), F.col("title").alias("content"))
     found = V.results(spark, d).select("ord", F.col("url").alias("snippet_url"), "snippet", U.host(F.col("url")).alias("h")).where("snippet <> ''")
-    snippets = p.select("url", U.host(F.col("url")).alias("h")).join(found, "h").where("url <> snippet_url")
+    weak = routed.where(router.weak(F.col("status"), F.col("confidence"))).select("url", U.host(F.col("url")).alias("h"))
     none = spark.createDataFrame([], "url string, variant_no int, status int, html string")
-    return router.append_evidence(routed, router.fallback(routed, none, snippets)).select("url", "evidence_source", F.length("content").alias("n_chars"))
+    evidence = router.fallback(weak, none, router.host_snippets(weak, found))
+    return router.append_evidence(routed, evidence).select("url", "evidence_source", F.length("content").alias("n_chars"))
 
 
 @query

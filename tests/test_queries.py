@@ -21,6 +21,22 @@ def test_query(spark, data, duck, name):
     assert got == canonical(duck.execute(SQL[name]).fetchdf()) and (got[1] or name in MAY_BE_EMPTY)
 
 
+@pytest.mark.parametrize("name", ["fallback_evidence", "appended_evidence"])
+def test_evidence_is_linear(spark, data, monkeypatch, name):
+    """Pages take at most four results of their host on the way, not all of them."""
+    from sievelight.operators import router
+
+    counts, fallback = [], router.fallback
+
+    def counted(pages, variants, snippets):
+        counts.append((pages.count(), snippets.count()))
+        return fallback(pages, variants, snippets)
+
+    monkeypatch.setattr(router, "fallback", counted)
+    Q.queries()[name](spark, data.replace("sf0.001", "sf0.01"))
+    assert 0 < counts[0][1] <= 4 * counts[0][0]
+
+
 def test_entry(spark, data):
     assert Q.entry(spark, data).count() > 0
 
