@@ -2,21 +2,21 @@
 
 Each line of a page's own text has a distribution over ten classes (function words, other words by form, numbers,
 sentence marks, commas, symbols, separators, links). Its Jensen-Shannon divergence from the prose profile of each
-language (fitted on a bounded sample of sentence lines) and from fixed profiles of other structures assigns the line
+language (fitted on the sentence lines of all pages) and from fixed profiles of other structures assigns the line
 to the nearest; the page gets the profile that holds most of its words, and counts as prose while more than INSIDE of
 them stand in lines nearest to prose."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm import residue
-from sievelight.llm.pagestats import FUNCTION, LINK, ODD, SEPARATOR, SYMBOL, Pages, function_hashes, slices
+from sievelight.llm import wholefit
+from sievelight.llm.pagestats import FUNCTION, LINK, ODD, SEPARATOR, SYMBOL, Pages, function_hashes
 
 # Profiles of text that is not prose, over the classes in the order of pagestats.CLASSES.
 PROFILES = {
@@ -50,33 +50,56 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (kl(p) + kl(q)) / 2
 
 
-def fit_prose(contents: list[str], urls: list[str], functions: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
-    """Prose profile of each language: mean class distribution of sentence lines of 8 words and more of the sample."""
-    everything = np.unique(np.concatenate(list(functions.values()))) if functions else np.zeros(0, np.uint64)
-    names, rows = [], []
-    p = Pages(contents, urls, everything)
-    total = p.table.sum(1)
+@dataclass
+class Lines:
+    """What the measures need of a batch of n pages: words and their sizes by page, and the pages' own lines."""
+
+    n: int
+    words: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    stops: np.ndarray
+    chars: np.ndarray
+    line_words: np.ndarray
+    table: np.ndarray
+
+    def by_doc(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=values, minlength=self.n)
+
+
+def lines_of(p: Pages) -> dict:
+    """The fields of Lines."""
+    own, at = p.word_own, np.flatnonzero(p.line_own & ~p.line_blank)
+    words = np.bincount(p.word_doc[own], minlength=p.n)
+    size = p.by_doc(p.word_size[own], p.word_doc[own])
+    return {"n": p.n, "words": words, "size": size, "doc": p.line_doc[at], "stops": p.line_stops[at], "chars": p.line_chars[at], "line_words": p.line_words[at], "table": p.table[at].astype(np.int32)}
+
+
+def sentence_counts(p: Pages, functions: list[np.ndarray]) -> np.ndarray:
+    """By language, the classes of sentence lines of 8 words and more, and (last) the number of these lines."""
     sentence = p.line_own & p.line_stops & (p.line_words >= 8) & (p.table[:, FUNCTION] >= 0.15 * p.line_words) & (p.table[:, ODD] + p.table[:, LINK] <= 0.1 * p.line_words)
-    share = []
-    for lang, hashes in sorted(functions.items()):
-        hit = np.isin(p.word_hash, hashes)
-        share.append(np.bincount(p.word_line, weights=hit, minlength=len(total)))
+    share = [np.bincount(p.word_line, weights=np.isin(p.word_hash, h), minlength=len(p.line_doc)) for h in functions]
     best = np.argmax(np.array(share), 0) if share else np.zeros(0, int)
-    for i, lang in enumerate(sorted(functions)):
+    out = np.zeros((len(functions), 11), np.int64)
+    for i in range(len(functions)):
         at = sentence & (best == i)
-        if at.sum() >= 5:
-            d = p.table[at].sum(0).astype(float)
-            names.append(f"prose_{lang}")
-            rows.append(d / d.sum())
-    if not rows:  # nothing to learn from: the usual shares of running text
-        names, rows = ["prose"], [np.array([0.28, 0.40, 0.12, 0.01, 0.02, 0.09, 0.05, 0.01, 0.01, 0.01])]
-    return names, np.array(rows)
+        out[i, :10], out[i, 10] = p.table[at].sum(0), at.sum()
+    return out
+
 
+def prose_profiles(counted: np.ndarray, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """Prose profile of each language with five sentence lines or more: their mean class distribution."""
+    at = np.flatnonzero(counted[:, 10] >= 5)
+    if not len(at):  # nothing to learn from: the usual shares of running text
+        return ["prose"], np.array([[0.28, 0.40, 0.12, 0.01, 0.02, 0.09, 0.05, 0.01, 0.01, 0.01]])
+    d = counted[at, :10].astype(float)
+    return [f"prose_{languages[i]}" for i in at], d / d.sum(1, keepdims=True)
 
-def judge_lines(p: Pages, names: list[str], profiles: np.ndarray, prose: int) -> np.ndarray:
+
+def judge_lines(p: Lines, profiles: np.ndarray, prose: int) -> np.ndarray:
     """Number of the nearest profile of each line (the first ``prose`` are prose); -1 for lines without words."""
     total = p.table.sum(1)
-    at = np.flatnonzero((total > 0) & p.line_own)
+    at = np.flatnonzero(total > 0)
     near = np.full(len(total), -1)
     if not len(at):
         return near
@@ -110,49 +133,44 @@ def page_statistics(pages: DataFrame, common: DataFrame) -> DataFrame:
     at least half of the page's own words stand outside running sentences (never for residue or pages without words).
 
     NULL and blank contents give zero words, null shares and structure false; rows with a null url are dropped."""
-    spark = pages.sparkSession
-    drawn = residue.sample(pages)
     functions = languages(common)
-    prose_names, prose = fit_prose([c for _, c in drawn.general], [u for u, _ in drawn.general], functions)
-    everything = np.unique(np.concatenate(list(functions.values()))) if functions else np.zeros(0, np.uint64)
+    langs = sorted(functions)
+    hashes = [functions[k] for k in langs]
+    everything = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+    def look(p: Pages) -> tuple[dict, np.ndarray, np.ndarray]:
+        n = sentence_counts(p, hashes).ravel()
+        return lines_of(p), np.flatnonzero(n), n[n > 0]
+
+    rows = wholefit.read(pages, everything, look)
+    prose_names, prose = prose_profiles(wholefit.counts(rows, 11 * len(langs)).reshape(-1, 11), langs)
     names = prose_names + list(PROFILES)
     table = np.vstack([prose, np.array(list(PROFILES.values()))])
-    shared = spark.sparkContext.broadcast((residue.fit(drawn.both()), names, table / table.sum(1, keepdims=True), len(prose), everything))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, names, profiles, k, everything = shared.value
-        for b in slices(batches):
-            urls, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
-            p = Pages(contents, urls, everything)
-            near = judge_lines(p, names, profiles, k)
-            flag = [residue.flagged(t, model) for t in p.own_text]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *_signals(p, near, names, profiles, k, np.array(flag, bool))], names=["url", "created_at", *[x.split()[0] for x in SIGNALS.split(", ")]])
-
-    rows = pages.select("url", "content", "created_at").where(F.col("url").isNotNull()).mapInArrow(run, "url string, created_at long, " + SIGNALS)
-    return residue.latest(rows)
-
-
-def _signals(p: Pages, near: np.ndarray, names: list[str], profiles: np.ndarray, k: int, flag: np.ndarray) -> list[pa.Array]:
-    own = p.word_own
-    doc = p.word_doc[own]
-    words = np.bincount(doc, minlength=p.n)
-    size = p.by_doc(p.word_size[own], doc)
-    line = p.line_own & ~p.line_blank
-    of = p.line_doc[line]
-    lines = np.bincount(of, minlength=p.n)
-    ends = p.by_doc(p.line_stops[line], of)
+    profiles, k = table / table.sum(1, keepdims=True), len(prose)
+
+    def judge(kept: dict, flag: np.ndarray) -> list[pa.Array]:
+        p = Lines(**{x: v for x, v in kept.items() if x != "url"})
+        return _signals(p, judge_lines(p, profiles, k), names, profiles, k, flag)
+
+    return wholefit.judged(*wholefit.fit(rows), judge, SIGNALS)
+
+
+def _signals(p: Lines, near: np.ndarray, names: list[str], profiles: np.ndarray, k: int, flag: np.ndarray) -> list[pa.Array]:
+    words, size = p.words, p.size
+    lines = np.bincount(p.doc, minlength=p.n)
+    ends = p.by_doc(p.stops)
     table = np.zeros((p.n, 10))
-    np.add.at(table, of, p.table[line])
+    np.add.at(table, p.doc, p.table)
     total = table.sum(1)
-    letters = p.by_doc(p.line_chars[line], of)
+    letters = p.by_doc(p.chars)
     # a line of symbols has hardly any words; every eight of its other marks count as one
-    weight = np.maximum(p.line_words, p.table[:, SYMBOL] // 8)[line]
-    prose = (near[line] >= 0) & (near[line] < k)
-    inside = p.by_doc(weight * prose, of)
-    allw = p.by_doc(weight, of)
+    weight = np.maximum(p.line_words, p.table[:, SYMBOL] // 8)
+    prose = (near >= 0) & (near < k)
+    inside = p.by_doc(weight * prose)
+    allw = p.by_doc(weight)
     by = np.zeros((p.n, len(names)))
-    ok = near[line] >= 0
-    np.add.at(by, (of[ok], near[line][ok]), weight[ok])
+    ok = near >= 0
+    np.add.at(by, (p.doc[ok], near[ok]), weight[ok])
     best = by.argmax(1)
     dist = np.divide(table, total[:, None], out=np.zeros_like(table), where=total[:, None] > 0)
     js = divergence(dist, profiles[:k]).min(1) if p.n else np.zeros(0)

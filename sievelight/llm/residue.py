@@ -115,6 +115,12 @@ def marked(t: str, total: int) -> bool:
     return total <= FEW and bool(MARKS.search(t))
 
 
+def trusted(lines: list[list[str]], marks: list[bool], total: int) -> bool:
+    """Whether a record of these lines (features) is surely positive: enough of them have marks and none is running text."""
+    long = any(len(f) >= 25 and not m for f, m in zip(lines, marks))
+    return not long and sum(marks) / len(lines) >= (0.34 if total <= 3 * FEW else 0.75)
+
+
 @dataclass
 class LineModel:
     """Log odds of a line: prior plus the weights of its distinct features; broadcast, at most VOCABULARY entries."""
@@ -143,14 +149,11 @@ def fit(pages: Iterable[tuple[str, str]]) -> LineModel:
             continue
         total = sum(words(t) for t, _ in own)
         marks = [f[:1] != ["~"] and bool(MARKS.search(t)) for t, f in own]
-        long = any(len(f) >= 25 and not m for (_, f), m in zip(own, marks))
-        share = sum(marks) / len(own)
-        trusted = not long and share >= (0.34 if total <= 3 * FEW else 0.75)
         at = []
         for (_, f), m in zip(own, marks):
             k = ("~",) if "~" in f else tuple(sorted(keys(f, total <= FEW, m and total <= FEW)))
             at.append(index.setdefault(k, len(index)))
-        records.append((trusted, at, [words(t) for t, _ in own]))
+        records.append((trusted([f for _, f in own], marks, total), at, [words(t) for t, _ in own]))
     lines = list(index)
     in_lines = Counter(x for k in lines for x in k)
     in_records: Counter = Counter()
@@ -167,13 +170,13 @@ def fit(pages: Iterable[tuple[str, str]]) -> LineModel:
     rec = np.repeat(np.arange(len(records)), [len(at) for _, at, _ in records])
     line = np.array([i for _, at, _ in records for i in at], np.int64)
     size = np.array([n for _, _, w in records for n in w], float)
-    trusted = np.array([t for t, _, _ in records])
+    sure = np.array([t for t, _, _ in records])
     messy = np.array([k == ("~",) for k in lines])
-    s = np.where(trusted[rec], 1.0, -1.0)
+    s = np.where(sure[rec], 1.0, -1.0)
     for turn in range(ROUNDS):
         # a record is positive if trusted or if most of its words stand in positive lines
         pos = np.bincount(rec, weights=size * (s > 0), minlength=len(records)) >= 0.6 * np.bincount(rec, weights=size, minlength=len(records))
-        q = np.where(trusted[rec], 1.0, np.where(pos[rec] & (turn > 0), 1 / (1 + np.exp(-np.clip(s, -30, 30))), 0.0))
+        q = np.where(sure[rec], 1.0, np.where(pos[rec] & (turn > 0), 1 / (1 + np.exp(-np.clip(s, -30, 30))), 0.0))
         # a line on a thousand records is one piece of evidence, more often seen
         wp = np.log1p(np.bincount(line, weights=q, minlength=len(lines)))
         wn = np.log1p(np.bincount(line, weights=1 - q, minlength=len(lines)))

@@ -72,6 +72,19 @@ def test_statistics(spark, pages, common):
     assert quality.page_statistics(pages.limit(0), common.limit(0)).count() == 0
 
 
+def test_statistics_of_all_pages(spark, pages, common):
+    """Profiles and the line model come from every page, long ones too, and the model is that of all pages at once."""
+    long = page(*[PROSE] * 400)
+    rows = [(f"https://long.example/{i}", long, 1) for i in range(5)] + [("https://short.example/", "1999", 1)]
+    got = quality.page_statistics(spark.createDataFrame(rows, "url string, content string, created_at long").repartition(3), common).collect()
+    assert {r.profile for r in got if "long" in r.url} == {"prose_en"} and not any(r.structure for r in got if "long" in r.url)
+    every = sorted({u: c for u, c, at in sorted(corpus(), key=lambda r: r[2]) if u and c}.items())
+    model = residue.fit(every)
+    want = {u: residue.judge(residue.own_lines(c, u), model)[0] for u, c in every}
+    for parts in (1, 5):
+        assert {r.url: r.residue for r in quality.page_statistics(pages.repartition(parts), common).collect() if r.url in want} == want
+
+
 def test_divergence():
     import numpy as np
 
