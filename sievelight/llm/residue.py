@@ -36,6 +36,8 @@ VOCABULARY = 60_000
 ROUNDS = 6
 #: Own words up to which a record counts as short.
 FEW = 40
+#: Features from which a line without a mark is running text.
+RUNNING = 25
 #: Lines or records in which a feature must occur.
 LEAST = 3
 
@@ -117,7 +119,7 @@ def marked(t: str, total: int) -> bool:
 
 def trusted(lines: list[list[str]], marks: list[bool], total: int) -> bool:
     """Whether a record of these lines (features) is surely positive: enough of them have marks and none is running text."""
-    long = any(len(f) >= 25 and not m for f, m in zip(lines, marks))
+    long = any(len(f) >= RUNNING and not m for f, m in zip(lines, marks))
     return not long and sum(marks) / len(lines) >= (0.34 if total <= 3 * FEW else 0.75)
 
 

@@ -1,27 +1,25 @@
 """Keyword-stuffed pages, bare link lists and tag pages.
 
-A trigram model of word classes is trained on the sentence lines of a bounded sample. The classes are each function
+A trigram model of word classes is trained on the sentence lines of all pages. The classes are each function
 word, other words by form and by how often the page has used them before, words of a phrase that the page keeps
 repeating, tags, and links with and without words that describe them. Prose knows hardly any of the last ones, so a
 page made of them has an abnormally high perplexity, and a page of one endless pattern an abnormally low one; normal is
-what the sample's prose pages of the same language reach. Tables, plain lists and data dumps are abnormal too: a page
+what the prose pages of the same language reach. Tables, plain lists and data dumps are abnormal too: a page
 is spam where repeated phrases, tags or bare links bear most of its surprise. A phrase is taken for one only outside
 lines of code or figures. Where there are fewer than LEAST_PAGES prose pages to learn from, every page counts as
 abnormal."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from sievelight.llm import wholefit
 from sievelight.llm.vector import U, mix
-from sievelight.llm import residue
-from sievelight.llm.pagestats import CAPITAL, FUNCTION, LINK, LOWER, NUMBER, ODD, SYMBOL, Pages, slices
+from sievelight.llm.pagestats import CAPITAL, FUNCTION, LINK, LOWER, NUMBER, ODD, SYMBOL, Pages
 from sievelight.llm.quality import languages
 
 #: Earlier uses of a word on the page from which it has the next class.
@@ -35,6 +33,8 @@ MOST = 160
 #: Quantiles of the prose pages of a language, and how far beyond them (bits a word) perplexity is still normal.
 NORMAL = (0.01, 0.99)
 BESIDE = 0.15
+#: Steps of a bit in which the perplexity of prose pages is counted for the quantiles.
+STEP = 4096
 LEAST_PAGES = 20
 LEAST_WORDS = 12
 #: Part of the surprise, and of the words, that repeated phrases, tags and bare links must bear together.
@@ -118,7 +118,6 @@ class ClassModel:
 
     base: int
     table: np.ndarray
-    languages: list[np.ndarray] = field(default_factory=list)
     low: np.ndarray = field(default_factory=lambda: np.full(1, np.inf))
     high: np.ndarray = field(default_factory=lambda: np.full(1, np.inf))
 
@@ -127,12 +126,13 @@ class ClassModel:
         one, two = _previous(s, self.base + START)
         return -self.table[two, one, s.sym]
 
-    def language(self, p: Pages) -> np.ndarray:
-        """Number of the language whose function words a page uses most; the last number for pages with hardly any."""
-        of = p.word_own & (p.word_class == FUNCTION)
-        hits = np.array([np.bincount(p.word_doc[of], weights=np.isin(p.word_hash[of], x), minlength=p.n) for x in self.languages] or [np.zeros(p.n)])
-        few = hits.max(0) < np.maximum(3, 0.05 * np.bincount(p.word_doc[p.word_own], minlength=p.n))
-        return np.where(few, len(self.languages), hits.argmax(0)) if self.languages else np.zeros(p.n, np.int64)
+
+def language(p: Pages, languages: list[np.ndarray]) -> np.ndarray:
+    """Number of the language whose function words a page uses most; the last number for pages with hardly any."""
+    of = p.word_own & (p.word_class == FUNCTION)
+    hits = np.array([np.bincount(p.word_doc[of], weights=np.isin(p.word_hash[of], x), minlength=p.n) for x in languages] or [np.zeros(p.n)])
+    few = hits.max(0) < np.maximum(3, 0.05 * np.bincount(p.word_doc[p.word_own], minlength=p.n))
+    return np.where(few, len(languages), hits.argmax(0)) if languages else np.zeros(p.n, np.int64)
 
 
 def _previous(s: Symbols, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,18 +145,11 @@ def _previous(s: Symbols, start: int) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def fit(contents: list[str], urls: list[str], functions: dict[str, np.ndarray]) -> ClassModel:
-    """The model of a sample of pages; functions: hashes of the function words of each language."""
-    everything = np.unique(np.concatenate(list(functions.values()))) if functions else np.zeros(0, np.uint64)
-    base = min(len(everything), MOST + 1)
+def look(p: Pages, languages: list[np.ndarray], functions: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """What measures need of a batch, and the trigrams of its sentence lines, as numbers with their counts."""
+    base = min(functions, MOST + 1)
     size = base + KINDS
-    model = ClassModel(base, np.full((size, size, size), -np.log2(size), np.float32), [functions[k] for k in sorted(functions)])
-    k = len(model.languages) + 1
-    model.low, model.high = np.full(k, np.inf), np.full(k, np.inf)
-    if not contents:
-        return model
-    p = Pages(contents, urls, everything)
-    s = symbols(p, len(everything))
+    s = symbols(p, functions)
     share = p.table[:, FUNCTION] / np.maximum(p.line_words, 1)
     prose = p.line_own & p.line_stops & (p.line_words >= 8) & (share >= 0.15) & (p.table[:, ODD] <= 0.1 * p.line_words) & (p.table[:, LINK] == 0)
     # pages that repeat their words are no examples of prose
@@ -164,46 +157,73 @@ def fit(contents: list[str], urls: list[str], functions: dict[str, np.ndarray])
     used = np.bincount(s.doc, weights=s.sym >= base + USED + 2, minlength=p.n) > 0.12 * many
     one, two = _previous(s, base + START)
     ok = prose[s.line] & ~used[s.doc]
-    if not ok.any():
-        return model
-    tri = np.zeros((size, size, size), np.float32)
-    np.add.at(tri, (two[ok], one[ok], s.sym[ok]), 1)
-    bi, uni = tri.sum(0), tri.sum((0, 1))
-    p1 = (uni + 0.5) / (uni.sum() + 0.5 * size)
-    p2 = (bi + 5 * p1[None, :]) / (bi.sum(1, keepdims=True) + 5)
-    p3 = (tri + 5 * p2[None, :, :]) / (tri.sum(2, keepdims=True) + 5)
-    model.table = np.log2(p3).astype(np.float32)
-    bits = np.bincount(s.doc, weights=model.surprise(s), minlength=p.n) / np.maximum(many, 1)
+    index, count = np.unique((two[ok] * size + one[ok]) * size + s.sym[ok], return_counts=True)
     words = np.bincount(p.line_doc, weights=p.line_words * p.line_own, minlength=p.n)
     clean = (np.bincount(p.line_doc, weights=p.line_words * prose, minlength=p.n) > 0.8 * words) & ~used & (many >= LEAST_WORDS)
-    if clean.sum() < LEAST_PAGES:
-        return model
-    lang = model.language(p)
-    for i in range(k - 1):
-        of = clean & (lang == i)
-        if of.sum() >= LEAST_PAGES:
-            model.low[i], model.high[i] = np.quantile(bits[of], NORMAL) + np.array([-BESIDE, BESIDE])
-    low, high = np.quantile(bits[clean], NORMAL) + np.array([-BESIDE, BESIDE])
+    lw = np.bincount(p.word_line, weights=p.word_class == LINK, minlength=len(p.line_doc))
+    links = np.bincount(p.line_doc[p.line_own], weights=np.maximum(p.line_link, np.ceil(lw / 4))[p.line_own], minlength=p.n)
+    first = np.ones(len(s.line), bool)
+    first[1:] = s.line[1:] != s.line[:-1]
+    kept = {"sym": s.sym.astype(np.uint8), "many": many.astype(np.int32), "first": first, "lang": language(p, languages).astype(np.int16), "clean": clean, "n_links": links}
+    return kept, index, count
+
+
+def kept_symbols(kept: dict) -> Symbols:
+    return Symbols(kept["sym"].astype(np.int64), np.repeat(np.arange(len(kept["many"])), kept["many"]), np.cumsum(kept["first"]))
+
+
+def train(tri: np.ndarray, base: int, languages: int) -> ClassModel:
+    """The model of these trigram counts; its normal range is for normal to set."""
+    size = base + KINDS
+    model = ClassModel(base, np.full((size, size, size), -np.log2(size), np.float32), np.full(languages + 1, np.inf), np.full(languages + 1, np.inf))
+    if tri.any():
+        bi, uni = tri.sum(0), tri.sum((0, 1))
+        p1 = (uni + 0.5) / (uni.sum() + 0.5 * size)
+        p2 = (bi + 5 * p1[None, :]) / (bi.sum(1, keepdims=True) + 5)
+        p3 = (tri + 5 * p2[None, :, :]) / (tri.sum(2, keepdims=True) + 5)
+        model.table = np.log2(p3).astype(np.float32)
+    return model
+
+
+def quantile(at: np.ndarray, n: np.ndarray, q: float) -> float:
+    """np.quantile of values at (sorted) that occur n times."""
+    last, place = np.cumsum(n) - 1, q * (n.sum() - 1)
+    low, high = at[np.searchsorted(last, [np.floor(place), np.ceil(place)])]
+    return low + (high - low) * (place - np.floor(place))
+
+
+def normal(model: ClassModel, counted: list[tuple[int, int, int]]) -> None:
+    """Sets the normal range from how many prose pages of each language have a perplexity of so many steps."""
+    lang, step, n = (np.array(x, np.int64) for x in zip(*counted)) if counted else [np.zeros(0, np.int64)] * 3
+    if n.sum() < LEAST_PAGES:
+        return
+
+    def bounds(of: np.ndarray) -> np.ndarray:
+        at, back = np.unique(step[of], return_inverse=True)
+        times = np.bincount(back, weights=n[of]).astype(np.int64)
+        return np.array([quantile(at / STEP, times, q) for q in NORMAL]) + np.array([-BESIDE, BESIDE])
+
+    for i in range(len(model.high) - 1):
+        if n[lang == i].sum() >= LEAST_PAGES:
+            model.low[i], model.high[i] = bounds(lang == i)
+    low, high = bounds(lang >= 0)
     known = np.isfinite(model.high[:-1])
     model.low[-1], model.high[-1] = min([low, *model.low[:-1][known]]), max([high, *model.high[:-1][known]])
     model.low[:-1][~known], model.high[:-1][~known] = model.low[-1], model.high[-1]
-    return model
 
 
-def measures(p: Pages, model: ClassModel, functions: int) -> dict[str, np.ndarray]:
+def measures(kept: dict, model: ClassModel) -> dict[str, np.ndarray]:
     """Per page: words, bits a word, the parts of surprise borne by and of words held by each of the three kinds."""
-    s = symbols(p, functions)
+    s, pages = kept_symbols(kept), len(kept["many"])
     bits = model.surprise(s)
-    words = np.bincount(s.doc, minlength=p.n)
-    total = np.bincount(s.doc, weights=bits, minlength=p.n)
-    div = lambda a, b: np.divide(a, b, out=np.zeros(p.n), where=b > 0)
-    out = {"words": words, "bits": div(total, words), "lang": model.language(p)}
+    words = kept["many"].astype(np.int64)
+    total = np.bincount(s.doc, weights=bits, minlength=pages)
+    div = lambda a, b: np.divide(a, b, out=np.zeros(pages), where=b > 0)
+    out = {"words": words, "bits": div(total, words), "lang": kept["lang"], "n_links": kept["n_links"]}
     for name, c in (("phrases", REPEATED), ("tags", TAG), ("links", BARE)):
         of = s.sym == model.base + c
-        out[name] = div(np.bincount(s.doc[of], weights=bits[of], minlength=p.n), total)
-        out[name + "_held"] = div(np.bincount(s.doc[of], minlength=p.n), words)
-    lw = np.bincount(p.word_line, weights=p.word_class == LINK, minlength=len(p.line_doc))
-    out["n_links"] = np.bincount(p.line_doc[p.line_own], weights=np.maximum(p.line_link, np.ceil(lw / 4))[p.line_own], minlength=p.n)
+        out[name] = div(np.bincount(s.doc[of], weights=bits[of], minlength=pages), total)
+        out[name + "_held"] = div(np.bincount(s.doc[of], minlength=pages), words)
     return out
 
 
@@ -225,19 +245,26 @@ def stuffed_pages(pages: DataFrame, common: DataFrame) -> DataFrame:
     NULL, blank and very short contents (fewer than LEAST_WORDS own words) are never spam; null urls are dropped."""
     functions = languages(common)
     everything = np.unique(np.concatenate(list(functions.values()))) if functions else np.zeros(0, np.uint64)
-    drawn = residue.sample(pages)
-    shared = pages.sparkSession.sparkContext.broadcast((fit([c for _, c in drawn.general], [u for u, _ in drawn.general], functions), everything, residue.fit(drawn.both())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, everything, lines = shared.value
-        for b in slices(batches):
-            p = Pages(b.column(1).to_pylist(), b.column(0).to_pylist(), everything)
-            m = measures(p, model, len(everything))
-            abnormal, spam, kind = decide(m, model)
-            for i in np.flatnonzero(spam):  # stand-in text repeats itself too
-                spam[i] = not residue.flagged(p.own_text[i], lines)
-            cols = [m["words"].astype(np.int64), 2 ** m["bits"], m["phrases"], m["tags"], m["links"], abnormal, spam]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c) for c in cols], pa.array([k or None for k in kind], pa.string())], names=["url", "created_at", *[x.split()[0] for x in MEASURES.split(", ")]])
-
-    rows = pages.select("url", "content", "created_at").where(F.col("url").isNotNull()).mapInArrow(run, "url string, created_at long, " + MEASURES)
-    return residue.latest(rows)
+    langs = [functions[k] for k in sorted(functions)]
+    known = len(everything)
+    base = min(known, MOST + 1)
+    rows = wholefit.read(pages, everything, lambda p: look(p, langs, known))
+    model = train(wholefit.counts(rows, (base + KINDS) ** 3).reshape((base + KINDS,) * 3), base, len(langs))
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+
+    def steps(kept: dict, _: np.ndarray) -> list[pa.Array]:
+        m = measures(kept, shared.value)
+        return [pa.array(np.where(kept["clean"], m["lang"], -1).astype(np.int64)), pa.array(np.rint(m["bits"] * STEP).astype(np.int64))]
+
+    fitted = wholefit.fit(rows)
+    prose = wholefit.judged(*fitted, steps, "lang long, step long").where("lang >= 0").groupBy("lang", "step").count()
+    normal(model, [tuple(r) for r in prose.collect()])  # at most languages * STEP * 20 rows
+    ranged = pages.sparkSession.sparkContext.broadcast(model)
+
+    def judge(kept: dict, flag: np.ndarray) -> list[pa.Array]:
+        m = measures(kept, ranged.value)
+        abnormal, spam, kind = decide(m, ranged.value)
+        spam &= ~flag  # stand-in text repeats itself too
+        return [*[pa.array(c) for c in (m["words"], 2 ** m["bits"], m["phrases"], m["tags"], m["links"], abnormal, spam)], pa.array([k or None for k in kind], pa.string())]
+
+    return wholefit.judged(*fitted, judge, MEASURES)

@@ -13,14 +13,17 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm import residue
+from sievelight.llm.bounded import bits_for, in_bitmap, member_bitmap
 from sievelight.llm.pagestats import Pages, slices
 from sievelight.session import materialize
 
@@ -31,6 +34,8 @@ HELD = 400_000
 WIDTH = 1 << 19
 #: Parts that reach the driver of a sum of vectors.
 TASKS = 16
+#: Bits of the bitmap of lines that occur more than once, at least and at most.
+BITMAP_BITS = (16, 28)
 #: Units of fixed-point logarithms and of fixed-point probabilities.
 LOG, PART = 1 << 24, 1 << 30
 
@@ -57,9 +62,13 @@ def _records(own_text: list[list[str]]) -> tuple[dict, list[list[set[str]]]]:
         f = [residue.features(t) for t in lines]
         w = [residue.words(t) for t in lines]
         total = sum(w)
-        m = [x[:1] != ["~"] and bool(residue.MARKS.search(t)) for t, x in zip(lines, f)]
-        trusted.append(bool(lines) and residue.trusted(f, m, total))
         short = total <= residue.FEW
+        marked = lambda i: f[i][:1] != ["~"] and bool(residue.MARKS.search(lines[i]))
+        # one unmarked line of running text settles a record that isn't short: its other marks count for nothing
+        running = [i for i in range(len(f)) if len(f[i]) >= residue.RUNNING]
+        settled = not lines or not short and bool(running) and not marked(min(running, key=lambda i: len(lines[i])))
+        m = [not settled and marked(i) for i in range(len(f))]
+        trusted.append(not settled and residue.trusted(f, m, total))
         keys.append([{"~"} if "~" in x else residue.keys(x, short, y and short) for x, y in zip(f, m)])
         texts += [" ".join(x) for x in f]
         sizes += w
@@ -68,11 +77,11 @@ def _records(own_text: list[list[str]]) -> tuple[dict, list[list[set[str]]]]:
     return {"text": "\n".join(texts), "size": np.array(sizes, np.int64), "mark": np.array(marks, bool), "many": np.array(many, np.int64), "trusted": np.array(trusted, bool)}, keys
 
 
-def _shards(held: dict[str, list[int]]) -> list[tuple]:
-    """(0, shard, part, None) rows of feature counts."""
+def _shards(held: Counter, more: Counter) -> list[tuple]:
+    """(0, shard, part, None) rows of feature counts: records, and lines, of which more have those beyond one a record."""
     by: dict[int, list] = {}
-    for x, (r, n) in held.items():
-        by.setdefault(zlib.crc32(x.encode("utf-8", "replace")) % SHARDS, []).append((x, r, n))
+    for x, r in held.items():
+        by.setdefault(zlib.crc32(x.encode("utf-8", "replace")) % SHARDS, []).append((x, r, r + more[x]))
     return [(0, k, _pack(v), None) for k, v in by.items()]
 
 
@@ -81,8 +90,7 @@ def read(pages: DataFrame, functions: np.ndarray, look: Callable[[Pages], tuple[
     counts that are added up over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
-        total: Counter = Counter()
+        held, more, total = Counter(), Counter(), Counter()
         for b in slices(batches):
             urls, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
             p = Pages(contents, urls, functions)
@@ -90,16 +98,16 @@ def read(pages: DataFrame, functions: np.ndarray, look: Callable[[Pages], tuple[
             total.update(dict(zip(index.tolist(), count.tolist())))
             records, keys = _records(p.own_text)
             for lines in keys:
-                distinct = {frozenset(k) for k in lines}
-                for x, n in Counter(x for k in distinct for x in k).items():
-                    c = held.setdefault(x, [0, 0])
-                    c[0] += 1
-                    c[1] += n
+                c = Counter(chain.from_iterable({frozenset(k) for k in lines}))
+                held.update(c.keys())
+                for x, n in c.items():
+                    if n > 1:
+                        more[x] += n - 1
             yield _rows([(2, 0, _pack(records), _pack({"url": urls, **own}))])
             if len(held) > HELD:
-                yield _rows(_shards(held))
-                held = {}
-        out = _shards(held)
+                yield _rows(_shards(held, more))
+                held, more = Counter(), Counter()
+        out = _shards(held, more)
         index = np.array(sorted(total), np.int64)
         count = np.array([total[i] for i in index.tolist()], np.int64)
         for k in np.unique(index // WIDTH).tolist():
@@ -225,6 +233,31 @@ def _summed(lines: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray],
     return total / LOG
 
 
+def _occurring(blobs: DataFrame, often: Broadcast, size: int, distinct: Callable[[DataFrame], DataFrame]) -> np.ndarray:
+    """Sums of log1p of the occurrences of every distinct line. A line that isn't in the bitmap of repeated ones occurs
+    once and is counted where it stands; the others, and the few that are in it by chance, are sent."""
+
+    def once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size + 1, np.int64)
+        for b in it:
+            for blob in b.column(0).to_pylist():
+                x = _unpack(blob)
+                of = ~in_bitmap(often.value, x["line"].view(np.uint64))
+                out[:size] += np.bincount(x["col"][np.repeat(of, x["n"])], minlength=size)
+                out[size] += of.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(out)], pa.binary())], names=["blob"])
+
+    def sent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for blob in b.column(0).to_pylist():
+                x = _unpack(blob)
+                yield _lines(x, np.flatnonzero(in_bitmap(often.value, x["line"].view(np.uint64))), np.zeros(len(x["n"]), np.int64))
+
+    total = sum(_unpack(r.blob) for r in blobs.coalesce(TASKS).mapInArrow(once, "blob binary").collect()) * np.rint(np.log(2) * LOG) / LOG
+    many = _summed(distinct(blobs.mapInArrow(sent, LINE)), size, lambda q, n: [np.log1p(n)])
+    return total + (many[0] if np.ndim(many) else 0)
+
+
 def fit(rows: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
     """(numbered batches, weight of each number, prior): residue.fit's model, fitted on all pages of read's rows.
 
@@ -238,15 +271,15 @@ def fit(rows: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
         return batches, np.zeros(size), residue.LineModel().prior
     blobs = batches.select("blob")
 
-    def every(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for blob in b.column(0).to_pylist():
-                x = _unpack(blob)
-                yield _lines(x, np.arange(len(x["n"])), np.zeros(len(x["n"]), np.int64))
+                line, n = np.unique(_unpack(blob)["line"], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(n.astype(np.int64))], names=["line", "n"])
 
     distinct = lambda df: df.groupBy("line").agg(F.first("cols").alias("cols"), F.sum("q").alias("q"), F.sum("n").alias("n"))
-    base = _summed(distinct(blobs.mapInArrow(every, LINE)), size, lambda q, n: [np.log1p(n)])[0]
-    often = materialize(blobs.mapInArrow(every, LINE).groupBy("line").agg(F.sum("n").alias("times")).where("times > 1"))
+    often = materialize(blobs.mapInArrow(occurrences, "line long, n long").groupBy("line").agg(F.sum("n").alias("times")).where("times > 1"))
+    base = _occurring(blobs, member_bitmap(often, "line", bits_for(8 * often.count(), *BITMAP_BITS)), size, distinct)
     weight, prior = None, 0.0
     for _ in range(residue.ROUNDS):
         shared = spark.sparkContext.broadcast((weight, prior))

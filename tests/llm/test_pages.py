@@ -99,6 +99,22 @@ def test_stuffing(spark, pages, common):
     assert stuffing.stuffed_pages(pages.limit(0), common).count() == 0
 
 
+def test_stuffing_of_all_pages(spark, common):
+    """The model and its normal range come from every page, long ones too."""
+    import numpy as np
+
+    part = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda n: "".join(part[n // 60**k % 60] for k in range(3))
+    lines = [f"The {word(9 * n)} of the {word(9 * n + 1)} was in {word(9 * n + 2)} and most of their {word(9 * n + 3)} had {word(9 * n + 4)} before this {word(9 * n + 5)}." for n in range(900)]
+    long = [page(*lines[i:], *lines[:i]) for i in range(25)]
+    assert min(map(len, long)) > residue.SAMPLE_CHARS
+    rows = [(f"https://long.example/{i}", x, 1) for i, x in enumerate(long)] + [("https://x.example/stuffed", STUFFED, 1)]
+    got = {r.url: r for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "url string, content string, created_at long").repartition(3), common).collect()}
+    assert [u for u, r in got.items() if r.spam] == ["https://x.example/stuffed"] and [u for u, r in got.items() if r.abnormal] == ["https://x.example/stuffed"]
+    x = np.array([3, 1, 1, 7, 9, 4])
+    assert all(abs(stuffing.quantile(*np.unique(x, return_counts=True), q) - np.quantile(x, q)) < 1e-12 for q in (0.01, 0.3, 0.99))
+
+
 def test_stuffing_kinds(spark, common):
     """Each form of stuffing, beside honest pages that repeat themselves."""
     towns = ["Arle", "Bonsk", "Corva", "Dunst", "Elmar", "Fenby", "Gorst", "Hilda", "Ivorn", "Jaska", "Kolm", "Lunde"]
