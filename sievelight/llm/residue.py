@@ -53,6 +53,12 @@ MARKS = re.compile(
     |\b(?:dummy\ (?:text|paragraph)|sample\ text|your\ headline\ here|text\ text\ text|placeholder)\b""",
     re.I | re.X,
 )
+#: A line has one of MARKS only if it has an opening character of slots, or a run without white space that is a status code or has one of these: of each mark the rarest word.
+CUES = tuple(
+    """undefined nan null todo xxx lorem ipsum asdf qwer blah test abc found denied requests server gateway timed unavailable construction coming parked maintenance
+    script verify browser gefunden verweigert anfragen wartungsarbeiten aufbau skripte vorhanden platzhalter encontrad denegado interno demasiadas construcción mantenimiento aquí ejemplo
+    introuvable refusé interne requêtes dummy text headline placeholder""".split()
+) + ("ſ", "ı", "i\u0307")  # the last match s and i where case is ignored
 _SLOT = re.compile(r"\{\{\s*[\w.]+\s*\}\}|\$\{[\w.]+\}|\{[\w.]+\}|\[\[[\w. ]+\]\]|%[A-Za-z_.]{3,}%|<%=?\s*[\w.]+\s*%>|__[A-Za-z_.]{3,}__|<[A-Z_.]{3,}>|\[[A-Z][A-Z _]{2,}\]|\[object Object\]")
 _TOKEN = re.compile(r"\x00|/[\w./-]+|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8}\b|\d[\d.,]*|[^\W\d_]+")
 _MESS = re.compile(r"[a-z][A-Z]|\d[A-Za-z]|[A-Za-z]\d")
@@ -60,9 +66,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _STATUS = re.compile(r"[45]\d\d")
 
 
-@lru_cache(maxsize=1 << 17)
-def _token(x: str) -> tuple[tuple[str, ...], int, int]:
+def token(x: str) -> tuple[tuple[str, ...], int, int]:
     """(features, changes between letters and digits or of case, letters) of a run without white space."""
+    word = x.strip(".,;:!?\"'()")
+    if word.isascii() and word.isalpha() and (word.islower() or word.istitle()):  # what the patterns below find in it
+        return (word.lower(),), 0, len(word)
     out = []
     for p in _TOKEN.findall(x):
         c = p[0]
@@ -77,17 +85,41 @@ def _token(x: str) -> tuple[tuple[str, ...], int, int]:
     return tuple(out), len(_MESS.findall(x)), sum(map(len, _LETTERS.findall(x)))
 
 
+_token = lru_cache(maxsize=1 << 17)(token)
+
+
+def slotted(t: str) -> tuple[str, int]:
+    """The line with each template slot as a run of its own, and their number."""
+    return _SLOT.subn(" \x00 ", t) if opening(t) else (t, 0)
+
+
+def cues(runs: list[str]) -> list[bool]:
+    """Which of the runs may belong to one of MARKS."""
+    low = [x.lower() for x in runs]
+    text, ends = "\n".join(low), np.cumsum([len(x) + 1 for x in low])
+    out = np.array([len(x) == 3 and x[0] in "45" and x.isdecimal() for x in runs], bool)
+    for c in CUES:
+        at, p = [], -1
+        while (p := text.find(c, p + 1)) >= 0:
+            at.append(p)
+        out[np.searchsorted(ends, at, side="right")] = True
+    return out.tolist()
+
+
+def opening(t: str) -> bool:
+    """Whether the line has a character with which a slot may begin."""
+    return "{" in t or "[" in t or "<" in t or "%" in t or "_" in t
+
+
 def features(t: str) -> list[str]:
     """Words in lower case; numbers, paths, identifiers and template slots each under one name.
 
     A line that is mostly symbols or random characters has the one feature '~'. Lines of any length are read alike."""
-    slots = 0
-    if any(c in t for c in "{[<%_"):
-        t, slots = _SLOT.subn(" \x00 ", t)
+    t, slots = slotted(t)
     runs = t.split()
     if not runs:
         return []
-    seen = list(map(_token if max(map(len, runs)) <= 64 else _token.__wrapped__, runs))  # words repeat, long runs don't
+    seen = list(map(_token if max(map(len, runs)) <= 64 else token, runs))  # words repeat, long runs don't
     out = list(chain.from_iterable([x[0] for x in seen]))
     mess, letters = sum([x[1] for x in seen]), sum([x[2] for x in seen])
     if not slots:

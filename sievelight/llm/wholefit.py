@@ -9,11 +9,10 @@ number of tasks give the same model."""
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,12 @@ from pyspark.sql import functions as F
 from sievelight.llm import residue
 from sievelight.llm.bounded import bits_for, in_bitmap, member_bitmap
 from sievelight.llm.pagestats import Pages, slices
+from sievelight.llm.vector import U, mix
 from sievelight.session import materialize
 
 SHARDS = 256
-#: Distinct features that a task holds before it gives their counts out.
+#: Counts of features that a task holds before it adds them up and, if half as many differ, gives them out. As many
+#: runs without white space, and 32 characters for each, are held at most, but for those of one batch.
 HELD = 400_000
 #: Entries of the operator's counts in one shard.
 WIDTH = 1 << 19
@@ -55,34 +56,183 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], names=["kind", "shard", "blob", "own"])
 
 
-def _records(own_text: list[list[str]]) -> tuple[dict, list[list[set[str]]]]:
-    """The lines of each page as features with their sizes and marks, and their keys."""
-    texts, sizes, marks, many, trusted, keys = [], [], [], [], [], []
-    for lines in own_text:
-        f = [residue.features(t) for t in lines]
-        w = [residue.words(t) for t in lines]
-        total = sum(w)
-        short = total <= residue.FEW
-        marked = lambda i: f[i][:1] != ["~"] and bool(residue.MARKS.search(lines[i]))
-        # one unmarked line of running text settles a record that isn't short: its other marks count for nothing
-        running = [i for i in range(len(f)) if len(f[i]) >= residue.RUNNING]
-        settled = not lines or not short and bool(running) and not marked(min(running, key=lambda i: len(lines[i])))
-        m = [not settled and marked(i) for i in range(len(f))]
-        trusted.append(not settled and residue.trusted(f, m, total))
-        keys.append([{"~"} if "~" in x else residue.keys(x, short, y and short) for x, y in zip(f, m)])
-        texts += [" ".join(x) for x in f]
-        sizes += w
-        marks += m
-        many.append(len(lines))
-    return {"text": "\n".join(texts), "size": np.array(sizes, np.int64), "mark": np.array(marks, bool), "many": np.array(many, np.int64), "trusted": np.array(trusted, bool)}, keys
-
-
-def _shards(held: Counter, more: Counter) -> list[tuple]:
-    """(0, shard, part, None) rows of feature counts: records, and lines, of which more have those beyond one a record."""
-    by: dict[int, list] = {}
-    for x, r in held.items():
-        by.setdefault(zlib.crc32(x.encode("utf-8", "replace")) % SHARDS, []).append((x, r, r + more[x]))
-    return [(0, k, _pack(v), None) for k, v in by.items()]
+def _hash(x: str) -> int:
+    return int.from_bytes(blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of neighbours from those of the two."""
+    with np.errstate(over="ignore"):
+        return mix(a * U(0x9E3779B97F4A7C15) ^ mix(b))
+
+
+class _Numbers(dict):
+    """Numbers from 0 in the order in which keys are first asked for."""
+
+    def __missing__(self, x) -> int:
+        n = self[x] = len(self)
+        return n
+
+
+class Words:
+    """The runs without white space that a task has met, each read once, and their features, under numbers."""
+
+    def __init__(self):
+        self.runs, self.features = _Numbers(), _Numbers()
+        self.seen = self.chars = 0
+        self.names: list[str] = []
+        self.hashes = np.zeros(0, U)
+        #: Of each run its place in flat, its features, changes, letters, whether it is a path or an identifier, whether it is a cue of a mark.
+        self.table, self.flat = np.zeros((0, 6), np.int64), np.zeros(0, np.int64)
+
+    def read(self, runs: Iterable[str]) -> np.ndarray:
+        """The numbers of the runs."""
+        out = np.fromiter(map(self.runs.__getitem__, runs), np.int64)
+        rows, flat, place = [], [], len(self.flat)
+        new = list(islice(self.runs, self.seen, None))
+        for x, cue in zip(new, residue.cues(new)):
+            f, mess, letters = residue.token(x)
+            self.chars += len(x)
+            rows.append((place + len(flat), len(f), mess, letters, "/P" in f or "#H" in f, cue))
+            flat += [self.features[y] for y in f]
+        self.seen = len(self.runs)
+        self.table = np.vstack([self.table, np.array(rows, np.int64).reshape(-1, 6)])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int64)])
+        return out
+
+    def named(self) -> None:
+        """Brings names and hashes up to the features met."""
+        more = list(islice(self.features, len(self.names), None))
+        self.names += more
+        self.hashes = np.concatenate([self.hashes, np.array([_hash(x) for x in more], U)])
+
+
+def _records(own_text: list[list[str]], w: Words) -> dict:
+    """The lines of each page: their sizes and marks, their features (tok) and the other keys of each (more) as numbers of
+    the batch, and the hash of each number."""
+    lines, many = list(chain.from_iterable(own_text)), np.array([len(x) for x in own_text], np.int64)
+    n, rec = len(lines), np.repeat(np.arange(len(many)), many)
+    cut = [residue.slotted(t) for t in lines]
+    runs = [t.split() for t, _ in cut]
+    each = np.array([len(x) for x in runs], np.int64)
+    at = w.read(chain.from_iterable(runs))
+    line = np.repeat(np.arange(n), each)
+    start, count = w.table[at, 0], w.table[at, 1]
+    by_line = lambda k: np.bincount(line, weights=w.table[at, k], minlength=n)
+    long = by_line(1).astype(np.int64)
+    chars, slots = np.array([len(t) for t in lines], np.int64), np.array([k for _, k in cut], np.int64) > 0
+    messy = ~slots & ((long == 0) | ((by_line(2) > 0.3 * long + 1) & (by_line(4) == 0)) | (by_line(3) < 0.35 * chars - 4))
+    size = np.array([residue.words(t) for t in lines], np.int64)
+    by_rec = lambda x: np.bincount(rec, weights=x, minlength=len(many))
+    total = by_rec(size)
+    short = total <= residue.FEW
+    may = (by_line(5) > 0) & ~messy
+    may[[i for i, t in enumerate(lines) if not messy[i] and residue.opening(t)]] = True
+    marked = lambda i: bool(may[i] and residue.MARKS.search(lines[i]))
+    # one unmarked line of running text settles a record that isn't short: its other marks count for nothing
+    running = np.flatnonzero((np.maximum(long, 1) >= residue.RUNNING) & ~short[rec])
+    running = running[np.lexsort((running, chars[running], rec[running]))]
+    settled = many == 0
+    for i in running[np.diff(rec[running], prepend=-1) != 0].tolist():
+        settled[rec[i]] = not marked(i)
+    mark = np.zeros(n, bool)
+    for i in np.flatnonzero(may & ~settled[rec]).tolist():
+        mark[i] = marked(i)
+    trusted = ~settled & (by_rec((long >= residue.RUNNING) & ~mark) == 0) & (by_rec(mark) >= np.where(total <= 3 * residue.FEW, 0.34, 0.75) * many)
+    # features of the lines that have them, and what else is weighed
+    of = np.repeat(~messy[line], count)
+    tok = w.flat[(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))[of]]
+    w.named()
+    first = np.cumsum(np.where(messy, 0, long)) - long
+    few = np.flatnonzero(~messy & (long <= 3))
+    alone = [w.features["=" + " ".join([w.names[k] for k in tok[a : a + k]])] for a, k in zip(first[few].tolist(), long[few].tolist())]
+    less = short[rec] & ~messy
+    more = [(few, np.array(alone, np.int64)), *[(i, np.full(len(i), w.features[x])) for x, i in (("=short", np.flatnonzero(less)), ("=mark", np.flatnonzero(less & mark)), ("~", np.flatnonzero(messy)))]]
+    w.named()
+    more_line, extra = np.concatenate([x for x, _ in more]), np.concatenate([x for _, x in more])
+    used, back = np.unique(np.concatenate([tok, extra]), return_inverse=True)
+    kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+    return {
+        "tok": back[: len(tok)].astype(kind), "each": np.where(messy, 0, long).astype(np.int32), "more": back[len(tok) :].astype(kind), "more_line": more_line.astype(np.int32), "hash": w.hashes[used], "used": used,
+        "messy": messy, "size": size.astype(np.int32), "many": many.astype(np.int32), "trusted": trusted,
+    }
+
+
+def _keys(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each line: lines in order, keys as code a * (numbers + 1) + b + 1 of neighbours a and b or, with
+    b = -1, of a alone, and their hashes."""
+    n, v = len(r["each"]), len(r["hash"]) + 1
+    tok, line = r["tok"].astype(np.int64), np.repeat(np.arange(n), r["each"])
+    near = np.flatnonzero(line[1:] == line[:-1])
+    code = np.concatenate([tok * v, r["more"].astype(np.int64) * v, tok[near] * v + tok[near + 1] + 1])
+    line = np.concatenate([line, r["more_line"], line[near]])
+    line, code = _distinct(line, code, v * v)[:2]
+    a, b = np.divmod(code, v)
+    h = r["hash"][a]
+    two = b > 0
+    h[two] = _paired(h[two], r["hash"][b[two] - 1])
+    return line, code, h
+
+
+def _distinct(group: np.ndarray, code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (group, code), in order, and how often each occurs; codes are lower than most."""
+    if not len(code):
+        return group, code, np.zeros(0, np.int64)
+    back = None
+    if (int(group.max()) + 1) * most >= 1 << 63:
+        back, code = np.unique(code, return_inverse=True)
+        most = len(back)
+    packed = group * most + code
+    packed.sort()
+    at = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+    group, code = np.divmod(packed[at], most)
+    return group, code if back is None else back[code], np.diff(at, append=len(packed))
+
+
+def _set_hashes(line: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of the keys of each line; every line has one at least."""
+    if not len(line):
+        return np.zeros(0, U)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(mix(h ^ U(0x2545F4914F6CDD1D)), np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))))
+
+
+def _counted(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of a batch as codes of the task's numbers, a << 31 | b + 1, in how many records each occurs and in how many
+    lines that differ within their record."""
+    line, code, h = _keys(r)
+    rec, same = np.repeat(np.arange(len(r["many"])), r["many"]), _set_hashes(line, h)
+    o = np.lexsort((same, rec))
+    fresh = np.zeros(len(o), bool)
+    fresh[o] = np.concatenate(([True], (rec[o][1:] != rec[o][:-1]) | (same[o][1:] != same[o][:-1])))[: len(o)]
+    at, v = fresh[line], len(r["hash"]) + 1
+    _, code, lines = _distinct(rec[line[at]], code[at], v * v)
+    code, records, lines = _added(code, np.ones(len(code), np.int64), lines)
+    a, b = np.divmod(code, v)
+    return r["used"][a] << 31 | np.where(b > 0, r["used"][b - 1] + 1, 0), records, lines
+
+
+def _added(code: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    if not len(code):
+        return [code, *counts]
+    o = np.argsort(code)
+    code = code[o]
+    at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return [code[at], *[np.add.reduceat(c[o], at) for c in counts]]
+
+
+def _shards(code: np.ndarray, records: np.ndarray, lines: np.ndarray, w: Words) -> list[tuple]:
+    """(0, shard, part, None) rows of counts of keys, by name: records, and lines that differ within their record."""
+    a, b = code >> 31, (code & 0x7FFFFFFF) - 1
+    two = b >= 0
+    h = w.hashes[a]
+    h[two] = _paired(h[two], w.hashes[b[two]])
+    shard = (h >> U(56)).astype(np.int64)
+    o = np.argsort(shard, kind="stable")
+    names = [w.names[x] + " " + w.names[y] if y >= 0 else w.names[x] for x, y in zip(a[o].tolist(), b[o].tolist())]
+    end = np.cumsum(np.bincount(shard, minlength=SHARDS)).tolist()
+    return [(0, k, _pack(("\n".join(names[lo:hi]), records[o[lo:hi]].astype(np.int32), lines[o[lo:hi]].astype(np.int32))), None) for k, (lo, hi) in enumerate(pairwise([0, *end])) if hi > lo]
 
 
 def read(pages: DataFrame, functions: np.ndarray, look: Callable[[Pages], tuple[dict, np.ndarray, np.ndarray]]) -> DataFrame:
@@ -90,24 +240,24 @@ def read(pages: DataFrame, functions: np.ndarray, look: Callable[[Pages], tuple[
     counts that are added up over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, more, total = Counter(), Counter(), Counter()
+        total: Counter = Counter()
+        w, held = Words(), []
         for b in slices(batches):
             urls, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
             p = Pages(contents, urls, functions)
             own, index, count = look(p)
             total.update(dict(zip(index.tolist(), count.tolist())))
-            records, keys = _records(p.own_text)
-            for lines in keys:
-                c = Counter(chain.from_iterable({frozenset(k) for k in lines}))
-                held.update(c.keys())
-                for x, n in c.items():
-                    if n > 1:
-                        more[x] += n - 1
+            records = _records(p.own_text, w)
+            held.append(_counted(records))
+            del records["used"]
             yield _rows([(2, 0, _pack(records), _pack({"url": urls, **own}))])
-            if len(held) > HELD:
-                yield _rows(_shards(held, more))
-                held, more = Counter(), Counter()
-        out = _shards(held, more)
+            full = w.seen > HELD or w.chars > 32 * HELD
+            if full or sum(len(x[0]) for x in held) > HELD:
+                held = [_added(*map(np.concatenate, zip(*held)))]
+                if full or len(held[0][0]) > HELD // 2:
+                    yield _rows(_shards(*held[0], w))
+                    w, held = Words(), []
+        out = _shards(*_added(*map(np.concatenate, zip(*held))), w) if held else []
         index = np.array(sorted(total), np.int64)
         count = np.array([total[i] for i in index.tolist()], np.int64)
         for k in np.unique(index // WIDTH).tolist():
@@ -141,42 +291,44 @@ def _vocabulary(rows: DataFrame) -> list[str]:
     """The most frequent features, by records: those of LEAST records, or of as many lines within their records."""
 
     def merged(t: pa.Table) -> pa.Table:
-        held: dict[str, list[int]] = {}
-        for b in t.column("blob").to_pylist():
-            for x, r, n in _unpack(b):
-                c = held.setdefault(x, [0, 0])
-                c[0] += r
-                c[1] += n
-        kept = sorted(((-r, x) for x, (r, n) in held.items() if r >= residue.LEAST or n >= residue.LEAST))[: residue.VOCABULARY]
+        parts = [_unpack(b) for b in t.column("blob").to_pylist()]
+        held = pa.table({"x": list(chain.from_iterable([x.split("\n") for x, _, _ in parts])), "r": np.concatenate([r.astype(np.int64) for _, r, _ in parts]), "n": np.concatenate([n.astype(np.int64) for _, _, n in parts])})
+        held = held.group_by("x", use_threads=False).aggregate([("r", "sum"), ("n", "sum")])
+        x, r, n = held.column("x").to_numpy(), held.column("r_sum").to_numpy(), held.column("n_sum").to_numpy()
+        at = (r >= residue.LEAST) | (n >= residue.LEAST)
+        kept = sorted(zip((-r[at]).tolist(), x[at]))[: residue.VOCABULARY]
         return pa.table({"x": pa.array([x for _, x in kept], pa.string()), "n": pa.array([-r for r, _ in kept], pa.int64())})
 
     kept = rows.where("kind = 0").select("shard", "blob").groupBy("shard").applyInArrow(merged, "x string, n long")
     return [r.x for r in kept.orderBy(F.desc("n"), "x").limit(residue.VOCABULARY).collect()]
 
 
+def _known(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the names, and the number of each."""
+    parts = [[x] if x[0] == "=" else x.split(" ") for x in names]
+    h = np.array([_hash(x[0]) for x in parts], U)
+    two = np.array([len(x) == 2 for x in parts], bool)
+    h[two] = _paired(h[two], np.array([_hash(x[1]) for x in parts if len(x) == 2], U))
+    o = np.argsort(h)
+    return h[o], o
+
+
 def _numbered(rows: DataFrame, vocab) -> DataFrame:
-    """The batches with their lines as a hash of all keys and the numbers of those in the vocabulary."""
+    """The batches with their lines as a hash of all keys and the numbers, in order, of those in the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = vocab.value
+        known, number = vocab.value
         for b in batches:
             for blob, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 r = _unpack(blob)
-                many, size, mark = r["many"], r["size"], r["mark"]
-                rec = np.repeat(np.arange(len(many)), many)
-                short = np.bincount(rec, weights=size, minlength=len(many))[rec] <= residue.FEW
-                lines = r["text"].split("\n") if len(size) else []
-                h, n, cols, messy = np.empty(len(lines), np.int64), np.empty(len(lines), np.int64), [], np.zeros(len(lines), bool)
-                for i, (t, s, m) in enumerate(zip(lines, short.tolist(), mark.tolist())):
-                    f = t.split(" ") if t else []
-                    messy[i] = "~" in f
-                    k = ["~"] if messy[i] else sorted(residue.keys(f, s, m and s))
-                    h[i] = int.from_bytes(blake2b("\n".join(k).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    c = [at[x] for x in k if x in at]
-                    cols += c
-                    n[i] = len(c)
-                x = {"line": h, "n": n, "col": np.array(cols, np.uint16), "messy": messy, "size": size, "many": many, "trusted": r["trusted"]}
-                yield pa.RecordBatch.from_arrays([pa.array([int((many > 0).sum())], pa.int64()), pa.array([int(r["trusted"].sum())], pa.int64()), pa.array([_pack(x)], pa.binary()), pa.array([own], pa.binary())], names=["records", "trusted", "blob", "own"])
+                line, _, h = _keys(r)
+                same = _set_hashes(line, h)
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                of = known[at] == h if len(known) else np.zeros(len(h), bool)
+                packed = line[of] << 16 | number[at[of]]
+                packed.sort()
+                x = {"line": same.view(np.int64), "n": np.bincount(packed >> 16, minlength=len(r["each"])), "col": (packed & 0xFFFF).astype(np.uint16), **{k: r[k] for k in ("messy", "size", "many", "trusted")}}
+                yield pa.RecordBatch.from_arrays([pa.array([int((x["many"] > 0).sum())], pa.int64()), pa.array([int(x["trusted"].sum())], pa.int64()), pa.array([_pack(x)], pa.binary()), pa.array([own], pa.binary())], names=["records", "trusted", "blob", "own"])
 
     return materialize(rows.where("kind = 2").select("blob", "own").mapInArrow(run, "records long, trusted long, blob binary, own binary"))
 
@@ -265,7 +417,7 @@ def fit(rows: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
     spark = rows.sparkSession
     names = _vocabulary(rows)
     size = len(names)
-    batches = _numbered(rows, spark.sparkContext.broadcast({x: i for i, x in enumerate(names)}))
+    batches = _numbered(rows, spark.sparkContext.broadcast(_known(names)))
     n = batches.agg(F.sum("records").alias("records"), F.sum("trusted").alias("trusted")).first()
     if not size or not n.trusted or n.trusted == n.records:
         return batches, np.zeros(size), residue.LineModel().prior

@@ -1,9 +1,12 @@
 """Line reader, residue, statistics, stuffing and boilerplate on small pages."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.llm import boilerplate, pagelines, quality, residue, stuffing
+from sievelight.llm import boilerplate, pagelines, quality, residue, stuffing, wholefit
 
 PROSE = "The harvest in the valley was late this year, and most of the farmers had sold their carts before the storm. "
 URL = "https://www.site.example/a"
@@ -85,6 +88,58 @@ def test_statistics_of_all_pages(spark, pages, common):
         assert {r.url: r.residue for r in quality.page_statistics(pages.repartition(parts), common).collect() if r.url in want} == want
 
 
+MARKED = [
+    "{{ x y }}", "${a b}", "{a.b}", "[[a b]]", "%ABC%", "<% a %>", "__ABC__", "[INSERT NAME]", "[object Object]", "undefined", "NaN", "null", "TODO", "xxx", "lorem", "ipsum", "asdf", "qwer", "blah", "test test", "abc abc", "xxx xxxx",
+    "404", "Error 503 Service Unavailable", "http 404 Not", "page not found", "access denied", "too many requests", "internal server error", "bad gateway", "gateway timed", "timed out", "unavailable", "under construction",
+    "coming soon", "is parked", "maintenance", "please enable the javascript", "turn on scripts", "disabled script", "javascript is disabled", "verify that you are human", "checking your browser", "nicht gefunden", "zugriff verweigert",
+    "serverfehler", "zu viele anfragen", "wartungsarbeiten", "im aufbau", "aktivieren sie javascript", "ohne skripte", "kein inhalt vorhanden", "beispieltext", "platzhalter", "no encontrada", "acceso denegado", "error interno",
+    "demasiadas peticiones", "demasiadas solicitudes", "en construcción", "en mantenimiento", "active javascript", "sin scripts", "su texto aquí", "de ejemplo para", "introuvable", "accès refusé", "erreur interne", "trop de requêtes",
+    "en maintenance", "activez javascript", "sans scripts", "votre texte ici", "texte d'exemple", "dummy paragraph", "sample text", "your headline here", "text text text", "placeholder",
+]
+
+
+def test_keys_of_lines(monkeypatch):
+    """Lines of a batch have the keys, marks and counts of residue; each run without white space is read once, and marks
+    are looked for only in lines that may have one."""
+    odd = ["\x00 a b", "a_b {{ x }} c", "x9y8z7 A1b2C3 q7q8", "deadbee1 /p/q aBc9", "$$$ ### %%%", "²³ ½ x²", "Étä L'été-là", "(Hello), 'World'! 12,3.4 5xx", "McLeod NaN nAn XXX ToDo USA", "a\xa0b c\x1cd", "UNDER CONſTRUCTION", "SıN SCRıPTS", "٤04 x"]
+    pages = [[PROSE] * 4, [PROSE.strip(), *odd], odd, [], *[[x] for x in odd], [odd[0], odd[0], "b a b"], *[[y, "Other words"] for x in MARKED for y in (x, x.upper())], ["A b c", "The a b"] * 20]
+    n_token, n_search, real = Counter(), Counter(), (residue.token, residue.MARKS)
+    monkeypatch.setattr(residue, "token", lambda x: n_token.update([x]) or real[0](x))
+    monkeypatch.setattr(residue, "MARKS", type("", (), {"search": staticmethod(lambda t: n_search.update([t]) or real[1].search(t))}))
+    w, got = wholefit.Words(), []
+    for i in range(0, len(pages), 50):
+        r = wholefit._records(pages[i : i + 50], w)
+        got.append(wholefit._counted(r))
+        line, code, _ = wholefit._keys(r)
+        keys = [set() for _ in r["each"]]
+        for at, a, b in zip(line.tolist(), *[x.tolist() for x in np.divmod(code, len(r["hash"]) + 1)]):
+            keys[at].add(" ".join(w.names[r["used"][k]] for k in ([a, b - 1] if b else [a])))
+        for page_, sure in zip(pages[i : i + 50], r["trusted"]):
+            f, total = [residue.features(t) for t in page_], sum(map(residue.words, page_))
+            long = [t for t, x in zip(page_, f) if len(x) >= residue.RUNNING]
+            m = [x[:1] != ["~"] and bool(real[1].search(t)) for t, x in zip(page_, f)]
+            settled = not page_ or total > residue.FEW and bool(long) and not real[1].search(min(long, key=len))
+            m = [not settled and x for x in m]
+            want = [{"~"} if "~" in x else residue.keys(x, total <= residue.FEW, y and total <= residue.FEW) for x, y in zip(f, m)]
+            assert [keys.pop(0) for _ in page_] == want and bool(sure) == (not settled and residue.trusted(f, m, total)), page_
+    assert max(n_token.values()) == 1 and PROSE not in n_search and all(real[1].search(x) for x in MARKED)
+    code, records, lines = wholefit._added(*map(np.concatenate, zip(*got)))
+    counted = {}
+    for _, _, part, _ in wholefit._shards(code, records, lines, w):
+        x, r, n = wholefit._unpack(part)
+        counted |= dict(zip(x.split("\n"), zip(r.tolist(), n.tolist()), strict=True))
+    assert counted["the harvest"] == (2, 2) and len(counted) == len(code)
+    x = np.array([1 << 40, 5, 5, 1 << 40]), np.array([7, 1 << 39, 1 << 39, 7])
+    assert [v.tolist() for v in wholefit._distinct(*x, 1 << 40)] == [[5, 1 << 40], [1 << 39, 7], [2, 2]]
+
+
+def test_features_of_many_runs(monkeypatch, spark, pages, common):
+    """A task that gives its counts out again and again gives the same pages."""
+    want = sorted(quality.page_statistics(pages, common).collect())
+    monkeypatch.setattr(wholefit, "HELD", 50)
+    assert sorted(quality.page_statistics(pages, common).collect()) == want
+
+
 def test_divergence():
     import numpy as np
 
