@@ -11,6 +11,7 @@ abnormal."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,7 @@ from sievelight.llm import wholefit
 from sievelight.llm.vector import U, mix
 from sievelight.llm.pagestats import CAPITAL, FUNCTION, LINK, LOWER, NUMBER, ODD, SYMBOL, Pages
 from sievelight.llm.quality import languages
+from sievelight.session import materialize
 
 #: Earlier uses of a word on the page from which it has the next class.
 USES = (1, 3, 8)
@@ -219,7 +221,7 @@ def measures(kept: dict, model: ClassModel) -> dict[str, np.ndarray]:
     words = kept["many"].astype(np.int64)
     total = np.bincount(s.doc, weights=bits, minlength=pages)
     div = lambda a, b: np.divide(a, b, out=np.zeros(pages), where=b > 0)
-    out = {"words": words, "bits": div(total, words), "lang": kept["lang"], "n_links": kept["n_links"]}
+    out = {"words": words, "bits": div(total, words), "lang": kept["lang"].astype(np.int32), "n_links": kept["n_links"]}
     for name, c in (("phrases", REPEATED), ("tags", TAG), ("links", BARE)):
         of = s.sym == model.base + c
         out[name] = div(np.bincount(s.doc[of], weights=bits[of], minlength=pages), total)
@@ -227,15 +229,17 @@ def measures(kept: dict, model: ClassModel) -> dict[str, np.ndarray]:
     return out
 
 
-def decide(m: dict[str, np.ndarray], model: ClassModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(abnormal, spam, kind) per page."""
-    abnormal = (m["words"] >= LEAST_WORDS) & ((m["bits"] < model.low[m["lang"]]) | (m["bits"] > model.high[m["lang"]]))
+def decide(m: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(abnormal, spam, kind) per page; low and high are the model's normal range."""
+    abnormal = (m["words"] >= LEAST_WORDS) & ((m["bits"] < low[m["lang"]]) | (m["bits"] > high[m["lang"]]))
     borne = np.array([m["phrases"], m["tags"], np.where(m["n_links"] >= LEAST_LINKS, m["links"], 0)])
     held = np.array([m["phrases_held"], m["tags_held"], m["links_held"]])
     spam = abnormal & (borne.sum(0) >= BORNE) & (held.sum(0) >= HELD)
     return abnormal, spam, np.where(spam, np.array(["keywords", "tags", "links"])[borne.argmax(0)], "")
 
 
+#: What measures gives of a page.
+MEASURED = ["words", "lang", "bits", "n_links", "phrases", "phrases_held", "tags", "tags_held", "links", "links_held"]
 MEASURES = "words long, perplexity double, phrases double, tags double, links double, abnormal boolean, spam boolean, kind string"
 
 
@@ -252,19 +256,20 @@ def stuffed_pages(pages: DataFrame, common: DataFrame) -> DataFrame:
     model = train(wholefit.counts(rows, (base + KINDS) ** 3).reshape((base + KINDS,) * 3), base, len(langs))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
-    def steps(kept: dict, _: np.ndarray) -> list[pa.Array]:
+    def measured(kept: dict, flag: np.ndarray) -> list[pa.Array]:
         m = measures(kept, shared.value)
-        return [pa.array(np.where(kept["clean"], m["lang"], -1).astype(np.int64)), pa.array(np.rint(m["bits"] * STEP).astype(np.int64))]
+        return [*[pa.array(m[c]) for c in MEASURED], pa.array(kept["clean"]), pa.array(np.rint(m["bits"] * STEP).astype(np.int64)), pa.array(flag)]
 
-    fitted = wholefit.fit(rows)
-    prose = wholefit.judged(*fitted, steps, "lang long, step long").where("lang >= 0").groupBy("lang", "step").count()
-    normal(model, [tuple(r) for r in prose.collect()])  # at most languages * STEP * 20 rows
-    ranged = pages.sparkSession.sparkContext.broadcast(model)
+    once = materialize(wholefit.judged(*wholefit.fit(rows), measured, "words long, lang int, " + ", ".join(f"{c} double" for c in MEASURED[2:]) + ", clean boolean, step long, residue boolean"))
+    normal(model, [tuple(r) for r in once.where("clean").groupBy("lang", "step").count().collect()])  # at most languages * STEP * 20 rows
+    ranged = pages.sparkSession.sparkContext.broadcast((model.low, model.high))
 
-    def judge(kept: dict, flag: np.ndarray) -> list[pa.Array]:
-        m = measures(kept, ranged.value)
-        abnormal, spam, kind = decide(m, ranged.value)
-        spam &= ~flag  # stand-in text repeats itself too
-        return [*[pa.array(c) for c in (m["words"], 2 ** m["bits"], m["phrases"], m["tags"], m["links"], abnormal, spam)], pa.array([k or None for k in kind], pa.string())]
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = {c: b.column(c).to_numpy() for c in MEASURED}
+            abnormal, spam, kind = decide(m, *ranged.value)
+            spam &= ~b.column("residue").to_numpy(zero_copy_only=False)  # stand-in text repeats itself too
+            cols = [*[pa.array(c) for c in (m["words"], 2 ** m["bits"], m["phrases"], m["tags"], m["links"], abnormal, spam)], pa.array([k or None for k in kind], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("url"), *cols], names=["url", *[c.split()[0] for c in MEASURES.split(", ")]])
 
-    return wholefit.judged(*fitted, judge, MEASURES)
+    return once.mapInArrow(judge, "url string, " + MEASURES)

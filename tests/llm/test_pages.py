@@ -170,6 +170,14 @@ def test_stuffing_of_all_pages(spark, common):
     assert all(abs(stuffing.quantile(*np.unique(x, return_counts=True), q) - np.quantile(x, q)) < 1e-12 for q in (0.01, 0.3, 0.99))
 
 
+def test_stuffing_measures_once(monkeypatch, spark, pages, common):
+    """Each page is measured once, for the normal range and for its verdict."""
+    measured, real = spark.sparkContext.accumulator(0), stuffing.measures
+    monkeypatch.setattr(stuffing, "measures", lambda kept, model: measured.add(len(kept["many"])) or real(kept, model))
+    got = stuffing.stuffed_pages(pages, common)
+    assert found(got, "spam") == {"stuffed", "links", "tags"} and measured.value == got.count()
+
+
 def test_stuffing_kinds(spark, common):
     """Each form of stuffing, beside honest pages that repeat themselves."""
     towns = ["Arle", "Bonsk", "Corva", "Dunst", "Elmar", "Fenby", "Gorst", "Hilda", "Ivorn", "Jaska", "Kolm", "Lunde"]
